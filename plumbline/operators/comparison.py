@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.functions.durability import durable
 from plumbline.functions.expressions import magnitude_bucket, require_columns
 from plumbline.operators.ordering import exact_quantiles, match_null_safe, running_totals
 
@@ -143,7 +145,7 @@ def _exact_p(n: int, statistic: float) -> float:
     return min(1.0, 2.0 * ways[: int(statistic) + 1].sum() / 2.0**n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _wilcoxon_p(
     n: pd.Series, zeros: pd.Series, ties: pd.Series, statistic: pd.Series, flat: pd.Series
 ) -> pd.Series:
@@ -207,12 +209,15 @@ def compare_pipelines(
     metrics: Sequence[str] = COMPARED,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Differences, Wilcoxon test and Holm correction for every model and metric."""
+    """Differences, Wilcoxon test and Holm correction for every model and metric.
+
+    The matched pairs and the tests are each read several times, so both are checkpointed.
+    """
     check_pairs(reference, candidate, metrics, keys)
-    pairs = paired_values(reference, candidate, metrics, keys)
+    pairs = durable(paired_values(reference, candidate, metrics, keys))
     by = ["model", "metric"]
     tests = match_null_safe(paired_deltas(pairs, by), wilcoxon(pairs, by), by)
-    return holm_adjust(tests)
+    return holm_adjust(durable(tests))
 
 
 def effect_sizes(pairs: DataFrame, by: Sequence[str] = ("model", "metric")) -> DataFrame:

@@ -6,7 +6,7 @@ arithmetic. The statistics of many columns come from one job.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -103,14 +103,58 @@ def learn_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[st
     return found
 
 
+def fill_numbers(df: DataFrame, fills: Mapping[str, float | None]) -> DataFrame:
+    return df.withColumns(
+        {c: F.coalesce(_number(c), F.lit(v).cast("double")) for c, v in fills.items()}
+    )
+
+
+def fill_values(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
+    return df.withColumns(
+        {c: F.coalesce(col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in fills.items()}
+    )
+
+
+def rescale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns(
+        {
+            c: (_number(c) - F.lit(m).cast("double")) / F.lit(s).cast("double")
+            for c, (m, s) in scales.items()
+        }
+    )
+
+
+def encode(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Replace each column by one 0/1 indicator per category."""
+
+    def value(c: str) -> Column:
+        return F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY))
+
+    flags = {
+        indicator_name(c, v): (value(c) == v).cast("int")
+        for c, values in categories.items()
+        for v in values
+    }
+    return df.withColumns(flags).drop(*categories)
+
+
 def impute_numeric(
     df: DataFrame, columns: Sequence[str], strategy: str, train: DataFrame | None = None
 ) -> DataFrame:
     """Fill nulls and NaN; the columns become double. A column without values stays null."""
-    fills = learn_fill(df if train is None else train, columns, strategy)
-    return df.withColumns(
-        {c: F.coalesce(_number(c), F.lit(fills[c]).cast("double")) for c in columns}
-    )
+    return fill_numbers(df, learn_fill(df if train is None else train, columns, strategy))
+
+
+def learn_values(
+    df: DataFrame, columns: Sequence[str], strategy: str, fill_value: object = None
+) -> dict[str, object]:
+    if strategy == "constant":
+        if fill_value is None:
+            raise ValueError("Constant imputation needs a fill value")
+        return dict.fromkeys(columns, fill_value)
+    if strategy == "most_frequent":
+        return dict(learn_modes(df, columns))
+    raise ValueError("Categorical imputation takes 'most_frequent' or 'constant'")
 
 
 def impute_categorical(
@@ -120,17 +164,8 @@ def impute_categorical(
     fill_value: object = None,
     train: DataFrame | None = None,
 ) -> DataFrame:
-    if strategy == "constant":
-        if fill_value is None:
-            raise ValueError("Constant imputation needs a fill value")
-        fills: Mapping[str, object] = {c: fill_value for c in columns}
-    elif strategy == "most_frequent":
-        fills = learn_modes(df if train is None else train, columns)
-    else:
-        raise ValueError("Categorical imputation takes 'most_frequent' or 'constant'")
-    return df.withColumns(
-        {c: F.coalesce(col(c), F.lit(fills[c]).cast(df.schema[c].dataType)) for c in columns}
-    )
+    source = df if train is None else train
+    return fill_values(df, learn_values(source, columns, strategy, fill_value))
 
 
 def learn_scale(
@@ -152,14 +187,7 @@ def learn_scale(
 def scale_numeric(
     df: DataFrame, columns: Sequence[str], method: str, train: DataFrame | None = None
 ) -> DataFrame:
-    scales = learn_scale(df if train is None else train, columns, method)
-    return df.withColumns(
-        {
-            c: (_number(c) - F.lit(scales[c][0]).cast("double"))
-            / F.lit(scales[c][1]).cast("double")
-            for c in columns
-        }
-    )
+    return rescale(df, learn_scale(df if train is None else train, columns, method))
 
 
 def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -180,22 +208,10 @@ def indicator_name(column: str, category: str) -> str:
 
 
 def one_hot_encode(
-    df: DataFrame,
-    columns: Sequence[str],
-    train: DataFrame | None = None,
-    keep: bool = False,
-    name: Callable[[str, str], str] = indicator_name,
+    df: DataFrame, columns: Sequence[str], train: DataFrame | None = None
 ) -> DataFrame:
-    """Replace each column by 0/1 indicators; a category not learned gives zeros only."""
-    categories = learn_categories(df if train is None else train, columns)
-    out = df.withColumns(
-        {
-            name(c, v): (F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)) == v).cast("int")
-            for c in columns
-            for v in categories[c]
-        }
-    )
-    return out if keep else out.drop(*columns)
+    """Indicators of the categories learned; a category not learned gives zeros only."""
+    return encode(df, learn_categories(df if train is None else train, columns))
 
 
 def fold_statistics(

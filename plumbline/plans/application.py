@@ -59,26 +59,19 @@ Learn = Callable[[DataFrame, Sequence[str], Mapping[str, Any]], Apply]
 
 def _learn_impute_numeric(train, columns, parameters) -> Apply:
     fills = t.learn_fill(train, columns, parameters["strategy"])
-    return lambda df: df.withColumns(
-        {c: F.coalesce(t._number(c), F.lit(fills[c]).cast("double")) for c in columns}
-    )
+    return lambda df: t.fill_numbers(df, fills)
 
 
 def _learn_impute_categorical(train, columns, parameters) -> Apply:
-    if parameters["strategy"] == "constant":
-        fills = dict.fromkeys(columns, parameters["fill_value"])
-    else:
-        fills = t.learn_modes(train, columns)
-    return lambda df: df.withColumns(
-        {c: F.coalesce(c, F.lit(fills[c]).cast(df.schema[c].dataType)) for c in columns}
+    fills = t.learn_values(
+        train, columns, parameters["strategy"], parameters.get("fill_value")
     )
+    return lambda df: t.fill_values(df, fills)
 
 
 def _learn_scale(train, columns, parameters) -> Apply:
     scales = t.learn_scale(train, columns, parameters["method"])
-    return lambda df: df.withColumns(
-        {c: (t._number(c) - F.lit(scales[c][0])) / F.lit(scales[c][1]) for c in columns}
-    )
+    return lambda df: t.rescale(df, scales)
 
 
 def _learn_log(train, columns, parameters) -> Apply:
@@ -87,18 +80,7 @@ def _learn_log(train, columns, parameters) -> Apply:
 
 def _learn_one_hot(train, columns, parameters) -> Apply:
     categories = t.learn_categories(train, columns)
-
-    def apply(df: DataFrame) -> DataFrame:
-        value = {c: F.coalesce(F.col(c).cast("string"), F.lit(t.MISSING_CATEGORY)) for c in columns}
-        return df.withColumns(
-            {
-                t.indicator_name(c, v): (value[c] == v).cast("int")
-                for c in columns
-                for v in categories[c]
-            }
-        ).drop(*columns)
-
-    return apply
+    return lambda df: t.encode(df, categories)
 
 
 LEARNERS: dict[str, Learn] = {
