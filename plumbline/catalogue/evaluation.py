@@ -58,7 +58,9 @@ auc AS (
                           ELSE 0 END) / count(*) AS roc_auc
   FROM scored a JOIN scored b ON a.lang = b.lang AND a.y_true = 1 AND b.y_true = 0
   GROUP BY 1),
-ap AS (SELECT lang, sum(tp * ctp / (ctp + cfp)::DOUBLE) / max(p) AS pr_auc FROM reached GROUP BY 1)"""
+ap AS (SELECT lang, CASE WHEN max(p) > 0 AND max(n) > 0
+                THEN sum(tp * ctp / (ctp + cfp)::DOUBLE) / max(p) END AS pr_auc
+       FROM reached GROUP BY 1)"""
 
 RATES_LIST = """round(accuracy, 6) AS accuracy, round(recall, 6) AS recall,
   round(specificity, 6) AS specificity, round(precision, 6) AS precision, round(f1, 6) AS f1,
@@ -92,11 +94,11 @@ def confusion_matrix(spark, folder):
 @query(
     "ranking_metrics",
     with_sql(SCORED, RANKING) + """
-    SELECT auc.lang, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc
-    FROM auc JOIN ap ON auc.lang = ap.lang""",
+    SELECT ap.lang, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc
+    FROM ap LEFT JOIN auc ON auc.lang = ap.lang""",
 )
 def ranking_metrics(spark, folder):
-    out = mt.ranking_metrics(scored_documents(spark, folder), ["lang"])
+    out = mt.ranking_metrics(scored_documents(spark, folder), ["lang"], "null")
     return rounded(out.select("lang", "roc_auc", "pr_auc"))
 
 
@@ -122,17 +124,18 @@ def ranking_metrics_lineitem(spark, folder):
     with_sql(CONFUSION, RANKING) + f"""
     SELECT rates.lang, tn, fp, fn, tp, {RATES_LIST}, round(roc_auc, 6) AS roc_auc,
            round(pr_auc, 6) AS pr_auc
-    FROM rates JOIN auc ON rates.lang = auc.lang JOIN ap ON rates.lang = ap.lang""",
+    FROM rates LEFT JOIN auc ON rates.lang = auc.lang JOIN ap ON rates.lang = ap.lang""",
 )
 def classification_metrics(spark, folder):
-    return rounded(mt.classification_metrics(scored_documents(spark, folder), ["lang"]))
+    scored = scored_documents(spark, folder)
+    return rounded(mt.classification_metrics(scored, ["lang"], single_class="null"))
 
 
 @query(
     "pr_curve",
     with_sql(SCORED, RANKING) + """
     SELECT lang, y_score AS threshold, round(ctp / (ctp + cfp)::DOUBLE, 6) AS precision,
-           round(ctp / p::DOUBLE, 6) AS recall FROM reached""",
+           round(coalesce(ctp / nullif(p, 0)::DOUBLE, 0), 6) AS recall FROM reached""",
 )
 def pr_curve(spark, folder):
     return rounded(mt.pr_curve(scored_documents(spark, folder), ["lang"]), skip=("threshold",))
@@ -141,8 +144,8 @@ def pr_curve(spark, folder):
 @query(
     "roc_curve",
     with_sql(SCORED, RANKING) + """
-    SELECT lang, y_score AS threshold, round(cfp / n::DOUBLE, 6) AS fpr,
-           round(ctp / p::DOUBLE, 6) AS tpr FROM reached""",
+    SELECT lang, y_score AS threshold, round(coalesce(cfp / nullif(n, 0)::DOUBLE, 0), 6) AS fpr,
+           round(coalesce(ctp / nullif(p, 0)::DOUBLE, 0), 6) AS tpr FROM reached""",
 )
 def roc_curve(spark, folder):
     return rounded(mt.roc_curve(scored_documents(spark, folder), ["lang"]), skip=("threshold",))
@@ -434,7 +437,7 @@ def _pipeline_metrics(spark, folder):
     docs = scored_documents(spark, folder)
     other = docs.withColumn("y_score", (F.col("doc_id") % 97) / 97.0)
     parts = [
-        mt.classification_metrics(rows, ["lang"]).select(
+        mt.classification_metrics(rows, ["lang"], single_class="null").select(
             F.lit(name).alias("pipeline"), F.col("lang").alias("model"), "recall", "accuracy"
         )
         for name, rows in (("fixed", docs), ("plan", other))
@@ -445,10 +448,10 @@ def _pipeline_metrics(spark, folder):
 PIVOT = SCORED + """,
 two_scores AS (SELECT lang, y_true, y_score AS fixed, doc_id % 97 / 97.0::DOUBLE AS plan FROM scored),
 sides AS (
-  SELECT lang AS model, count(*) FILTER (y_true = 1 AND fixed >= 0.5)
-           / count(*) FILTER (y_true = 1)::DOUBLE AS fixed,
-         count(*) FILTER (y_true = 1 AND plan >= 0.5)
-           / count(*) FILTER (y_true = 1)::DOUBLE AS plan
+  SELECT lang AS model, coalesce(count(*) FILTER (y_true = 1 AND fixed >= 0.5)
+           / nullif(count(*) FILTER (y_true = 1), 0)::DOUBLE, 0) AS fixed,
+         coalesce(count(*) FILTER (y_true = 1 AND plan >= 0.5)
+           / nullif(count(*) FILTER (y_true = 1), 0)::DOUBLE, 0) AS plan
   FROM two_scores GROUP BY 1)"""
 
 

@@ -325,17 +325,17 @@ def one_hot_unseen(spark, folder):
     "fold_local_stats",
     with_sql(TX, FOLDS) + """
     SELECT 'amount' AS "column", f.repeat, v.fold, count(*) AS train_rows,
-           round(avg(amount), 6) AS mean, round(stddev_pop(amount), 6) AS std,
-           round(quantile_cont(amount, 0.25), 6) AS q25, round(median(amount), 6) AS median,
-           round(quantile_cont(amount, 0.75), 6) AS q75
+           round(avg(amount), 9) AS mean, round(stddev_pop(amount), 9) AS std,
+           round(quantile_cont(amount, 0.25), 9) AS q25, round(median(amount), 9) AS median,
+           round(quantile_cont(amount, 0.75), 9) AS q75
     FROM folds f JOIN (SELECT DISTINCT fold FROM folds) v ON f.fold <> v.fold GROUP BY 2, 3
     UNION ALL
-    SELECT 'step', f.repeat, v.fold, count(*), round(avg(step), 6), round(stddev_pop(step), 6),
-           round(quantile_cont(step::DOUBLE, 0.25), 6), round(median(step::DOUBLE), 6),
-           round(quantile_cont(step::DOUBLE, 0.75), 6)
+    SELECT 'step', f.repeat, v.fold, count(*), round(avg(step), 9), round(stddev_pop(step), 9),
+           round(quantile_cont(step::DOUBLE, 0.25), 9), round(median(step::DOUBLE), 9),
+           round(quantile_cont(step::DOUBLE, 0.75), 9)
     FROM folds f JOIN (SELECT DISTINCT fold FROM folds) v ON f.fold <> v.fold GROUP BY 2, 3""",
 )
 def fold_local_stats(spark, folder):
     tx, assigned = _assigned(spark, folder)
     rows = tx.select("event_id", "amount", "step").join(assigned.drop("isFraud"), "event_id")
-    return rounded(tr.fold_statistics(rows, ["amount", "step"], 5))
+    return rounded(tr.fold_statistics(rows, ["amount", "step"], 5), 9)

@@ -63,14 +63,15 @@ def _score_steps(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _both_classes(value: Column, positives: Column, negatives: Column) -> Column:
-    return F.when(
-        (positives > 0) & (negatives > 0), value
-    ).otherwise(F.raise_error(F.lit("Both classes must be present in every group")))
-
+def ranking_metrics(
+    scored: DataFrame, by: Sequence[str], single_class: str = "error"
+) -> DataFrame:
+    """ROC-AUC with ties averaged and step-wise average precision per group.
 
-def ranking_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """ROC-AUC with ties averaged and step-wise average precision per group."""
+    A group with one class only fails the query, or gets nulls if ``single_class`` is "null".
+    """
+    if single_class not in ("error", "null"):
+        raise ValueError("single_class must be 'error' or 'null'")
     above = F.col("tp_before") + F.col("tp")
     seen = above + F.col("fp_before") + F.col("fp")
     sums = _score_steps(scored, by).groupBy(*by).agg(
@@ -80,21 +81,30 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum(F.col("tp") * above / seen).alias("gain"),
     )
     p, n = F.col("positives"), F.col("negatives")
+    undefined = (
+        F.lit(None).cast("double")
+        if single_class == "null"
+        else F.raise_error(F.lit("Both classes must be present in every group"))
+    )
+
+    def defined(value: Column) -> Column:
+        return F.when((p > 0) & (n > 0), value).otherwise(undefined)
+
     return sums.select(
         *by,
         "positives",
         "negatives",
-        _both_classes(F.col("area") / p / n, p, n).alias("roc_auc"),
-        _both_classes(F.col("gain") / p, p, n).alias("pr_auc"),
+        defined(F.col("area") / p / n).alias("roc_auc"),
+        defined(F.col("gain") / p).alias("pr_auc"),
     )
 
 
 def classification_metrics(
-    scored: DataFrame, by: Sequence[str], threshold: float = 0.5
+    scored: DataFrame, by: Sequence[str], threshold: float = 0.5, single_class: str = "error"
 ) -> DataFrame:
     """The eight metrics and the four confusion counts of every group."""
     counts = threshold_metrics(confusion_counts(scored, by, threshold))
-    ranks = ranking_metrics(scored, by).drop("positives", "negatives")
+    ranks = ranking_metrics(scored, by, single_class).drop("positives", "negatives")
     joined = match_null_safe(counts, ranks, by)
     return joined.select(*by, *METRICS, "tn", "fp", "fn", "tp")
 

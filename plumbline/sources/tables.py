@@ -31,6 +31,8 @@ TRANSACTION_SCHEMA = T.StructType(
     ]
 )
 
+_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def scan_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None
@@ -45,11 +47,14 @@ def scan_table(
     try:
         if suffix != ".csv":
             return spark.read.parquet(str(path))
-        reader = spark.read.option("header", True).option("prefersDate", False)
+        reader = spark.read.option("header", True)
         if schema is None:
-            return reader.option("inferSchema", True).option(
-                "timestampFormat", "'none'"
-            ).csv(str(path))
+            guessed = reader.option("inferSchema", True).csv(str(path)).schema
+            as_text = [
+                T.StructField(f.name, T.StringType() if isinstance(f.dataType, _DATES) else f.dataType)
+                for f in guessed.fields
+            ]
+            return spark.read.option("header", True).schema(T.StructType(as_text)).csv(str(path))
         header = reader.csv(str(path))
         require_columns(header, schema.fieldNames(), "CSV file")
         kinds = {f.name: f.dataType for f in schema.fields}
