@@ -40,6 +40,16 @@ def string_columns(df: DataFrame) -> list[str]:
     return columns_of(df, T.StringType)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row, which the optimizer cannot inline.
+
+    For costly expressions that many later ones use: a plain projection would be merged into
+    its consumers and evaluated once per use.
+    """
+    cells = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(cells)))
+
+
 def require_columns(df: DataFrame, required: Iterable[str], what: str = "Table") -> None:
     """Raise with the sorted missing names. Reads the schema only."""
     missing = sorted(set(required) - set(df.columns))

@@ -85,7 +85,7 @@ def paired_deltas(pairs: DataFrame, by: Sequence[str] = ("model", "metric")) ->
         F.count_if(F.col("delta") > 0).alias("wins"),
         F.count_if(F.abs("delta") <= TIE_TOLERANCE).alias("ties"),
     )
-    middle = exact_quantiles(pairs, by, "delta", [0.5]).select(
+    middle = exact_quantiles(pairs, ["delta"], [0.5], by).select(
         *by, F.col("quantile").alias("median_delta")
     )
     return match_null_safe(means, middle, by, "left")

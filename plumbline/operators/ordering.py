@@ -157,79 +157,101 @@ def running_totals(
 
 def exact_quantiles(
     df: DataFrame,
-    by: Sequence[str],
-    value: str,
+    columns: Sequence[str],
     probabilities: Sequence[float],
+    by: Sequence[str] = (),
     regroup: Callable[[DataFrame], DataFrame] | None = None,
     stable: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one row ``(*by, probability, quantile)`` each.
+    """Linearly interpolated quantiles: ``(column, *by, probability, quantile)``.
 
-    Two scans: a histogram finds the bucket of each wanted position, then only the rows of
-    those buckets are sorted. ``regroup`` may map counted rows to other groups, such as folds to
-    the training sets they belong to; ``stable`` then names the ``by`` columns it leaves alone.
+    One scan builds a histogram of fine buckets, which shows the bucket of every wanted position.
+    A bucket with one distinct value settles its position; for the others a second scan reads
+    just the columns concerned and sorts just the rows of those buckets. Null and NaN are left
+    out. ``regroup`` may map counted rows to other groups, such as folds to the training sets
+    they belong to; ``stable`` then names the ``by`` columns it leaves alone.
     """
-    spark = df.sparkSession
-    stable = list(by if stable is None else stable)
-    number = col(value).cast("double")
-    rows = (
-        df.select(*by, number.alias("_value"))
-        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .withColumn("_bucket", magnitude_bucket(F.col("_value")))
-    )
+    names = list(columns)
+    keys = ["column", *by]
+    stable = ["column", *(by if stable is None else stable)]
+
+    def bucketed(chosen: Sequence[str]) -> DataFrame:
+        numbers = F.array(*[col(c).cast("double") for c in chosen])
+        label = F.array(*[F.lit(c) for c in chosen])
+        return (
+            df.select(*by, F.posexplode(numbers).alias("_at", "_value"))
+            .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+            .withColumn("_bucket", magnitude_bucket(F.col("_value")))
+            .withColumn("column", label[F.col("_at")])
+        )
 
-    def counted(table: DataFrame, extra: Sequence[str]) -> DataFrame:
-        counts = table.groupBy(*by, *extra).agg(F.count("*").alias("_count"))
+    def counted(rows: DataFrame, extra: Sequence[str]) -> DataFrame:
+        ends = (F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+        counts = (
+            rows.withColumns({"_low": F.col("_value"), "_high": F.col("_value")})
+            .groupBy(*keys, *extra)
+            .agg(F.count("*").alias("_count"), *ends)
+        )
         if regroup is None:
             return counts
-        return regroup(counts).groupBy(*by, *extra).agg(F.sum("_count").alias("_count"))
+        return regroup(counts).groupBy(*keys, *extra).agg(F.sum("_count").alias("_count"), *ends)
 
-    whole = W.partitionBy(*by)
     position = F.col("probability") * (F.col("_total") - 1)
     targets = (
-        counted(rows, ["_bucket"])
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_count").over(_earlier(by, F.col("_bucket"))), F.lit(0)),
-        )
-        .withColumn("_total", F.sum("_count").over(whole))
-        .withColumn(
-            "probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+        counted(bucketed(names), ["_bucket"])
+        .withColumns(
+            {
+                "_before": F.coalesce(
+                    F.sum("_count").over(_earlier(keys, F.col("_bucket"))), F.lit(0)
+                ),
+                "_total": F.sum("_count").over(W.partitionBy(*keys)),
+            }
         )
+        # Exploded in a step of its own: window frames above must not see the copies.
+        .withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("_share", position - F.floor(position))
-        .withColumn(
-            "_end", F.explode(F.array(F.lit("low"), F.lit("high")))
-        )
+        .withColumn("_end", F.explode(F.array(F.lit("low"), F.lit("high"))))
         .withColumn(
             "_place",
             F.when(F.col("_end") == "low", F.floor(position)).otherwise(F.ceil(position))
             - F.col("_before"),
         )
         .where((F.col("_place") >= 0) & (F.col("_place") < F.col("_count")))
-        .select(*by, "_bucket", "probability", "_share", "_end", "_place")
+        .select(*keys, "_bucket", "probability", "_share", "_end", "_place", "_low", "_high")
     )
     known = targets.limit(BROADCAST_ROWS + 1).collect()
     bounded = len(known) <= BROADCAST_ROWS
     if bounded:
-        targets = spark.createDataFrame(known, targets.schema)
-    wanted = targets.select(*stable, "_bucket").distinct()
-    if bounded:
-        wanted = F.broadcast(wanted)
-    near = counted(match_null_safe(rows, wanted, [*stable, "_bucket"]), ["_bucket", "_value"])
-    placed = near.withColumn(
-        "_first",
-        F.coalesce(
-            F.sum("_count").over(_earlier([*by, "_bucket"], F.col("_value"))), F.lit(0)
-        ),
-    )
-    hit = match_null_safe(
-        placed, F.broadcast(targets) if bounded else targets, [*by, "_bucket"]
-    ).where(
-        (F.col("_place") >= F.col("_first"))
-        & (F.col("_place") < F.col("_first") + F.col("_count"))
-    )
+        open_ends = [r for r in known if r["_low"] != r["_high"]]
+        settled = df.sparkSession.createDataFrame(
+            [r for r in known if r["_low"] == r["_high"]], targets.schema
+        )
+        sought = df.sparkSession.createDataFrame(open_ends, targets.schema)
+        chosen = [c for c in names if any(r["column"] == c for r in open_ends)]
+    else:
+        settled, sought, chosen = targets.where("_low = _high"), targets.where("_low <> _high"), names
+
+    found = [*keys, "probability", "_share", "_end"]
+    values = settled.select(*found, F.col("_low").alias("_value"))
+    if chosen:
+        wanted = sought.select(*stable, "_bucket").distinct()
+        near = counted(
+            match_null_safe(
+                bucketed(chosen), F.broadcast(wanted) if bounded else wanted, [*stable, "_bucket"]
+            ),
+            ["_bucket", "_value"],
+        ).drop("_low", "_high")
+        first = F.sum("_count").over(_earlier([*keys, "_bucket"], F.col("_value")))
+        placed = near.withColumn("_first", F.coalesce(first, F.lit(0)))
+        hit = match_null_safe(
+            placed, F.broadcast(sought) if bounded else sought, [*keys, "_bucket"]
+        ).where(
+            (F.col("_place") >= F.col("_first"))
+            & (F.col("_place") < F.col("_first") + F.col("_count"))
+        )
+        values = values.unionByName(hit.select(*found, "_value"))
     low = F.max(F.when(F.col("_end") == "low", F.col("_value")))
     high = F.max(F.when(F.col("_end") == "high", F.col("_value")))
-    return hit.groupBy(*by, "probability").agg(
-        (low + F.max("_share") * (high - low)).alias("quantile")
+    return values.groupBy(*keys, "probability").agg(
+        F.when(low == high, low).otherwise(low + F.max("_share") * (high - low)).alias("quantile")
     )

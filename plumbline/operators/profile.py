@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import (
     FLOATING_TYPES,
+    NUMERIC_TYPES,
     col,
     comparison_key,
     finite_or_null,
@@ -34,23 +36,30 @@ def _rows(frame: DataFrame, entries: Sequence[Column]) -> DataFrame:
     return frame.select(F.inline(F.array(*entries)))
 
 
+def _null_count(c: str) -> Column:
+    return F.count_if(col(c).isNull())
+
+
+def _with_rates(counts: DataFrame) -> DataFrame:
+    return counts.withColumns(
+        {
+            "null_rate": F.when(F.col("rows") > 0, F.col("null_count") / F.col("rows")),
+            "non_null_count": F.col("rows") - F.col("null_count"),
+        }
+    )
+
+
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, rows, null_count, null_rate, non_null_count)`` from one aggregate."""
     names = list(columns or df.columns)
     one = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)],
+        F.count("*").alias("rows"), *[_null_count(c).alias(f"n{i}") for i, c in enumerate(names)]
     )
     entries = [
         F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"n{i}").alias("null_count"))
         for i, c in enumerate(names)
     ]
-    return _rows(one, entries).withColumns(
-        {
-            "null_rate": F.when(F.col("rows") > 0, F.col("null_count") / F.col("rows")),
-            "non_null_count": F.col("rows") - F.col("null_count"),
-        }
-    )
+    return _with_rates(_rows(one, entries))
 
 
 def missing_columns(df: DataFrame) -> DataFrame:
@@ -63,7 +72,8 @@ def distinct_counts(
 ) -> DataFrame:
     """``(column, n_unique)``; null counts as one value.
 
-    All columns share one shuffle of their distinct values instead of one expansion each.
+    Every column is scanned by itself and shuffles its own distinct values, so rows are never
+    expanded and a columnar source is read once in all.
     """
     names = list(columns or df.columns)
     if approximate:
@@ -85,38 +95,40 @@ def distinct_counts(
                 for i, c in enumerate(names)
             ],
         )
-    cells = _long(df, names, lambda c: comparison_key(df, c).cast("string"))
-    return cells.groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(
-        F.count("*").alias("n_unique")
-    )
+    counts = [
+        df.select(comparison_key(df, c).alias("value"))
+        .distinct()
+        .agg(F.lit(c).alias("column"), F.count("*").alias("n_unique"))
+        for c in names
+    ]
+    return reduce(DataFrame.unionAll, counts)
 
 
-def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, min, max, mean, std, skewness)`` from one aggregate; NaN is left out."""
-    names = list(columns or numeric_columns(df))
+_MOMENTS = {
+    "min": F.min, "max": F.max, "mean": F.mean, "std": F.stddev_samp, "skewness": F.skewness,
+}
 
-    def number(c: str) -> Column:
-        x = col(c).cast("double")
-        if isinstance(df.schema[c].dataType, FLOATING_TYPES):
-            return F.when(~F.isnan(x), x)
-        return x
 
-    one = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.min(number(c)).alias("min"),
-                F.max(number(c)).alias("max"),
-                F.mean(number(c)).alias("mean"),
-                F.stddev_samp(number(c)).alias("std"),
-                F.skewness(number(c)).alias("skewness"),
-            ).alias(f"s{i}")
-            for i, c in enumerate(names)
-        ]
-    )
-    return _rows(one, [F.col(f"s{i}") for i in range(len(names))]).withColumns(
-        {s: finite_or_null(F.col(s)) for s in ("min", "max", "mean", "std", "skewness")}
-    )
+def _statistics(df: DataFrame, c: str) -> dict[str, Column]:
+    """The aggregates of one column, null where it holds no numbers; NaN is left out."""
+    if not isinstance(df.schema[c].dataType, NUMERIC_TYPES):
+        return {s: F.lit(None).cast("double") for s in _MOMENTS}
+    x = col(c).cast("double")
+    if isinstance(df.schema[c].dataType, FLOATING_TYPES):
+        x = F.when(~F.isnan(x), x)
+    return {s: finite_or_null(f(x)) for s, f in _MOMENTS.items()}
+
+
+def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, min, max, mean, std, skewness)`` from one aggregate."""
+    names = list(columns or numeric_columns(df))
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"), *[v.alias(s) for s, v in _statistics(df, c).items()]
+        ).alias(f"s{i}")
+        for i, c in enumerate(names)
+    ]
+    return _rows(df.agg(*entries), [F.col(f"s{i}") for i in range(len(names))])
 
 
 def medians(
@@ -137,35 +149,35 @@ def medians(
                 for i, c in enumerate(names)
             ],
         )
-    cells = _long(df, names, lambda c: col(c).cast("double"))
-    return exact_quantiles(cells, ["column"], "value", [0.5]).select(
+    return exact_quantiles(df, names, [0.5]).select(
         "column", F.col("quantile").alias("median")
     )
 
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row per column: type, nulls, distinct values and, for numbers, six statistics."""
-    types = _rows(
-        df.sparkSession.range(1),
-        [
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-            )
-            for i, f in enumerate(df.schema.fields)
-        ],
-    )
-    out = types.join(null_counts(df), "column", "left").join(
-        distinct_counts(df, approximate=approximate), "column", "left"
+    """One row per column: type, nulls, distinct values and, for numbers, six statistics.
+
+    Counts and moments of all columns come from one aggregate.
+    """
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column"),
+            F.lit(f.dataType.simpleString()).alias("dtype"),
+            F.count("*").alias("rows"),
+            _null_count(f.name).alias("null_count"),
+            *[v.alias(s) for s, v in _statistics(df, f.name).items()],
+        ).alias(f"s{i}")
+        for i, f in enumerate(df.schema.fields)
+    ]
+    counted = _rows(df.agg(*entries), [F.col(f"s{i}") for i in range(len(entries))])
+    out = _with_rates(counted).join(
+        F.broadcast(distinct_counts(df, approximate=approximate)), "column", "left"
     )
-    out = out.withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
     if numeric_columns(df):
-        out = out.join(numeric_statistics(df), "column", "left").join(
-            medians(df, approximate=approximate), "column", "left"
-        )
+        out = out.join(F.broadcast(medians(df, approximate=approximate)), "column", "left")
     else:
-        out = out.withColumns({s: F.lit(None).cast("double") for s in STATISTICS})
+        out = out.withColumn("median", F.lit(None).cast("double"))
     return out.select(
         "position", "column", "dtype", "rows", "null_count", "null_rate", "non_null_count",
         "n_unique", *STATISTICS,

@@ -24,18 +24,11 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    entries = [
-        F.struct(F.lit(c).alias("column"), _number(c).alias("value")) for c in columns
-    ]
-    return df.select(*keep, F.inline(F.array(*entries)))
-
-
 def learn_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, dict[float, float]]:
     found: dict[str, dict[float, float]] = {c: {} for c in columns}
-    for r in exact_quantiles(_cells(df, columns), ["column"], "value", probabilities).collect():
+    for r in exact_quantiles(df, columns, probabilities).collect():
         found[r["column"]][r["probability"]] = r["quantile"]
     return found
 
@@ -223,11 +216,21 @@ def fold_statistics(
     one held out. Rows are counted under their own fold and merged afterwards, so the table is
     not copied once per training set.
     """
-    cells = _cells(df, columns, keep).where(F.col("value").isNotNull())
     by = ["column", *keep]
-    parts = cells.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
+    sums = df.groupBy(*keep).agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(_number(c)).alias("n"),
+                F.avg(_number(c)).alias("m"),
+                F.var_pop(_number(c)).alias("v"),
+            ).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
     )
+    parts = sums.select(
+        *keep, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))]))
+    ).where(F.col("n") > 0)
     regroup = other_folds(folds)
     merged = W.partitionBy(*by)
     moments = (
@@ -244,9 +247,9 @@ def fold_statistics(
             ).alias("std"),
         )
     )
-    stable = [c for c in by if c != "fold"]
+    stable = [c for c in keep if c != "fold"]
     spread = (
-        exact_quantiles(cells, by, "value", [0.25, 0.5, 0.75], regroup, stable)
+        exact_quantiles(df, columns, [0.25, 0.5, 0.75], keep, regroup, stable)
         .groupBy(*by)
         .agg(
             *[

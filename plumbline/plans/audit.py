@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.expressions import computed_once
 from plumbline.plans.contracts import CONTRACTS
 
 ISSUE_DDL = "struct<action_id:string,code:string,detail:string>"
@@ -139,8 +140,8 @@ def with_issues(
     dataset = dataset_id if isinstance(dataset_id, Column) else F.lit(dataset_id)
     entry = F.struct("column", F.struct("kind", "protected").alias("what"))
     known = catalog.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-    rows = plans.withColumns(
-        {"_known": known, "_signatures": F.transform("actions", _signature)}
+    rows = computed_once(
+        plans.withColumn("_known", known), _signatures=F.transform("actions", _signature)
     )
     catalogued = F.col("_known")
     kinds = F.create_map(
@@ -223,12 +224,10 @@ def with_issues(
             ),
         )
     )
-    return rows.withColumn(
-        "issues",
-        F.concat(of_plan, F.flatten(F.transform("actions", action_issues))).cast(
-            f"array<{ISSUE_DDL}>"
-        ),
-    ).drop("_known", "_signatures")
+    issues = F.concat(of_plan, F.flatten(F.transform("actions", action_issues)))
+    return computed_once(rows, issues=issues.cast(f"array<{ISSUE_DDL}>")).drop(
+        "_known", "_signatures"
+    )
 
 
 def audit_plans(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import col
+from plumbline.functions.expressions import col, computed_once
 from plumbline.plans.contracts import (
     ACTION_FIELDS,
     IDENTIFIER,
@@ -81,16 +81,15 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
     """
     text = col(json)
     broken = "_broken"
-    parsed = df.withColumn(
-        "_plan",
-        F.from_json(
+    parsed = computed_once(
+        df,
+        _plan=F.from_json(
             text, f"{PLAN_DDL}, {broken} string", {"columnNameOfCorruptRecord": broken}
         ),
-    ).withColumn("_raw", F.from_json(text, "actions array<string>")["actions"])
-    plan = F.col("_plan")
-    actions = F.coalesce(
-        plan["actions"], F.from_json(F.lit('{"actions":[]}'), PLAN_DDL)["actions"]
+        _raw=F.from_json(text, "actions array<string>")["actions"],
     )
+    plan = F.col("_plan")
+    actions = F.coalesce(plan["actions"], F.array().cast(parsed.schema["_plan"].dataType["actions"].dataType))
     ids = F.transform(actions, lambda a: a["action_id"])
     unreadable = text.isNull() | plan.isNull() | plan[broken].isNotNull()
     fields = F.array_compact(
@@ -126,16 +125,15 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
         )
         .withField("model_scope", F.coalesce(a["model_scope"], F.lit("all"))),
     )
-    return parsed.select(
+    failed = F.array(
+        F.struct(F.lit("malformed_json").alias("code"), F.lit("plan").alias("detail"))
+    )
+    checked = computed_once(
+        parsed, actions=filled, shape_errors=F.when(unreadable, failed).otherwise(errors)
+    )
+    return checked.select(
         *df.columns,
         *[plan[f].alias(f) for f in PLAN_FIELDS if f != "actions"],
-        filled.alias("actions"),
-        F.when(
-            unreadable,
-            F.array(
-                F.struct(F.lit("malformed_json").alias("code"), F.lit("plan").alias("detail"))
-            ),
-        )
-        .otherwise(errors)
-        .alias("shape_errors"),
+        "actions",
+        "shape_errors",
     )

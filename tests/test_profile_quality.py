@@ -77,7 +77,7 @@ def test_exact_quantiles(spark, values):
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
     found = {
-        r["probability"]: r["quantile"] for r in exact_quantiles(df, ["g"], "v", probs).collect()
+        r["probability"]: r["quantile"] for r in exact_quantiles(df, ["v"], probs, ["g"]).collect()
     }
     finite = [v for v in values if math.isfinite(v)]
     if len(finite) == len(values):
