@@ -29,6 +29,7 @@ from plumbline.operators.split import (
     split_temporally,
     temporal_cutoff,
 )
+from plumbline.operators.transforms import impute_categorical
 from plumbline.sources import tables as src
 
 def order_rules():
@@ -568,3 +569,85 @@ def corruption_log(spark, folder):
     return dg.corruption_log(
         transactions(spark, folder), {"type": RATES["type"]}, ["event_id"]
     )
+
+
+@query(
+    "repair_accuracy",
+    with_sql(TX, DEGRADED) + """
+    , filled AS (SELECT type FROM degraded WHERE type IS NOT NULL
+                 GROUP BY type ORDER BY count(*) DESC, type LIMIT 1)
+    SELECT 'type' AS "column", count(*) AS cells, count(*) AS repaired_cells,
+           count(*) FILTER (type = (SELECT type FROM filled)) AS exact_cells
+    FROM marked WHERE no_type""",
+)
+def repair_accuracy(spark, folder):
+    tx = transactions(spark, folder)
+    log = dg.corruption_log(tx, {"type": RATES["type"]}, ["event_id"])
+    fixed = impute_categorical(degraded(spark, folder), ["type"], "most_frequent")
+    return dg.repair_accuracy(log, fixed.select("event_id", "type"), ["event_id"])
+
+
+@query(
+    "outlier_counts",
+    with_sql(TX) + """
+    , q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM tx)
+    SELECT 'amount' AS "column", round(max(a - 1.5 * (b - a)), 6) AS low,
+           round(max(b + 1.5 * (b - a)), 6) AS high,
+           count(*) FILTER (amount < a - 1.5 * (b - a) OR amount > b + 1.5 * (b - a)) AS outliers,
+           round(count(*) FILTER (amount < a - 1.5 * (b - a) OR amount > b + 1.5 * (b - a))
+                 / count(amount)::DOUBLE, 6) AS rate
+    FROM tx, q""",
+)
+def outlier_counts(spark, folder):
+    return rounded(pf.outliers(transactions(spark, folder), ["amount"]))
+
+
+@query(
+    "constant_columns",
+    with_sql(TX) + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(max(n) / sum(n)::DOUBLE, 6) AS top_share,
+            max(n) = sum(n) AS is_constant, max(n) / sum(n)::DOUBLE >= 0.9 AS is_near_constant
+            FROM (SELECT count(*) AS n FROM tx GROUP BY "{c}")"""
+        for c in ("type", "isFraud", "amount")
+    ),
+)
+def constant_columns(spark, folder):
+    tx = transactions(spark, folder)
+    return rounded(pf.constant_columns(tx, ["type", "isFraud", "amount"], 0.9))
+
+
+@query(
+    "injected_defects",
+    with_sql(TX) + """
+    , places AS (
+      SELECT event_id, type, amount,
+             row_number() OVER (ORDER BY md5('5|amount|' || event_id)) AS ra,
+             row_number() OVER (ORDER BY md5('6|type|' || event_id)) AS rt,
+             row_number() OVER (ORDER BY md5('7|' || event_id)) AS rd,
+             round_even(count(*) OVER () * 0.02, 0) AS n
+      FROM tx),
+    changed AS (
+      SELECT event_id, rd <= n AS twice, CASE WHEN rt <= n THEN 'INVALID' ELSE type END AS type,
+             CASE WHEN ra <= n THEN amount * 100 ELSE amount END AS amount
+      FROM places)
+    SELECT event_id, type, round(amount, 6) AS amount FROM changed
+    UNION ALL SELECT event_id, type, round(amount, 6) FROM changed WHERE twice""",
+)
+def injected_defects(spark, folder):
+    key = ["event_id"]
+    rows = transactions(spark, folder).select("event_id", "type", "amount")
+    rows = dg.inject_extremes(rows, {"amount": 0.02}, key, 100.0, 5)
+    rows = dg.inject_invalid_categories(rows, {"type": 0.02}, key, "INVALID", 6)
+    return rounded(dg.inject_duplicates(rows, 0.02, key, 7))
+
+
+@query(
+    "injected_wrong_types",
+    with_sql(TX) + """
+    SELECT event_id, CASE WHEN row_number() OVER (ORDER BY md5('8|step|' || event_id))
+        <= round_even(count(*) OVER () * 0.02, 0) THEN 'n/a' ELSE CAST(step AS VARCHAR) END AS step
+    FROM tx""",
+)
+def injected_wrong_types(spark, folder):
+    rows = transactions(spark, folder).select("event_id", "step")
+    return dg.inject_wrong_types(rows, {"step": 0.02}, ["event_id"], "n/a", 8)

@@ -1,14 +1,15 @@
-"""Controlled, reproducible missing values."""
+"""Controlled, reproducible defects: missing, extreme, invalid and repeated values."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import col, draw, require_columns
 from plumbline.operators.ordering import draw_cuts
+from plumbline.operators.sampling import exact_sample
 
 
 def affected_rows(rows: int, rate: float) -> int:
@@ -62,6 +63,54 @@ def degrade(
     return df.withColumns({c: F.when(~mark, col(c)) for c, mark in marks.items()})
 
 
+def replace_cells(
+    df: DataFrame,
+    rates: Mapping[str, float],
+    key: Sequence[str],
+    replacement: Callable[[Column], Column],
+    seed: int = 42,
+    protected: Iterable[str] = (),
+) -> DataFrame:
+    """Put ``replacement(value)`` in place of the drawn cells."""
+    marks = missing_marks(df, rates, key, seed, protected)
+    return df.withColumns(
+        {c: F.when(mark, replacement(col(c))).otherwise(col(c)) for c, mark in marks.items()}
+    )
+
+
+def inject_extremes(
+    df: DataFrame, rates: Mapping[str, float], key: Sequence[str], factor: float, seed: int = 42
+) -> DataFrame:
+    """Multiply the drawn cells by ``factor``."""
+    return replace_cells(df, rates, key, lambda v: v * F.lit(factor), seed)
+
+
+def inject_invalid_categories(
+    df: DataFrame, rates: Mapping[str, float], key: Sequence[str], value: str, seed: int = 42
+) -> DataFrame:
+    return replace_cells(df, rates, key, lambda _: F.lit(value), seed)
+
+
+def inject_wrong_types(
+    df: DataFrame, rates: Mapping[str, float], key: Sequence[str], text: str, seed: int = 42
+) -> DataFrame:
+    """Turn the columns into text and put ``text`` in the drawn cells."""
+    as_text = df.withColumns({c: col(c).cast("string") for c in rates})
+    return replace_cells(as_text, rates, key, lambda _: F.lit(text), seed)
+
+
+def inject_duplicates(
+    df: DataFrame, rate: float, key: Sequence[str], seed: int = 42
+) -> DataFrame:
+    """Append a second copy of exactly ``affected_rows`` rows."""
+    if not 0.0 < rate < 1.0:
+        raise ValueError("The duplicate rate must be between 0 and 1")
+    rows = df.count()
+    if not rows:
+        raise ValueError("Cannot degrade an empty table")
+    return df.unionByName(exact_sample(df, key, affected_rows(rows, rate), seed))
+
+
 def degradation_audit(
     df: DataFrame,
     rates: Mapping[str, float],

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.durability import durable
 from plumbline.functions.expressions import (
     col,
     draw,
@@ -98,8 +99,11 @@ def nearest_neighbours(
             "salts", F.ceil(F.sum("n").over(W.partitionBy("band")) / cell_rows)
         )
     )
-    located = placed.join(cells.select("bucket", "band", "salts"), "bucket").select(
-        "id", "x", "d", "band", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "salts"
+    # Both tables below are read several times.
+    located = durable(
+        placed.join(cells.select("bucket", "band", "salts"), "bucket").select(
+            "id", "x", "d", "band", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "salts"
+        )
     )
     id_type = df.schema[key].dataType.simpleString()
 
@@ -119,10 +123,13 @@ def nearest_neighbours(
         .scalar()
     )
     reach = F.col("radius") * (1 + _SLACK) + F.col("d") * _SLACK
+    bounded = durable(
+        located.groupBy("band", "salt").applyInPandas(
+            own_radius, f"id {id_type}, x array<double>, d double, radius double"
+        )
+    )
     probes = (
-        located.groupBy("band", "salt")
-        .applyInPandas(own_radius, f"id {id_type}, x array<double>, d double, radius double")
-        .withColumn("bands", bands)
+        bounded.withColumn("bands", bands)
         .select(
             "id",
             "x",

@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.expressions import col, magnitude_bucket
 
@@ -45,22 +46,49 @@ def _earlier(by: Sequence[str], order: Column) -> W:
     return W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
+def _solid_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add key columns without nulls that group the way ``by`` does, and name them.
+
+    Plain equality on them lets one shuffle serve both a join and the window after it, which a
+    null-safe comparison would not.
+    """
+    added: dict[str, Column] = {}
+    names: list[str] = []
+    for i, c in enumerate(by):
+        field = df.schema[c]
+        if not field.nullable:
+            names.append(c)
+            continue
+        if isinstance(field.dataType, T.StringType):
+            stand_in = F.lit("")
+        elif isinstance(field.dataType, (T.NumericType, T.BooleanType)):
+            stand_in = F.lit(0).cast(field.dataType)
+        else:
+            stand_in = F.lit("1970-01-01").cast(field.dataType)
+        added[f"_null{i}"] = col(c).isNull()
+        added[f"_key{i}"] = F.coalesce(col(c), stand_in)
+        names += [f"_null{i}", f"_key{i}"]
+    return (df.withColumns(added) if added else df), names
+
+
 def rank_by_draw(
     df: DataFrame, by: Sequence[str], drawn: str, tie_break: Sequence[str], rank: str = "rank"
 ) -> DataFrame:
     """Add the 1-based rank of every row within ``by``, in order of its draw."""
-    rows = df.withColumn("_slot", F.substring(drawn, 1, bucket_digits(df.sparkSession)))
-    sizes = rows.groupBy(*by, "_slot").agg(F.count("*").alias("_size"))
+    keyed, keys = _solid_keys(df, by)
+    slot = F.coalesce(F.substring(drawn, 1, bucket_digits(df.sparkSession)), F.lit(""))
+    rows = keyed.withColumn("_slot", slot)
+    sizes = rows.groupBy(*keys, "_slot").agg(F.count("*").alias("_size"))
     offsets = sizes.select(
-        *by,
+        *keys,
         "_slot",
-        F.coalesce(F.sum("_size").over(_earlier(by, F.col("_slot"))), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_size").over(_earlier(keys, F.col("_slot"))), F.lit(0)).alias("_before"),
     )
-    inside = W.partitionBy(*by, "_slot").orderBy(drawn, *tie_break)
+    inside = W.partitionBy(*keys, "_slot").orderBy(drawn, *tie_break)
     return (
-        match_null_safe(rows, offsets, [*by, "_slot"])
+        rows.join(offsets, [*keys, "_slot"])
         .withColumn(rank, F.row_number().over(inside) + F.col("_before"))
-        .drop("_slot", "_before")
+        .select(*df.columns, rank)
     )
 
 
@@ -133,26 +161,43 @@ def running_totals(
 
     Expects one row per group and ``order`` value; ``bucket`` must never decrease with it.
     """
-    rows = df.withColumn("_bucket", bucket(col(order)))
+    keyed, keys = _solid_keys(df, by)
+    # A bucket is null only for NaN, which sorts above every number.
+    rows = keyed.withColumn("_bucket", F.coalesce(bucket(col(order)), F.lit(2**62)))
 
     def sort(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
-    outer = _earlier(by, sort("_bucket"))
+    sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
+    outer = _earlier(keys, sort("_bucket"))
     offsets = sums.select(
-        *by,
+        *keys,
         "_bucket",
         *[F.coalesce(F.sum(f"_sum_{t}").over(outer), F.lit(0)).alias(f"_off_{t}") for t in totals],
     )
-    inner = _earlier([*by, "_bucket"], sort(order))
-    joined = match_null_safe(rows, offsets, [*by, "_bucket"])
-    return joined.withColumns(
-        {
-            f"{t}_before": F.col(f"_off_{t}") + F.coalesce(F.sum(t).over(inner), F.lit(0))
+    inner = _earlier([*keys, "_bucket"], sort(order))
+    return rows.join(offsets, [*keys, "_bucket"]).select(
+        *df.columns,
+        *[
+            (F.col(f"_off_{t}") + F.coalesce(F.sum(t).over(inner), F.lit(0))).alias(f"{t}_before")
             for t in totals
-        }
-    ).drop("_bucket", *[f"_off_{t}" for t in totals])
+        ],
+    )
+
+
+def time_bucket(df: DataFrame, column: str) -> Column | None:
+    """Long that never decreases with a number, date or timestamp; None for other types."""
+    dtype, value = df.schema[column].dataType, col(column)
+    if isinstance(dtype, T.NumericType):
+        return magnitude_bucket(value)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(dtype, T.TimestampType):
+        return F.floor(F.unix_micros(value) / 60_000_000)
+    if isinstance(dtype, T.TimestampNTZType):
+        day = F.unix_date(value.cast("date")).cast("long")
+        return (day * 24 + F.hour(value)) * 60 + F.minute(value)
+    return None
 
 
 def exact_quantiles(

@@ -24,6 +24,7 @@ from plumbline.operators.ordering import exact_quantiles
 
 STATISTICS = ("min", "max", "mean", "median", "std", "skewness")
 IMBALANCE_RATE = 0.01
+MOST_CLASSES = 1000
 
 
 def _long(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
@@ -73,7 +74,8 @@ def distinct_counts(
     """``(column, n_unique)``; null counts as one value.
 
     Every column is scanned by itself and shuffles its own distinct values, so rows are never
-    expanded and a columnar source is read once in all.
+    expanded and a columnar source is read once in all. Checkpoint a table first if it is costly
+    to derive.
     """
     names = list(columns or df.columns)
     if approximate:
@@ -209,7 +211,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """``(value, count, rate)`` of every value, null included."""
     counts = df.groupBy(col(column).alias("value")).agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("total")).scalar()
+    total = df.agg(F.count("*").alias("total")).scalar()
     return counts.withColumn("rate", F.col("count") / total)
 
 
@@ -241,6 +243,58 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 20)
     )
 
 
+def outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
+    """``(column, low, high, outliers, rate)`` beyond k interquartile ranges from the quartiles."""
+    names = list(columns or numeric_columns(df))
+    quartiles: dict[str, dict[float, float]] = {c: {} for c in names}
+    for r in exact_quantiles(df, names, [0.25, 0.75]).collect():
+        quartiles[r["column"]][r["probability"]] = r["quantile"]
+    fences = {
+        c: (q[0.25] - k * (q[0.75] - q[0.25]), q[0.75] + k * (q[0.75] - q[0.25]))
+        for c, q in quartiles.items()
+        if q
+    }
+
+    def outside(c: str) -> Column:
+        if c not in fences:
+            return F.lit(False)
+        x, (low, high) = col(c).cast("double"), fences[c]
+        return (x < F.lit(low)) | ((x > F.lit(high)) & ~F.isnan(x))
+
+    one = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(fences.get(c, (None, None))[0]).cast("double").alias("low"),
+                F.lit(fences.get(c, (None, None))[1]).cast("double").alias("high"),
+                F.count_if(outside(c)).alias("outliers"),
+                (F.count_if(outside(c)) / F.count(col(c))).alias("rate"),
+            ).alias(f"s{i}")
+            for i, c in enumerate(names)
+        ]
+    )
+    return _rows(one, [F.col(f"s{i}") for i in range(len(names))])
+
+
+def constant_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.99
+) -> DataFrame:
+    """``(column, top_share, is_constant, is_near_constant)`` by the most frequent value."""
+    parts = [
+        df.select(comparison_key(df, c).alias("value"))
+        .groupBy("value")
+        .agg(F.count("*").alias("n"))
+        .agg(F.lit(c).alias("column"), (F.max("n") / F.sum("n")).alias("top_share"))
+        for c in (columns or df.columns)
+    ]
+    return reduce(DataFrame.unionAll, parts).withColumns(
+        {
+            "is_constant": F.col("top_share") == 1,
+            "is_near_constant": F.col("top_share") >= share,
+        }
+    )
+
+
 def class_imbalance(df: DataFrame, target: str, below: float = IMBALANCE_RATE) -> DataFrame:
     """``(minority_class_rate, detected)``: a modelling risk, not a defect of the data."""
     return (
@@ -318,6 +372,11 @@ def profile_report(
         return table.agg(F.sort_array(F.collect_list(cells)).alias("v")).scalar()
 
     classes = value_distribution(df, target).withColumn("value", F.col("value").cast("string"))
+    # A report holds all classes or none: a target with very many values fails the query.
+    listed_classes = listed(classes.limit(MOST_CLASSES + 1), "value")
+    listed_classes = F.when(F.size(listed_classes) <= MOST_CLASSES, listed_classes).otherwise(
+        F.raise_error(F.lit(f"Column '{target}' has too many values to be a class"))
+    )
     strings = string_columns(df)
     out = table_profile(df, rules).select(
         F.lit("1.0").alias("report_version"),
@@ -330,7 +389,7 @@ def profile_report(
         ).alias("duplicates"),
         listed(column_profile(df, approximate), "position").alias("columns"),
         F.struct(
-            F.lit(target).alias("column"), listed(classes, "value").alias("values")
+            F.lit(target).alias("column"), listed_classes.alias("values")
         ).alias("class_distribution"),
         F.struct(
             F.lit(time).alias("column"),

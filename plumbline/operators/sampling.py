@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from plumbline.functions.expressions import col, draw, draw_number, require_columns
 from plumbline.operators.ordering import draw_cuts, match_null_safe, rank_by_draw
 
+MOST_CLASSES = 1000
+
 
 def class_counts(df: DataFrame, target: str) -> dict[object, int]:
-    """Rows per class, null left out."""
+    """Rows per class, null left out. A column with very many values is no class label."""
     counted = df.where(col(target).isNotNull()).groupBy(col(target).alias("y")).count()
-    return {r["y"]: r["count"] for r in counted.collect()}
+    rows = counted.limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"Column '{target}' has more than {MOST_CLASSES} values to be a class")
+    return {r["y"]: r["count"] for r in rows}
 
 
 def _two_classes(df: DataFrame, target: str) -> tuple[object, int, object, int]:

@@ -17,6 +17,8 @@ from plumbline.operators.folds import other_folds
 from plumbline.operators.ordering import exact_quantiles
 
 MISSING_CATEGORY = "__NULL__"
+# Each category becomes a column; beyond this the plan is refused rather than cut short.
+MOST_CATEGORIES = 10_000
 
 
 def _number(c: str) -> Column:
@@ -91,7 +93,10 @@ def learn_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[st
         for c in columns
     ]
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in df.select(F.inline(F.array(*entries))).distinct().orderBy("column", "value").collect():
+    rows = df.select(F.inline(F.array(*entries))).distinct().limit(MOST_CATEGORIES + 1).collect()
+    if len(rows) > MOST_CATEGORIES:
+        raise ValueError(f"More than {MOST_CATEGORIES} categories to encode")
+    for r in sorted(rows):
         found[r["column"]].append(r["value"])
     return found
 
