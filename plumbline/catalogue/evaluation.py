@@ -565,7 +565,7 @@ def _robust_plan():
 def _benchmark(spark, folder, plan):
     sample = case_control_sample(_model_table(spark, folder), TARGET, KEY, 2, 42)
     return sample, benchmark(
-        sample, plan, TARGET, KEY, 2, 1, settings=QUICK, parallelism=2
+        sample, plan, TARGET, KEY, 2, 1, settings=QUICK, parallelism=4
     )
 
 

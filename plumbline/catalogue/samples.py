@@ -112,7 +112,13 @@ def fold_training_rows(spark, folder):
     return train.unionByName(held)
 
 
-@query("target_fingerprint")
+@query(
+    "target_fingerprint",
+    with_sql(TX) + """
+    SELECT count(*) AS rows,
+           bit_xor(('0x' || substr(md5(event_id || '|' || "isFraud"), 1, 15))::BIGINT) AS fingerprint
+    FROM tx""",
+)
 def target_fingerprint(spark, folder):
     return fd.target_fingerprint(transactions(spark, folder), "isFraud", KEY)
 

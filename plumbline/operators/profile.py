@@ -310,22 +310,26 @@ def time_range(df: DataFrame, time: str) -> DataFrame:
     return df.agg(F.min(time).alias("min_time"), F.max(time).alias("max_time"))
 
 
+def _rule_counts(rules: Sequence[Rule]) -> list[Column]:
+    return [F.count_if(r.failure).alias(f"r{i}") for i, r in enumerate(rules)]
+
+
+def _rule_entries(rules: Sequence[Rule]) -> list[Column]:
+    return [
+        F.struct(
+            F.lit(r.name).alias("rule"),
+            F.lit(r.kind).alias("kind"),
+            F.col(f"r{i}").alias("failures"),
+        )
+        for i, r in enumerate(rules)
+    ]
+
+
 def check_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``(rule, kind, failures)``: all rules counted in one pass over the table."""
     if not rules:
         return df.sparkSession.createDataFrame([], "rule string, kind string, failures long")
-    one = df.agg(*[F.count_if(r.failure).alias(f"r{i}") for i, r in enumerate(rules)])
-    return _rows(
-        one,
-        [
-            F.struct(
-                F.lit(r.name).alias("rule"),
-                F.lit(r.kind).alias("kind"),
-                F.col(f"r{i}").alias("failures"),
-            )
-            for i, r in enumerate(rules)
-        ],
-    )
+    return _rows(df.agg(*_rule_counts(rules)), _rule_entries(rules))
 
 
 def rule_totals(failures: DataFrame) -> DataFrame:
@@ -334,31 +338,33 @@ def rule_totals(failures: DataFrame) -> DataFrame:
     )
 
 
-def table_profile(df: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
-    """One row with everything the quality score needs: the whole table read twice.
+def _total(parts: Sequence[Column]) -> Column:
+    return sum(parts[1:], parts[0]) if parts else F.lit(0).cast("long")
 
-    One pass counts rows, nulls and rule failures, the other distinct rows.
-    """
-    def failures(kind: str) -> Column:
-        counts = [F.count_if(r.failure) for r in rules if r.kind == kind]
-        return sum(counts[1:], counts[0]) if counts else F.lit(0).cast("long")
 
-    def rule_count(kind: str) -> Column:
-        return F.lit(sum(r.kind == kind for r in rules))
+def table_profile(
+    df: DataFrame, rules: Sequence[Rule] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
+    """One row with everything the quality score needs: the whole table read twice.
 
-    nulls = [F.count_if(col(c).isNull()) for c in df.columns]
+    One pass counts rows, nulls and rule failures, the other distinct rows. ``extra`` aggregates
+    join the first pass.
+    """
     counts = df.agg(
         F.count("*").alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
-        sum(nulls[1:], nulls[0]).alias("missing_cells"),
-        rule_count(VALIDITY).alias("validity_checks"),
-        failures(VALIDITY).alias("validity_failures"),
-        rule_count(CONSISTENCY).alias("consistency_checks"),
-        failures(CONSISTENCY).alias("consistency_failures"),
-    )
-    return counts.withColumn(
-        "duplicate_rows", duplicate_rows(df).select("duplicate_rows").scalar()
+        _total([_null_count(c) for c in df.columns]).alias("missing_cells"),
+        *_rule_counts(rules),
+        *extra,
     )
+    of_kind: dict[str, Column] = {}
+    for kind in (VALIDITY, CONSISTENCY):
+        chosen = [F.col(f"r{i}") for i, r in enumerate(rules) if r.kind == kind]
+        of_kind[f"{kind}_checks"] = F.lit(len(chosen))
+        of_kind[f"{kind}_failures"] = _total(chosen)
+    duplicates = duplicate_rows(df).select("duplicate_rows").scalar()
+    out = counts.withColumns({**of_kind, "duplicate_rows": duplicates})
+    return out if extra else out.drop(*[f"r{i}" for i in range(len(rules))])
 
 
 def profile_report(
@@ -368,42 +374,47 @@ def profile_report(
     require_columns(df, [target, time], "Profile input")
 
     def listed(table: DataFrame, *order: str) -> Column:
-        cells = F.struct(*[F.col(c) for c in [*order, *[c for c in table.columns if c not in order]]])
+        cells = F.struct(*order, *[c for c in table.columns if c not in order])
         return table.agg(F.sort_array(F.collect_list(cells)).alias("v")).scalar()
 
-    classes = value_distribution(df, target).withColumn("value", F.col("value").cast("string"))
     # A report holds all classes or none: a target with very many values fails the query.
-    listed_classes = listed(classes.limit(MOST_CLASSES + 1), "value")
-    listed_classes = F.when(F.size(listed_classes) <= MOST_CLASSES, listed_classes).otherwise(
-        F.raise_error(F.lit(f"Column '{target}' has too many values to be a class"))
+    classes = value_distribution(df, target).withColumn("value", F.col("value").cast("string"))
+    of_target = listed(classes.limit(MOST_CLASSES + 1), "value")
+    span = F.struct(F.min(time).alias("min"), F.max(time).alias("max")).alias("span")
+    out = table_profile(df, rules, [span]).withColumns(
+        {
+            "classes": F.when(F.size(of_target) <= MOST_CLASSES, of_target).otherwise(
+                F.raise_error(F.lit(f"Column '{target}' has too many values to be a class"))
+            ),
+            "profiles": listed(column_profile(df, approximate), "position"),
+        }
     )
+    minority = F.array_min(F.transform("classes", lambda c: c["rate"]))
     strings = string_columns(df)
-    out = table_profile(df, rules).select(
-        F.lit("1.0").alias("report_version"),
-        F.struct("rows", "columns").alias("dimensions"),
-        F.struct(
+    report = {
+        "report_version": F.lit("1.0"),
+        "dimensions": F.struct("rows", "columns"),
+        "duplicates": F.struct(
             "duplicate_rows",
             F.when(F.col("rows") > 0, F.col("duplicate_rows") / F.col("rows")).alias(
                 "duplicate_rate"
             ),
-        ).alias("duplicates"),
-        listed(column_profile(df, approximate), "position").alias("columns"),
-        F.struct(
-            F.lit(target).alias("column"), listed_classes.alias("values")
-        ).alias("class_distribution"),
-        F.struct(
-            F.lit(time).alias("column"),
-            df.agg(F.min(time)).scalar().alias("min"),
-            df.agg(F.max(time)).scalar().alias("max"),
-        ).alias("time_range"),
-        class_imbalance(df, target)
-        .select(F.struct("detected", "minority_class_rate"))
-        .scalar()
-        .alias("class_imbalance"),
-        F.struct("validity_checks", "validity_failures").alias("validity"),
-        F.struct("consistency_checks", "consistency_failures").alias("consistency"),
-    )
-    out = out.withColumn("rule_failures", listed(check_rules(df, rules), "kind", "rule"))
+        ),
+        "columns": F.col("profiles"),
+        "class_distribution": F.struct(
+            F.lit(target).alias("column"), F.col("classes").alias("values")
+        ),
+        "time_range": F.struct(F.lit(time).alias("column"), "span.min", "span.max"),
+        "class_imbalance": F.struct(
+            F.coalesce(minority < IMBALANCE_RATE, F.lit(False)).alias("detected"),
+            minority.alias("minority_class_rate"),
+        ),
+        "validity": F.struct("validity_checks", "validity_failures"),
+        "consistency": F.struct("consistency_checks", "consistency_failures"),
+        "rule_failures": F.array(*_rule_entries(rules)).cast(
+            "array<struct<rule:string,kind:string,failures:bigint>>"
+        ),
+    }
     if strings:
-        out = out.withColumn("top_values", listed(top_values(df, strings), "column", "rank"))
-    return out
+        report["top_values"] = listed(top_values(df, strings), "column", "rank")
+    return out.select(*[c.alias(n) for n, c in report.items()])

@@ -21,7 +21,13 @@ from plumbline.functions.expressions import (
     columns_of,
     require_columns,
 )
-from plumbline.operators.folds import stratified_folds, training_rows, validation_rows
+from plumbline.operators.folds import (
+    check_same_target,
+    stratified_folds,
+    target_fingerprint,
+    training_rows,
+    validation_rows,
+)
 from plumbline.operators.metrics import (
     METRICS,
     classification_metrics,
@@ -48,6 +54,10 @@ FOLD_DDL = (
 )
 
 
+def require_model_features(df: DataFrame) -> None:
+    require_columns(df, MODEL_FEATURES, "Modelling table")
+
+
 def fixed_plan(
     dataset_id: str,
     categorical: Sequence[str] = CATEGORICAL_FEATURES,
@@ -150,13 +160,17 @@ def benchmark(
 ) -> BenchmarkResult:
     """Evaluate a plan with every model on shared folds; a failing fold becomes an error row.
 
-    Folds are made once, or passed in to share them between plans. The sample with its folds is
+    Folds are made once, or passed in to share them between plans; folds of another sample are
+    refused. The sample with its folds is
     checkpointed, so each of the many fits reads it without recomputing. ``parallelism`` fits
     run at a time, each a distributed job.
     """
     require_columns(sample, [target, *key], "Benchmark sample")
     if assigned is None:
         assigned = stratified_folds(sample, target, key, folds, repeats, seed)
+    else:
+        made_for = target_fingerprint(assigned.where(F.col("repeat") == 1), target, key).first()
+        check_same_target(sample, target, key, tuple(made_for))
     data = durable(sample.join(assigned.select(*key, "repeat", "fold"), list(key)))
     sizes = {
         (r["repeat"], r["fold"]): r["count"]

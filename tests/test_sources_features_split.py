@@ -118,6 +118,24 @@ def test_temporal_split(spark):
     assert total == 10
 
 
+@pytest.mark.parametrize("kind, values", [
+    ("double", [-5.5, -0.25, 0.0, 0.5, 1e12]),
+    ("date", ["1969-12-30", "1970-01-01", "2024-02-29", "2024-03-01", "2024-03-02"]),
+    ("timestamp", ["1969-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:00:01",
+                   "2024-01-01 00:00:01.5", "2024-01-02 00:00:00"]),
+    ("timestamp_ntz", ["1969-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:00:01",
+                       "2024-01-01 00:00:01.5", "2024-01-02 00:00:00"]),
+    ("string", ["a", "b", "c", "d", "e"]),
+])
+@pytest.mark.parametrize("fraction, place", [(0.2, 4), (0.4, 3), (0.5, 2), (0.8, 1), (0.99, 1)])
+def test_cutoff_of_any_ordered_type(spark, kind, values, fraction, place):
+    rows = [(v,) for v in values * 3] + [(None,)]
+    base = "double" if kind == "double" else "string"
+    df = spark.createDataFrame(rows, f"t {base}").select(F.col("t").cast(kind).alias("t"))
+    expected = sorted(r["t"] for r in df.where("t is not null").distinct().collect())[place]
+    assert temporal_cutoff(df.repartition(3), "t", fraction) == expected
+
+
 def test_strict_json(spark, tmp_path):
     df = spark.createDataFrame(
         [(float("nan"), [1.0, float("inf")], {"k": float("-inf")}, (2.0, float("nan")))],

@@ -9,6 +9,7 @@ from plumbline.training.benchmark import (
     candidate_evidence,
     compare_on_holdout,
     fixed_plan,
+    require_model_features,
 )
 from plumbline.training.estimators import create_estimator, needs_scaling
 
@@ -93,3 +94,16 @@ def test_estimator_settings(spark):
     rf = create_estimator("random_forest", 1.0)
     assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode()) == (100, 20, 2)
     assert create_estimator("decision_tree", 1.0).getMaxDepth() == 30
+
+
+def test_folds_of_another_sample_are_refused(sample):
+    folds = stratified_folds(sample, "isFraud", ["id"], 2, 1)
+    flipped = sample.withColumn("isFraud", 1 - F.col("isFraud"))
+    with pytest.raises(ValueError, match="do not match"):
+        benchmark(flipped, fixed_plan("d"), "isFraud", ["id"], 2, 1, assigned=folds)
+
+
+def test_model_features_are_required(sample):
+    require_model_features(sample)
+    with pytest.raises(ValueError, match="hour, step"):
+        require_model_features(sample.drop("step", "hour"))
