@@ -114,9 +114,9 @@ def magnitude_bucket(value: Column) -> Column:
     x = value.cast("double")
     step = F.floor(F.log2(F.abs(x)) * _PER_OCTAVE) + _BUCKET_SHIFT
     size = F.when(F.abs(x) == float("inf"), F.lit(_BUCKET_TOP)).otherwise(step)
-    return (
-        F.when(x > 0, size).when(x < 0, -size).when(x == 0, F.lit(0)).cast("long")
-    )
+    # NaN compares as larger than any number and stays without a bucket.
+    signed = F.when(x > 0, size).when(x < 0, -size).when(x == 0, F.lit(0))
+    return F.when(~F.isnan(x), signed).cast("long")
 
 
 def score_bucket(score: Column) -> Column:
@@ -126,7 +126,8 @@ def score_bucket(score: Column) -> Column:
     """
     s = score.cast("double")
     return (
-        F.when(s >= 1, magnitude_bucket(s) + _BUCKET_TOP)
+        F.when(F.isnan(s), F.lit(None).cast("long"))
+        .when(s >= 1, magnitude_bucket(s) + _BUCKET_TOP)
         .when(s > 0, magnitude_bucket(s / (1 - s)))
         .otherwise(magnitude_bucket(s))
     )

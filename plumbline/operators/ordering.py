@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,8 @@ from plumbline.functions.expressions import col, magnitude_bucket
 
 # Most rows a lookup table may have to be broadcast by hint.
 BROADCAST_ROWS = 100_000
+# Most value ranges to spell out in a filter.
+PUSHED_RANGES = 64
 
 
 def bucket_digits(spark: SparkSession) -> int:
@@ -200,6 +202,47 @@ def time_bucket(df: DataFrame, column: str) -> Column | None:
     return None
 
 
+def quantile_targets(
+    histogram: DataFrame,
+    keys: Sequence[str],
+    probabilities: Sequence[float],
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Where the wanted positions lie in a histogram of ``_bucket, _count, _low, _high``.
+
+    Per key and probability the low and the high position, each with its bucket and its place
+    inside the bucket. Rows without a bucket pass through. ``carry`` columns are kept.
+    """
+    ordered = F.when(F.col("_bucket").isNotNull(), F.col("_count"))
+    position = F.col("probability") * (F.col("_total") - 1)
+    return (
+        histogram.withColumns(
+            {
+                "_before": F.coalesce(
+                    F.sum(ordered).over(_earlier(keys, F.col("_bucket"))), F.lit(0)
+                ),
+                "_total": F.sum(ordered).over(W.partitionBy(*keys)),
+            }
+        )
+        # Exploded in a step of its own: window frames above must not see the copies.
+        .withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        .withColumn("_share", position - F.floor(position))
+        .withColumn("_end", F.explode(F.array(F.lit("low"), F.lit("high"))))
+        .withColumn(
+            "_place",
+            F.when(F.col("_end") == "low", F.floor(position)).otherwise(F.ceil(position))
+            - F.col("_before"),
+        )
+        .where(
+            F.col("_bucket").isNull()
+            | ((F.col("_place") >= 0) & (F.col("_place") < F.col("_count")))
+        )
+        .select(
+            *keys, "_bucket", "probability", "_share", "_end", "_place", "_low", "_high", *carry
+        )
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -207,6 +250,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     regroup: Callable[[DataFrame], DataFrame] | None = None,
     stable: Sequence[str] | None = None,
+    found: Sequence[Row] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``(column, *by, probability, quantile)``.
 
@@ -214,17 +258,22 @@ def exact_quantiles(
     A bucket with one distinct value settles its position; for the others a second scan reads
     just the columns concerned and sorts just the rows of those buckets. Null and NaN are left
     out. ``regroup`` may map counted rows to other groups, such as folds to the training sets
-    they belong to; ``stable`` then names the ``by`` columns it leaves alone.
+    they belong to; ``stable`` then names the ``by`` columns it leaves alone. ``found`` are rows of
+    ``quantile_targets`` if the histogram was made elsewhere.
     """
     names = list(columns)
     keys = ["column", *by]
     stable = ["column", *(by if stable is None else stable)]
 
-    def bucketed(chosen: Sequence[str]) -> DataFrame:
-        numbers = F.array(*[col(c).cast("double") for c in chosen])
+    def number(c: str) -> Column:
+        return col(c) if isinstance(df.schema[c].dataType, T.DoubleType) else col(c).cast("double")
+
+    def bucketed(chosen: Sequence[str], within: Column | None = None) -> DataFrame:
+        numbers = F.array(*[number(c) for c in chosen])
         label = F.array(*[F.lit(c) for c in chosen])
+        rows = df if within is None else df.where(within)
         return (
-            df.select(*by, F.posexplode(numbers).alias("_at", "_value"))
+            rows.select(*by, F.posexplode(numbers).alias("_at", "_value"))
             .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
             .withColumn("_bucket", magnitude_bucket(F.col("_value")))
             .withColumn("column", label[F.col("_at")])
@@ -241,30 +290,8 @@ def exact_quantiles(
             return counts
         return regroup(counts).groupBy(*keys, *extra).agg(F.sum("_count").alias("_count"), *ends)
 
-    position = F.col("probability") * (F.col("_total") - 1)
-    targets = (
-        counted(bucketed(names), ["_bucket"])
-        .withColumns(
-            {
-                "_before": F.coalesce(
-                    F.sum("_count").over(_earlier(keys, F.col("_bucket"))), F.lit(0)
-                ),
-                "_total": F.sum("_count").over(W.partitionBy(*keys)),
-            }
-        )
-        # Exploded in a step of its own: window frames above must not see the copies.
-        .withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("_share", position - F.floor(position))
-        .withColumn("_end", F.explode(F.array(F.lit("low"), F.lit("high"))))
-        .withColumn(
-            "_place",
-            F.when(F.col("_end") == "low", F.floor(position)).otherwise(F.ceil(position))
-            - F.col("_before"),
-        )
-        .where((F.col("_place") >= 0) & (F.col("_place") < F.col("_count")))
-        .select(*keys, "_bucket", "probability", "_share", "_end", "_place", "_low", "_high")
-    )
-    known = targets.limit(BROADCAST_ROWS + 1).collect()
+    targets = quantile_targets(counted(bucketed(names), ["_bucket"]), keys, probabilities)
+    known = targets.limit(BROADCAST_ROWS + 1).collect() if found is None else list(found)
     bounded = len(known) <= BROADCAST_ROWS
     if bounded:
         open_ends = [r for r in known if r["_low"] != r["_high"]]
@@ -272,17 +299,24 @@ def exact_quantiles(
             [r for r in known if r["_low"] == r["_high"]], targets.schema
         )
         sought = df.sparkSession.createDataFrame(open_ends, targets.schema)
-        chosen = [c for c in names if any(r["column"] == c for r in open_ends)]
+        ranges = {(r["column"], r["_low"], r["_high"]) for r in open_ends}
+        chosen = [c for c in names if any(c == r[0] for r in ranges)]
     else:
         settled, sought, chosen = targets.where("_low = _high"), targets.where("_low <> _high"), names
 
-    found = [*keys, "probability", "_share", "_end"]
-    values = settled.select(*found, F.col("_low").alias("_value"))
+    # A few value ranges become a plain filter, which Parquet can skip row groups by.
+    within = None
+    if bounded and 0 < len(ranges) <= PUSHED_RANGES:
+        within = F.lit(False)
+        for c, low, high in sorted(ranges):
+            within = within | number(c).between(F.lit(low), F.lit(high))
+    place = [*keys, "probability", "_share", "_end"]
+    values = settled.select(*place, F.col("_low").alias("_value"))
     if chosen:
         wanted = sought.select(*stable, "_bucket").distinct()
         near = counted(
             match_null_safe(
-                bucketed(chosen), F.broadcast(wanted) if bounded else wanted, [*stable, "_bucket"]
+                bucketed(chosen, within), F.broadcast(wanted) if bounded else wanted, [*stable, "_bucket"]
             ),
             ["_bucket", "_value"],
         ).drop("_low", "_high")
@@ -294,7 +328,7 @@ def exact_quantiles(
             (F.col("_place") >= F.col("_first"))
             & (F.col("_place") < F.col("_first") + F.col("_count"))
         )
-        values = values.unionByName(hit.select(*found, "_value"))
+        values = values.unionByName(hit.select(*place, "_value"))
     low = F.max(F.when(F.col("_end") == "low", F.col("_value")))
     high = F.max(F.when(F.col("_end") == "high", F.col("_value")))
     return values.groupBy(*keys, "probability").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,16 +15,19 @@ from plumbline.functions.expressions import (
     col,
     comparison_key,
     finite_or_null,
+    magnitude_bucket,
     numeric_columns,
     require_columns,
     string_columns,
 )
 from plumbline.functions.rules import CONSISTENCY, VALIDITY, Rule
-from plumbline.operators.ordering import exact_quantiles
+from plumbline.operators.ordering import exact_quantiles, quantile_targets
 
 STATISTICS = ("min", "max", "mean", "median", "std", "skewness")
 IMBALANCE_RATE = 0.01
 MOST_CLASSES = 1000
+# Spark stops generating code for aggregates of more than 100 fields; a column takes 12.
+COLUMNS_AT_ONCE = 8
 
 
 def _long(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
@@ -156,34 +159,96 @@ def medians(
     )
 
 
+def _distinct_and_medians(df: DataFrame) -> tuple[dict[str, int], dict[str, float]]:
+    """Non-null distinct values and exact medians of all columns.
+
+    The distinct values of a column, counted once, give its cardinality and also the histogram
+    that shows where its median lies.
+    """
+    parts = []
+    for f in df.schema.fields:
+        values = (
+            df.select(comparison_key(df, f.name).alias("v"))
+            .where(F.col("v").isNotNull())
+            .groupBy("v")
+            .agg(F.count("*").alias("n"))
+        )
+        numeric = isinstance(f.dataType, NUMERIC_TYPES)
+        number = F.col("v").cast("double") if numeric else F.lit(None).cast("double")
+        parts.append(
+            values.select(number.alias("x"), "n")
+            .groupBy(magnitude_bucket(F.col("x")).alias("_bucket"))
+            .agg(
+                F.count("*").alias("_distinct"),
+                F.sum("n").alias("_count"),
+                F.min("x").alias("_low"),
+                F.max("x").alias("_high"),
+            )
+            .select(F.lit(f.name).alias("column"), "*")
+        )
+    histogram = reduce(DataFrame.unionAll, parts).withColumn(
+        "n_unique", F.sum("_distinct").over(W.partitionBy("column"))
+    )
+    # Text and NaN have no bucket: they count as values and take no part in the median.
+    rows = quantile_targets(histogram, ["column"], [0.5], ["n_unique"]).collect()
+    distinct = {r["column"]: r["n_unique"] for r in rows}
+    found = [
+        Row(**{c: v for c, v in r.asDict().items() if c != "n_unique"})
+        for r in rows
+        if r["_bucket"] is not None
+    ]
+    numbers = numeric_columns(df)
+    if not numbers or not found:
+        return distinct, {}
+    middle = exact_quantiles(df, numbers, [0.5], found=found).collect()
+    return distinct, {r["column"]: r["quantile"] for r in middle}
+
+
+def _profile_entries(df: DataFrame, approximate: bool) -> list[Column]:
+    """Aggregates that profile each column, as structs ``s0``, ``s1`` and so on."""
+    distinct: dict[str, int] = {}
+    middle: dict[str, float] = {}
+    if not approximate:
+        distinct, middle = _distinct_and_medians(df)
+    entries = []
+    for i, f in enumerate(df.schema.fields):
+        x = col(f.name)
+        nulls = _null_count(f.name)
+        if approximate:
+            unique, numeric = F.approx_count_distinct(x), isinstance(f.dataType, NUMERIC_TYPES)
+            median = F.percentile_approx(x.cast("double"), 0.5, 100_000) if numeric else F.lit(None)
+        else:
+            unique, median = F.lit(distinct.get(f.name, 0)), F.lit(middle.get(f.name))
+        numbers = {**_statistics(df, f.name), "median": median.cast("double")}
+        entries.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("dtype"),
+                F.count("*").alias("rows"),
+                nulls.alias("null_count"),
+                F.when(F.count("*") > 0, nulls / F.count("*")).alias("null_rate"),
+                (F.count("*") - nulls).alias("non_null_count"),
+                (unique + (nulls > 0).cast("long")).cast("long").alias("n_unique"),
+                *[numbers[s].alias(s) for s in STATISTICS],
+            ).alias(f"s{i}")
+        )
+    return entries
+
+
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, nulls, distinct values and, for numbers, six statistics.
 
-    Counts and moments of all columns come from one aggregate.
+    Counts and moments come from one aggregate per ``COLUMNS_AT_ONCE`` columns, each reading just
+    those; the approximate mode needs no other pass.
     """
-    entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.count("*").alias("rows"),
-            _null_count(f.name).alias("null_count"),
-            *[v.alias(s) for s, v in _statistics(df, f.name).items()],
-        ).alias(f"s{i}")
-        for i, f in enumerate(df.schema.fields)
-    ]
-    counted = _rows(df.agg(*entries), [F.col(f"s{i}") for i in range(len(entries))])
-    out = _with_rates(counted).join(
-        F.broadcast(distinct_counts(df, approximate=approximate)), "column", "left"
-    )
-    if numeric_columns(df):
-        out = out.join(F.broadcast(medians(df, approximate=approximate)), "column", "left")
-    else:
-        out = out.withColumn("median", F.lit(None).cast("double"))
-    return out.select(
-        "position", "column", "dtype", "rows", "null_count", "null_rate", "non_null_count",
-        "n_unique", *STATISTICS,
-    )
+    entries = _profile_entries(df, approximate)
+    parts = []
+    for start in range(0, len(entries), COLUMNS_AT_ONCE):
+        chunk = entries[start : start + COLUMNS_AT_ONCE]
+        names = [f"s{i}" for i in range(start, start + len(chunk))]
+        parts.append(_rows(df.agg(*chunk), [F.col(n) for n in names]))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
