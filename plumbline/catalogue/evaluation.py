@@ -348,7 +348,7 @@ def wilcoxon_test(spark, folder):
 
 
 @query(
-    "compare_pipelines",
+    "paired_comparison",
     with_sql(OLD_FOLDS, NEW_FOLDS, PAIRS, SIGNED, P_VALUES) + """
     , holm AS (
       SELECT *, max(raw) OVER (ORDER BY p_value, model, metric) AS p_value_holm FROM (
@@ -359,7 +359,7 @@ def wilcoxon_test(spark, folder):
            round(max(p_value_holm), 7) AS p_value_holm, max(p_value_holm) < 0.05 AS significant
     FROM holm JOIN pairs USING (model, metric) GROUP BY 1, 2""",
 )
-def compare_pipelines(spark, folder):
+def paired_comparison(spark, folder):
     out = cp.compare_pipelines(
         _fold_results(spark, folder, "O"), _fold_results(spark, folder, "F")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -14,7 +14,6 @@ from plumbline.functions.expressions import (
     NUMERIC_TYPES,
     col,
     comparison_key,
-    finite_or_null,
     magnitude_bucket,
     numeric_columns,
     require_columns,
@@ -109,28 +108,44 @@ def distinct_counts(
     return reduce(DataFrame.unionAll, counts)
 
 
+# Per-column expressions are SQL text: one call to the JVM per column keeps wide tables quick.
 _MOMENTS = {
-    "min": F.min, "max": F.max, "mean": F.mean, "std": F.stddev_samp, "skewness": F.skewness,
+    "min": "min", "max": "max", "mean": "avg", "std": "stddev_samp", "skewness": "skewness",
 }
 
 
-def _statistics(df: DataFrame, c: str) -> dict[str, Column]:
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _statistics(df: DataFrame, c: str) -> dict[str, str]:
     """The aggregates of one column, null where it holds no numbers; NaN is left out."""
-    if not isinstance(df.schema[c].dataType, NUMERIC_TYPES):
-        return {s: F.lit(None).cast("double") for s in _MOMENTS}
-    x = col(c).cast("double")
-    if isinstance(df.schema[c].dataType, FLOATING_TYPES):
-        x = F.when(~F.isnan(x), x)
-    return {s: finite_or_null(f(x)) for s, f in _MOMENTS.items()}
+    dtype = df.schema[c].dataType
+    if not isinstance(dtype, NUMERIC_TYPES):
+        return {s: "CAST(NULL AS DOUBLE)" for s in _MOMENTS}
+    x = f"CAST({_name(c)} AS DOUBLE)"
+    if isinstance(dtype, FLOATING_TYPES):
+        x = f"IF(isnan({x}), NULL, {x})"
+    # NaN is larger than infinity, so one comparison keeps out both.
+    return {
+        s: f"CASE WHEN abs({f}({x})) < double('Infinity') THEN {f}({x}) END"
+        for s, f in _MOMENTS.items()
+    }
+
+
+def _struct(fields: Mapping[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"{_text(n)}, {v}" for n, v in fields.items()) + ")"
 
 
 def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, min, max, mean, std, skewness)`` from one aggregate."""
     names = list(columns or numeric_columns(df))
     entries = [
-        F.struct(
-            F.lit(c).alias("column"), *[v.alias(s) for s, v in _statistics(df, c).items()]
-        ).alias(f"s{i}")
+        F.expr(_struct({"column": _text(c), **_statistics(df, c)})).alias(f"s{i}")
         for i, c in enumerate(names)
     ]
     return _rows(df.agg(*entries), [F.col(f"s{i}") for i in range(len(names))])
@@ -167,27 +182,24 @@ def _distinct_and_medians(df: DataFrame) -> tuple[dict[str, int], dict[str, floa
     """
     parts = []
     for f in df.schema.fields:
-        values = (
+        number = "CAST(v AS DOUBLE)" if isinstance(f.dataType, NUMERIC_TYPES) else "CAST(NULL AS DOUBLE)"
+        parts.append(
             df.select(comparison_key(df, f.name).alias("v"))
-            .where(F.col("v").isNotNull())
+            .where("v IS NOT NULL")
             .groupBy("v")
-            .agg(F.count("*").alias("n"))
+            .agg(F.expr("count(*) AS n"))
+            .selectExpr(f"{_text(f.name)} AS column", f"{number} AS x", "n")
         )
-        numeric = isinstance(f.dataType, NUMERIC_TYPES)
-        number = F.col("v").cast("double") if numeric else F.lit(None).cast("double")
-        parts.append(
-            values.select(number.alias("x"), "n")
-            .groupBy(magnitude_bucket(F.col("x")).alias("_bucket"))
-            .agg(
-                F.count("*").alias("_distinct"),
-                F.sum("n").alias("_count"),
-                F.min("x").alias("_low"),
-                F.max("x").alias("_high"),
-            )
-            .select(F.lit(f.name).alias("column"), "*")
+    histogram = (
+        reduce(DataFrame.unionAll, parts)
+        .groupBy("column", magnitude_bucket(F.col("x")).alias("_bucket"))
+        .agg(
+            F.expr("count(*) AS _distinct"),
+            F.expr("sum(n) AS _count"),
+            F.expr("min(x) AS _low"),
+            F.expr("max(x) AS _high"),
         )
-    histogram = reduce(DataFrame.unionAll, parts).withColumn(
-        "n_unique", F.sum("_distinct").over(W.partitionBy("column"))
+        .withColumn("n_unique", F.sum("_distinct").over(W.partitionBy("column")))
     )
     # Text and NaN have no bucket: they count as values and take no part in the median.
     rows = quantile_targets(histogram, ["column"], [0.5], ["n_unique"]).collect()
@@ -212,27 +224,28 @@ def _profile_entries(df: DataFrame, approximate: bool) -> list[Column]:
         distinct, middle = _distinct_and_medians(df)
     entries = []
     for i, f in enumerate(df.schema.fields):
-        x = col(f.name)
-        nulls = _null_count(f.name)
+        q = _name(f.name)
+        nulls = f"count_if({q} IS NULL)"
+        unique, median = f"{distinct.get(f.name, 0)}L", "NULL"
         if approximate:
-            unique, numeric = F.approx_count_distinct(x), isinstance(f.dataType, NUMERIC_TYPES)
-            median = F.percentile_approx(x.cast("double"), 0.5, 100_000) if numeric else F.lit(None)
-        else:
-            unique, median = F.lit(distinct.get(f.name, 0)), F.lit(middle.get(f.name))
-        numbers = {**_statistics(df, f.name), "median": median.cast("double")}
-        entries.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.count("*").alias("rows"),
-                nulls.alias("null_count"),
-                F.when(F.count("*") > 0, nulls / F.count("*")).alias("null_rate"),
-                (F.count("*") - nulls).alias("non_null_count"),
-                (unique + (nulls > 0).cast("long")).cast("long").alias("n_unique"),
-                *[numbers[s].alias(s) for s in STATISTICS],
-            ).alias(f"s{i}")
-        )
+            unique = f"approx_count_distinct({q})"
+            if isinstance(f.dataType, NUMERIC_TYPES):
+                median = f"percentile_approx(CAST({q} AS DOUBLE), 0.5, 100000)"
+        elif middle.get(f.name) is not None:
+            median = f"double({_text(repr(middle[f.name]))})"
+        numbers = {**_statistics(df, f.name), "median": f"CAST({median} AS DOUBLE)"}
+        fields = {
+            "position": str(i),
+            "column": _text(f.name),
+            "dtype": _text(f.dataType.simpleString()),
+            "rows": "count(*)",
+            "null_count": nulls,
+            "null_rate": f"CASE WHEN count(*) > 0 THEN {nulls} / count(*) END",
+            "non_null_count": f"count(*) - {nulls}",
+            "n_unique": f"{unique} + IF({nulls} > 0, 1L, 0L)",
+            **{s: numbers[s] for s in STATISTICS},
+        }
+        entries.append(F.expr(_struct(fields)).alias(f"s{i}"))
     return entries
 
 
