@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalogue.common import (
     SCORED,
+    TX,
     query,
     rounded,
     scored_documents,
@@ -575,6 +576,35 @@ def ml_benchmark(spark, folder):
     return result.fold_metrics
 
 
+@query(
+    "ml_oof_coverage",
+    with_sql(TX) + """
+    , sample AS (
+      SELECT event_id, "isFraud" FROM tx WHERE "isFraud" = 1
+      UNION ALL
+      (SELECT event_id, "isFraud" FROM tx WHERE "isFraud" = 0
+       QUALIFY row_number() OVER (ORDER BY md5('42|' || event_id))
+         <= 2 * (SELECT count(*) FROM tx WHERE "isFraud" = 1))),
+    folds AS (
+      SELECT "isFraud", (row_number() OVER (PARTITION BY "isFraud"
+               ORDER BY md5('42|1|' || event_id)) - 1) % 2 + 1 AS fold
+      FROM sample)
+    SELECT m AS model, CAST(1 AS BIGINT) AS repeat, fold, count(*) AS rows,
+           CAST(sum("isFraud") AS BIGINT) AS positives
+    FROM folds, (SELECT unnest(['logistic_regression', 'decision_tree', 'random_forest']) AS m)
+    GROUP BY 1, 2, 3""",
+)
+def ml_oof_coverage(spark, folder):
+    """Out-of-fold scores cover every row of every fold once per model."""
+    _, result = _benchmark(spark, folder, fixed_plan("events", ("type",), _numeric()))
+    valid = F.col("y_score").between(0, 1)
+    return rounded(
+        result.predictions.where(valid)
+        .groupBy("model", "repeat", "fold")
+        .agg(F.count_distinct("event_id").alias("rows"), F.sum("y_true").alias("positives"))
+    )
+
+
 @query("plan_benchmark_summary")
 def plan_benchmark_summary(spark, folder):
     _, result = _benchmark(spark, folder, _robust_plan())

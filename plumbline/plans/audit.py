@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import computed_once
-from plumbline.plans.contracts import CONTRACTS
+from plumbline.plans.contracts import CONTRACTS, KINDS, ROLES
 
 ISSUE_DDL = "struct<action_id:string,code:string,detail:string>"
 
@@ -23,6 +23,9 @@ def columns_catalog(df: DataFrame, kinds: dict[str, str], protected: Iterable[st
     unknown = sorted(set(kinds) - set(df.columns))
     if unknown:
         raise ValueError(f"Catalogued columns do not exist: {', '.join(unknown)}")
+    odd = sorted(set(kinds.values()) - set(KINDS))
+    if odd:
+        raise ValueError(f"Unknown column kinds: {', '.join(odd)}")
     if list(kinds.values()).count("target") != 1:
         raise ValueError("Exactly one column must be the target")
     rows = [(c, k, c in guarded or k == "target") for c, k in kinds.items()]
@@ -136,6 +139,8 @@ def with_issues(
     unregistered = sorted(set(permitted) - set(CONTRACTS))
     if unregistered:
         raise ValueError(f"Allowed transformations are not known: {', '.join(unregistered)}")
+    if isinstance(role, str) and role not in ROLES:
+        raise ValueError(f"Unknown dataset role: {role}")
     role = role if isinstance(role, Column) else F.lit(role)
     dataset = dataset_id if isinstance(dataset_id, Column) else F.lit(dataset_id)
     entry = F.struct("column", F.struct("kind", "protected").alias("what"))

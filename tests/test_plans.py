@@ -95,6 +95,8 @@ def test_roles_datasets_and_allowlist(spark, catalog):
     sample = plan(action("resample_classes", [], method="smote", random_seed=1))
     assert codes(spark, catalog, sample, "validation_fold") == ["sampling_outside_training_forbidden"]
     assert codes(spark, catalog, sample, allowed=["log_transform"]) == ["transformation_not_allowed"]
+    with pytest.raises(ValueError, match="role"):
+        audit_plans(parsed(spark, plan()), catalog, "d", "production")
     with pytest.raises(ValueError, match="not known"):
         audit_plans(parsed(spark, plan()), catalog, "d", allowed=["magic"])
 
@@ -139,6 +141,8 @@ def test_catalog_needs_one_target(spark):
     df = spark.createDataFrame([], "a int")
     with pytest.raises(ValueError, match="target"):
         columns_catalog(df, {"a": "numeric"})
+    with pytest.raises(ValueError, match="kinds"):
+        columns_catalog(df, {"a": "other"})
     with pytest.raises(ValueError, match="exist"):
         columns_catalog(df, {"b": "target"})
 
