@@ -204,16 +204,26 @@ def _distinct_and_medians(df: DataFrame) -> tuple[dict[str, int], dict[str, floa
     # Text and NaN have no bucket: they count as values and take no part in the median.
     rows = quantile_targets(histogram, ["column"], [0.5], ["n_unique"]).collect()
     distinct = {r["column"]: r["n_unique"] for r in rows}
-    found = [
-        Row(**{c: v for c, v in r.asDict().items() if c != "n_unique"})
-        for r in rows
-        if r["_bucket"] is not None
-    ]
-    numbers = numeric_columns(df)
-    if not numbers or not found:
-        return distinct, {}
-    middle = exact_quantiles(df, numbers, [0.5], found=found).collect()
-    return distinct, {r["column"]: r["quantile"] for r in middle}
+    ends: dict[str, list[Row]] = {}
+    for r in rows:
+        if r["_bucket"] is not None:
+            ends.setdefault(r["column"], []).append(r)
+    middle: dict[str, float] = {}
+    found: list[Row] = []
+    for c, pair in ends.items():
+        if all(r["_low"] == r["_high"] for r in pair):
+            at = {r["_end"]: r["_low"] for r in pair}
+            share = pair[0]["_share"] if at["low"] != at["high"] else 0.0
+            middle[c] = at["low"] + share * (at["high"] - at["low"]) if share else at["low"]
+        else:
+            found += [
+                Row(**{n: v for n, v in r.asDict().items() if n != "n_unique"}) for r in pair
+            ]
+    if found:
+        open_columns = [c for c in numeric_columns(df) if any(r["column"] == c for r in found)]
+        for r in exact_quantiles(df, open_columns, [0.5], found=found).collect():
+            middle[r["column"]] = r["quantile"]
+    return distinct, middle
 
 
 def _profile_entries(df: DataFrame, approximate: bool) -> list[Column]:

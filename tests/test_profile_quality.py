@@ -87,6 +87,38 @@ def test_exact_quantiles(spark, values):
         assert found[0.0] == -1e300 and found[0.5] == pytest.approx(5e-301)
 
 
+@pytest.mark.parametrize("values, median", [
+    ([1, 2], 1.5), ([7], 7), ([5, 5, 9], 5), ([-3, 4, 4, 10], 4), ([10**12, 10**12 + 1], 10**12 + 0.5),
+])
+def test_profile_median_of_few_values(spark, values, median):
+    df = spark.createDataFrame([(v, "t", None) for v in values], "x long, s string, e double")
+    rows = {r["column"]: r for r in pf.column_profile(df).collect()}
+    assert rows["x"]["median"] == median
+    assert rows["x"]["n_unique"] == len(set(values))
+    assert rows["s"]["median"] is None and rows["s"]["n_unique"] == 1
+    assert rows["e"]["median"] is None and rows["e"]["n_unique"] == 1
+
+
+def test_profile_of_odd_names_and_empty_table(spark):
+    df = spark.createDataFrame([(1, 2.0)], "`a.b` int, `it's` double")
+    assert {r["column"]: r["max"] for r in pf.column_profile(df).collect()} == {"a.b": 1, "it's": 2}
+    empty = {r["column"]: r for r in pf.column_profile(df.limit(0)).collect()}
+    assert empty["a.b"]["rows"] == 0 and empty["a.b"]["n_unique"] == 0
+    assert empty["a.b"]["null_rate"] is None
+
+
+def test_approximate_profile(spark):
+    df = spark.createDataFrame([(float(i), str(i % 3)) for i in range(100)], "x double, s string")
+    rows = {r["column"]: r for r in pf.column_profile(df, approximate=True).collect()}
+    assert abs(rows["x"]["median"] - 49.5) <= 1 and rows["s"]["n_unique"] == 3
+
+
+def test_more_columns_than_one_aggregate_holds(spark):
+    df = spark.range(10).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(30)])
+    rows = pf.column_profile(df).orderBy("position").collect()
+    assert [r["max"] for r in rows] == [9.0 * i for i in range(30)]
+
+
 def test_long_text_is_compared_by_digest_and_shown_whole(spark):
     long = "x" * 100
     df = spark.createDataFrame([(long,), (long,), ("y" * 100,), (None,), ("s",)], "t string")
