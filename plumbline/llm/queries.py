@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing
+from plumbline.llm import packing, quality_rules
+
+from plumbline.llm.quality_rules import STOP_WORDS
+from plumbline.llm.shared import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +30,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+WORDS = "[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> '']"
+
+_RULES_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10))
+          IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines
+  FROM documents
+),
+places AS (SELECT doc_id, unnest(words) AS a, unnest(range(len(words))) AS i FROM d),
+windows AS (
+  SELECT doc_id, i, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c
+  FROM places WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+found AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times
+  FROM windows WHERE c IS NOT NULL
+),
+again AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM found, (SELECT unnest([0, 1, 2]) AS k) WHERE times >= 2 GROUP BY doc_id
+),
+counts AS (
+  SELECT d.doc_id, len(words) AS n_words, coalesce(len(array_to_string(words, '')), 0) AS word_chars,
+         len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(lines) AS n_lines,
+         len([w FOR w IN words IF translate(w, '{UPPER}', '{LOWER}') IN {tuple(STOP_WORDS)}])
+           AS n_stop_words,
+         len([w FOR w IN words IF suffix(w, '!!') OR suffix(w, '??')]) AS n_shouts,
+         len([x FOR x IN lines IF trim(x, ' ')[1] IN ('-', '*', '•')]) AS n_bullet_lines,
+         len([x FOR x IN lines IF suffix(trim(x, ' '), '...') OR suffix(trim(x, ' '), '…')])
+           AS n_open_lines
+  FROM d LEFT JOIN again USING (doc_id)
+)
+SELECT *, {quality_rules.BASE_FAILED} AS base_failed, {quality_rules.verdict_sql()} AS kept
+FROM counts
+"""
+
+
+@query("op1_quality_rules", _RULES_SQL)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdict."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, packed into sequences of 1024 tokens."""
