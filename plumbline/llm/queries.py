@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality_rules
+from plumbline.llm import packing, quality_gam, quality_rules
 
 from plumbline.llm.quality_rules import STOP_WORDS
-from plumbline.llm.shared import LOWER, UPPER
+from plumbline.llm.shared import LOWER, UPPER, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op9_quality_gam")
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score; learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    return quality_gam.classify(docs, model, carry=["doc_id"]).select(
+        "doc_id",
+        (remainder(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, packed into sequences of 1024 tokens."""
