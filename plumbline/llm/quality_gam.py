@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.llm.shared import remainder, slices
 
@@ -231,7 +232,7 @@ def classify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     carry = docs.columns if carry is None else carry
     fields = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
     places = [f"c{k}" for k in range(len(fields))]
-    kinds = [f"{p} {f.dataType.simpleString()}" for p, f in zip(places, fields, strict=True)]
+    kinds = [StructField(p, f.dataType) for p, f in zip(places, fields, strict=True)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
@@ -249,7 +250,7 @@ def classify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
             for c, p in zip(carry, places, strict=True)
         ],
     )
-    scored = held.mapInArrow(run, ", ".join([*kinds, "score double"]))
+    scored = held.mapInArrow(run, StructType([*kinds, StructField("score", DoubleType())]))
     return scored.toDF(*carry, "score")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality_gam, quality_rules
+from plumbline.llm import near_dup, packing, quality_gam, quality_rules
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -77,6 +77,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op8_near_dup")
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest document that near-duplicate links lead to."""
+    return near_dup.link(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_gam")
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score; learned from labels outside the held-out fifth."""
