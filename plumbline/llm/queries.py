@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import near_dup, packing, quality_gam, quality_rules
+from plumbline.llm import decontaminate, near_dup, packing, quality_gam, quality_rules
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -77,6 +77,51 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+_ITEM_WORDS = (
+    "[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{0}', '{1}'), "
+    "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"
+).format(UPPER, LOWER)
+
+_DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[s + 1:s + l], ' ') AS win
+  FROM (SELECT *, unnest(range(0, len(w) - l + 1)) AS s
+        FROM (SELECT *, least(len(w), 10) AS l FROM b WHERE len(w) > 0))
+),
+dw AS (
+  SELECT doc_id, l, s, array_to_string(w[s + 1:s + l], ' ') AS win
+  FROM (SELECT *, unnest(range(0, len(w) - l + 1)) AS s
+        FROM d, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l)
+),
+m AS (SELECT doc_id, dw.l, s, item_id FROM dw JOIN iw ON dw.l = iw.l AND dw.win = iw.win),
+hit AS (SELECT doc_id, count(DISTINCT s + k) AS n
+        FROM (SELECT doc_id, s, unnest(range(0, l)) AS k FROM m) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
+       sha256(coalesce(ids.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+@query("op5_decontamination", _DECONTAMINATION_SQL)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words and items that benchmark windows hit."""
+    found = decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op8_near_dup")
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest document that near-duplicate links lead to."""
