@@ -1,25 +1,61 @@
-"""Documents to packed training sequences, in stages that each call one operator."""
+"""Documents to packed training sequences, in stages that each call one operator.
+
+Each stage works on all that its predecessor kept and returns the columns of the documents; the last
+one returns pieces of sequences. A stage's result is a Parquet table in the shared folder, so a lost
+executor costs tasks of one stage only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import packing
+from plumbline.llm import decontaminate, near_dup, packing, quality_gam, quality_rules
 from plumbline.llm.shared import written
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; it learns from `labels`."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_gam.keep(docs, quality_gam.train(docs, labels))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the table of quality rules."""
+    return quality_rules.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near duplicates."""
+    kept = near_dup.link(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality_classifier", classify),
+    ("quality_rules", apply_rules),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-# Tokens and near duplicates are beyond SQL; tests hold the stages against brute force.
+# Trained scores, near duplicates and tokens are beyond SQL; tests hold the stages against brute
+# force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
