@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from plumbline.llm.shared import one_thread
 
 # Entries a worker keeps at most; further words are encoded again each time they come.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 900_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -51,8 +51,9 @@ class Encoder:
         chunks = [[t] if _OTHER_SPACE.search(t) else self.cut(t) for t in texts]
         new = list(set().union(*chunks) - self.known.keys())
         ids = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        if len(self.known) + len(ids) <= CACHE_ENTRIES:
-            self.known.update((c, b) for c, b in ids.items() if len(c) < 100)
+        room = CACHE_ENTRIES - len(self.known)
+        if room > 0:
+            self.known.update((c, ids[c]) for c in new[:room] if len(c) < 50)
         self.known.more = ids
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
