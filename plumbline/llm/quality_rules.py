@@ -144,7 +144,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with all their columns; verdicts are made on the rows themselves."""
+    """The documents that pass, with all their columns; verdicts are made on the rows themselves.
+
+    The verdict goes through a generator: a filter on it would be pushed down and put the whole
+    chain of expressions into one, computed anew for each word.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(row.alias("doc_id"), F.col("text"))
-    return judge(held, rules).where("kept").select("doc_id.*")
+    judged = judge(held, rules).select("doc_id", F.explode_outer(F.array("kept")).alias("ok"))
+    return judged.where("ok").select("doc_id.*")
