@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, near_dup, packing, quality_gam, quality_rules
+from plumbline.llm import decontaminate, lm_score, near_dup, packing, quality_gam, quality_rules
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -77,6 +77,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its token-frequency and lattice log10 probabilities."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 _ITEM_WORDS = (
     "[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{0}', '{1}'), "
     "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"
