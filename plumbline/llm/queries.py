@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lm_score, near_dup, packing, quality_gam, quality_rules
+from plumbline.llm import decontaminate, lm_score, near_dup, packing, quality_gam, quality_rules, wavelet
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -128,6 +128,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_wavelet_tokens")
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and tokens, read back from the shards' files."""
+    return wavelet.token_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query("op8_near_dup")
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest document that near-duplicate links lead to."""
