@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lm_score, near_dup, packing, quality_gam, quality_rules, wavelet
+from plumbline.llm import decontaminate, lang_id, lm_score, near_dup, packing, quality_gam, quality_rules, wavelet
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -128,6 +128,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_lang_id")
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    found = lang_id.identify(docs, lang_id.train(docs))
+    return found.select(
+        "doc_id",
+        F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 @query("op7_wavelet_tokens")
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and tokens, read back from the shards' files."""
@@ -149,7 +162,7 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
     return quality_gam.classify(docs, model, carry=["doc_id"]).select(
         "doc_id",
-        (remainder(F.col("doc_id")) == 0).alias("held_out"),
+        F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
