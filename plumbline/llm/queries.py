@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lang_id, lm_score, near_dup, packing, quality_gam, quality_rules, wavelet
+from plumbline.llm import decontaminate, lang_id, lm_score, near_dup, packing, quality_gam, quality_rules, url_rules, wavelet
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -83,6 +83,14 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+@query("op4_url_rules")
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rule of the list that fits, and the verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, mined)
+
+
 _ITEM_WORDS = (
     "[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{0}', '{1}'), "
     "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"
