@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lang_id, lm_score, near_dup, packing, quality_gam, quality_rules, url_rules, wavelet
+from plumbline.llm import decontaminate, lang_id, lm_score, near_dup, packing, quality_gam, quality_rules, url_rules, warc_revisit, wavelet
 
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
@@ -83,6 +83,62 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+_TRACKED = ", ".join(f"'{k}'" for k in warc_revisit.TRACKING)
+
+_REVISIT_SQL = f"""
+WITH bare AS (
+  SELECT page_id, md5(html) AS tag, regexp_replace(regexp_replace(url, '#.*$', '', 's'), '^.*?://', '', 's') AS rest
+  FROM pages
+),
+pages2 AS (
+  SELECT page_id, tag,
+         regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.|:(?:80|443)$', '', 'g')
+         || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+         || coalesce('?' || nullif(array_to_string(list_sort([
+              k FOR k IN string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&')
+              IF k <> '' AND string_split(k, '=')[1] NOT IN ({_TRACKED})]), '&'), ''), '') AS canonical
+  FROM bare
+),
+response AS (
+  SELECT 2 * page_id AS source_id, canonical, 16 * page_id AS source_time, page_id, tag FROM pages2
+),
+revisit AS (
+  SELECT 2 * page_id + 1 AS record_id, canonical, page_id,
+         CASE WHEN page_id % 11 = 0 THEN 16 * page_id - 5 ELSE 16 * page_id + 643 END AS time,
+         CASE page_id % 7 WHEN 1 THEN 'stale' WHEN 2 THEN NULL ELSE tag END AS seen,
+         CASE WHEN page_id % 7 = 0 THEN 'W/' ELSE '' END AS weak
+  FROM pages2
+),
+m AS (
+  SELECT r.*, s.source_id, s.source_time, s.tag AS held,
+         CASE WHEN s.source_id IS NULL THEN 'missing' WHEN r.seen IS NULL THEN 'unchecked'
+              WHEN r.seen = s.tag THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM revisit r ASOF LEFT JOIN response s
+    ON r.canonical = s.canonical AND r.time > s.source_time
+)
+SELECT record_id, canonical, time, coalesce(source_id, -1) AS source_id,
+       coalesce(source_time, -1) AS source_time, status,
+       CASE WHEN status IN ('resolved', 'unchecked') THEN held END AS digest,
+       CASE WHEN status IN ('resolved', 'unchecked') THEN
+         'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10)
+         || 'date: ' || (page_id + 40) || chr(10)
+         || 'etag: ' || CASE WHEN seen IS NULL THEN '' ELSE weak END || '"' || held || '"' END AS headers
+FROM m
+"""
+
+
+@query("op3_warc_revisit", _REVISIT_SQL)
+def op3_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit of the pages with the response it stands for."""
+    records = warc_revisit.records_of_pages(table(spark, sf_dir, "pages"))
+    lines = F.transform(
+        F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"])
+    )
+    found = warc_revisit.resolve(records).withColumn("headers", F.array_join(lines, "\n"))
+    none = {c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("source_id", "source_time")}
+    return found.withColumns(none)
+
+
 @query("op4_url_rules")
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with the rule of the list that fits, and the verdict."""
