@@ -321,9 +321,8 @@ def _cross(percent: int):
         out_a, out_b = [], []
         for q, c, text in zip(asked["node"], asked["component"], asked["text"], strict=True):
             h = shingles(text)
-            k = np.searchsorted(word, h)
-            k = k[k < len(word)]
-            k = k[np.isin(word[k], h, assume_unique=True)]
+            k = np.minimum(np.searchsorted(word, h), len(word) - 1)
+            k = k[word[k] == h]
             met = [at[start[i] : end[i]] for i in k]
             both = np.bincount(np.concatenate(met), minlength=len(sets)) if met else 0 * size
             near = (100 * both >= percent * (size + len(h) - both)) & (part != c)
