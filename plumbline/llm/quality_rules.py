@@ -99,8 +99,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     long = lambda c, name: c.cast("long").alias(name)
     kinds = F.transform(lines, lambda x: F.trim(x))
-    return cut.select(
-        "doc_id",
+    counts = (
         long(F.size(words), "n_words"),
         long(F.length(F.array_join(words, "")), "word_chars"),
         long(F.length("_text") - F.length(F.translate("_text", SYMBOLS, "")), "n_symbols"),
@@ -117,6 +116,9 @@ def measures(docs: DataFrame) -> DataFrame:
             F.size(F.filter(kinds, lambda x: x.endswith("...") | x.endswith("…"))), "n_open_lines"
         ),
     )
+    # Through a generator: a later filter on counts would otherwise be pushed down and put the whole
+    # chain of expressions into one, computed anew for each word.
+    return cut.select("doc_id", F.inline_outer(F.array(F.struct(*counts))))
 
 
 BASE_FAILED = (
@@ -144,12 +146,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with all their columns; verdicts are made on the rows themselves.
-
-    The verdict goes through a generator: a filter on it would be pushed down and put the whole
-    chain of expressions into one, computed anew for each word.
-    """
+    """The documents that pass, with all their columns; verdicts are made on the rows themselves."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(row.alias("doc_id"), F.col("text"))
-    judged = judge(held, rules).select("doc_id", F.explode_outer(F.array("kept")).alias("ok"))
-    return judged.where("ok").select("doc_id.*")
+    return judge(held, rules).where("kept").select("doc_id.*")
