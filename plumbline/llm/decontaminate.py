@@ -163,15 +163,17 @@ def spans(docs: DataFrame, benchmark: DataFrame, keep_all: bool = True) -> DataF
         )
 
     met = reduce(DataFrame.union, [block(k) for k in range(blocks)])
-    if not keep_all:
-        met = met.where(F.size("found") > 0)
     found = F.array_distinct(F.flatten("hits"))
+    # A filter on hits may stand behind this aggregate only: pushed into the join, it would keep the
+    # join from running in one compiled stage with the explosion of keys.
     per_row = met.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("text_hash").alias("text_hash"),
         F.first("n_words").alias("n_words"),
         F.collect_list("found").alias("hits"),
     ).select("doc_id", "text_hash", "n_words", found.alias("hits"))
+    if not keep_all:
+        per_row = per_row.where(F.size("hits") > 0)
     places = F.array_sort(
         F.array_distinct(F.transform("hits", lambda x: F.struct(x["start"], x["length"])))
     )
