@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.durability import shared_base
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -34,8 +35,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """Fresh folder for files a query writes, on the cluster's shared storage if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="plumbline-")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid4().hex}"
 
 
 def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:

@@ -24,7 +24,6 @@ from plumbline.operators import profile as pf
 from plumbline.operators.features import add_features, prepare_features
 from plumbline.operators.quality import quality_of
 from plumbline.operators.split import (
-    split_label,
     split_summary,
     split_temporally,
     temporal_cutoff,
@@ -210,10 +209,10 @@ def temporal_split_orders(spark, folder):
 )
 def write_splits_read_holdout(spark, folder):
     tx = transactions(spark, folder)
-    cutoff = temporal_cutoff(tx)
+    # The writer wants the whole schema; features are derived from the columns that are there.
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in src.TRANSACTION_SCHEMA if f.name not in tx.columns}
     path = scratch(spark, "splits")
-    rows = prepare_features(tx).withColumn("split", split_label("step", cutoff))
-    src.write_parquet(rows, path, ["split"])
+    src.write_temporal_splits(tx.withColumns(rest), path)
     return rounded(src.read_split(spark, path, "temporal_test"), 9, skip=("amount",))
 
 
@@ -380,10 +379,8 @@ def class_distribution_labels(spark, folder):
          UNION ALL SELECT 'lang', lang FROM documents
          UNION ALL SELECT 'source', source FROM documents),
        counts AS (
-         SELECT "column", value,
-                CASE WHEN strlen(value) > 64 THEN sha256(value) || '#' ELSE value END AS k,
-                count(*) AS n FROM cells GROUP BY 1, 2),
-       ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, k) AS r
+         SELECT "column", value, count(*) AS n FROM cells GROUP BY 1, 2),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS r
                   FROM counts)
        SELECT "column", r AS "rank", md5(value) AS value_md5, n AS "count",
               round(n / (SELECT count(*) FROM documents)::DOUBLE, 6) AS rate

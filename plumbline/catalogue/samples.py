@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.catalogue.common import (
@@ -53,12 +54,16 @@ def case_control_sample(spark, folder):
        FROM orders""",
 )
 def seeded_shuffle(spark, folder):
-    from plumbline.functions.expressions import draw
-    from plumbline.operators.ordering import rank_by_draw
-
-    orders = table(spark, folder, "orders").select("o_orderkey")
-    drawn = orders.withColumn("drawn", draw(42, "o_orderkey"))
-    return rank_by_draw(drawn, [], "drawn", ["o_orderkey"], "place").select("o_orderkey", "place")
+    # Places in the shuffled order: rows before the partition, then the place inside it.
+    orders = sp.shuffled(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], 42)
+    at = orders.withColumn("at", F.monotonically_increasing_id())
+    at = at.withColumns({"part": F.expr("at >> 33"), "inside": F.expr("at & ((1L << 33) - 1)")})
+    sizes = at.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return at.join(F.broadcast(starts), "part").select(
+        "o_orderkey", (F.col("start") + F.col("inside") + 1).alias("place")
+    )
 
 
 @query(
@@ -146,7 +151,7 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || event_id)) - 1 AS
     "oversample",
     with_sql(TX, SIZES) + """
     , picks AS (
-      SELECT ('0x' || substr(md5('42|extra|' || i), 1, 8))::BIGINT % (SELECT m FROM sizes) AS rank
+      SELECT ('0x' || substr(md5('42|extra|' || i), 1, 15))::BIGINT % (SELECT m FROM sizes) AS rank
       FROM (SELECT unnest(range((SELECT n - m FROM sizes))) AS i))
     SELECT event_id, "isFraud", count(*) AS copies FROM (
       SELECT event_id, "isFraud" FROM tx
@@ -206,9 +211,9 @@ def nearest_neighbours_embeddings(spark, folder):
         AS place
       FROM ranked a JOIN ranked b ON a.event_id <> b.event_id QUALIFY place <= 5),
     picks AS (
-      SELECT i, ('0x' || substr(md5('42|base|' || i), 1, 8))::BIGINT % (SELECT m FROM sizes) AS rank,
-             ('0x' || substr(md5('42|neighbour|' || i), 1, 8))::BIGINT % 5 + 1 AS place,
-             ('0x' || substr(md5('42|place|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      SELECT i, ('0x' || substr(md5('42|base|' || i), 1, 15))::BIGINT % (SELECT m FROM sizes) AS rank,
+             ('0x' || substr(md5('42|neighbour|' || i), 1, 15))::BIGINT % 5 + 1 AS place,
+             ('0x' || substr(md5('42|place|' || i), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
       FROM (SELECT unnest(range((SELECT n - m FROM sizes))) AS i))
     SELECT event_id, "isFraud", step::DOUBLE AS step, round(amount, 6) AS amount FROM tx
     UNION ALL

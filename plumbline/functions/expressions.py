@@ -100,9 +100,12 @@ def draw(seed: int, *parts: str | int | Column) -> Column:
     return F.md5(F.concat_ws("|", *pieces))
 
 
+DRAWS = 2**60
+
+
 def draw_number(drawn: Column) -> Column:
-    """The first 32 bits of a draw as a number from 0 to 2**32 - 1."""
-    return F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long")
+    """The first 60 bits of a draw as a number from 0 to DRAWS - 1."""
+    return F.conv(F.substring(drawn, 1, 15), 16, 10).cast("long")
 
 
 def magnitude_bucket(value: Column) -> Column:

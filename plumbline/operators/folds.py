@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import col, draw, require_columns
 from plumbline.operators.ordering import rank_by_draw
-from plumbline.operators.sampling import class_counts
+from plumbline.operators.sampling import two_class_counts
 
 
 def stratified_folds(
@@ -27,9 +27,7 @@ def stratified_folds(
     if folds < 2 or repeats < 1:
         raise ValueError("Folds must be at least 2 and repeats at least 1")
     require_columns(df, [target, *key], "Fold input")
-    counts = class_counts(df, target)
-    if len(counts) != 2:
-        raise ValueError("Stratified folds need exactly two classes")
+    counts = two_class_counts(df, target)
     if min(counts.values()) < folds:
         raise ValueError("Every class needs at least one row per fold")
     rows = (

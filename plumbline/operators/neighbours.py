@@ -22,6 +22,7 @@ from plumbline.functions.expressions import (
     col,
     draw,
     draw_number,
+    DRAWS,
     magnitude_bucket,
     numeric_columns,
 )
@@ -221,7 +222,7 @@ def smote(
     picks = df.sparkSession.range(n - m).select(
         (number("base") % F.lit(m)).alias("_rank"),
         (number("neighbour") % F.lit(k) + 1).cast("int").alias("place"),
-        (number("place") / F.lit(2.0**32)).alias("_u"),
+        (number("place") / F.lit(float(DRAWS))).alias("_u"),
     )
     made = picks.join(pairs, ["_rank", "place"]).select(
         F.lit(minor).cast(df.schema[target].dataType).alias(target),

@@ -24,7 +24,6 @@ from plumbline.operators.ordering import exact_quantiles, quantile_targets
 
 STATISTICS = ("min", "max", "mean", "median", "std", "skewness")
 IMBALANCE_RATE = 0.01
-MOST_CLASSES = 1000
 # Spark stops generating code for aggregates of more than 100 fields; a column takes 12.
 COLUMNS_AT_ONCE = 8
 
@@ -306,26 +305,31 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values of each string column, ties broken by value.
 
-    ``(column, rank, value, count, rate)``. Long text is counted by digest and looked up
-    again for the few winners.
+    ``(column, rank, value, count, rate)``. Long text is counted by digest and looked up again for
+    the winners and those tied with the last of them, which alone are then ordered by value.
     """
     names = list(columns or string_columns(df))
     keys = _long(df, names, lambda c: comparison_key(df, c))
     counts = keys.groupBy("column", F.col("value").alias("key")).agg(F.count("*").alias("count"))
-    best = W.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("key"))
-    ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # rank() keeps all that are tied with the last winner.
+    often = W.partitionBy("column").orderBy(F.desc("count"))
+    ranked = counts.withColumn("r", F.rank().over(often)).where(F.col("r") <= k).drop("r")
     cells = _long(df, names, col).where(F.octet_length("value") > 64)
     texts = (
         cells.withColumn("key", F.concat(F.sha2("value", 256), F.lit("#")))
-        .join(F.broadcast(ranked.select("column", "key")), ["column", "key"])
+        .join(ranked.where(F.col("key").endswith("#")).select("column", "key"), ["column", "key"])
         .groupBy("column", "key")
         .agg(F.max("value").alias("text"))
     )
     total = df.agg(F.count("*").alias("total")).scalar()
-    return ranked.join(F.broadcast(texts), ["column", "key"], "left").select(
+    named = ranked.join(texts, ["column", "key"], "left").withColumn(
+        "value", F.coalesce("text", "key")
+    )
+    best = W.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
+    return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "column",
         "rank",
-        F.coalesce("text", "key").alias("value"),
+        "value",
         "count",
         (F.col("count") / total).alias("rate"),
     )
@@ -465,15 +469,12 @@ def profile_report(
         cells = F.struct(*order, *[c for c in table.columns if c not in order])
         return table.agg(F.sort_array(F.collect_list(cells)).alias("v")).scalar()
 
-    # A report holds all classes or none: a target with very many values fails the query.
+    # A report is one row with all classes; `value_distribution` gives them as rows.
     classes = value_distribution(df, target).withColumn("value", F.col("value").cast("string"))
-    of_target = listed(classes.limit(MOST_CLASSES + 1), "value")
     span = F.struct(F.min(time).alias("min"), F.max(time).alias("max")).alias("span")
     out = table_profile(df, rules, [span]).withColumns(
         {
-            "classes": F.when(F.size(of_target) <= MOST_CLASSES, of_target).otherwise(
-                F.raise_error(F.lit(f"Column '{target}' has too many values to be a class"))
-            ),
+            "classes": listed(classes, "value"),
             "profiles": listed(column_profile(df, approximate), "position"),
         }
     )

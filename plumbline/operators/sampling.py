@@ -14,24 +14,30 @@ from pyspark.sql import functions as F
 from plumbline.functions.expressions import col, draw, draw_number, require_columns
 from plumbline.operators.ordering import draw_cuts, match_null_safe, rank_by_draw
 
-MOST_CLASSES = 1000
 
+def two_class_counts(df: DataFrame, target: str) -> dict[object, int]:
+    """Rows of the smallest and the largest value, null left out; others are an error.
 
-def class_counts(df: DataFrame, target: str) -> dict[object, int]:
-    """Rows per class, null left out. A column with very many values is no class label."""
-    counted = df.where(col(target).isNotNull()).groupBy(col(target).alias("y")).count()
-    rows = counted.limit(MOST_CLASSES + 1).collect()
-    if len(rows) > MOST_CLASSES:
-        raise ValueError(f"Column '{target}' has more than {MOST_CLASSES} values to be a class")
-    return {r["y"]: r["count"] for r in rows}
+    Two aggregates of one row each, whatever the number of values.
+    """
+    y = col(target)
+    ends = df.agg(F.min(y).alias("low"), F.max(y).alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    if low is None or low == high:
+        raise ValueError("Class balance needs exactly two classes")
+    n = df.agg(
+        F.count(y).alias("all"), F.count_if(y == F.lit(low)).alias("low"),
+        F.count_if(y == F.lit(high)).alias("high"),
+    ).first()
+    if n["low"] + n["high"] != n["all"]:
+        raise ValueError("Class balance needs exactly two classes")
+    return {low: n["low"], high: n["high"]}
 
 
 def _two_classes(df: DataFrame, target: str) -> tuple[object, int, object, int]:
     """The smaller class and the larger one; the smaller value counts as minority on a tie."""
-    counts = sorted(class_counts(df, target).items(), key=lambda p: (p[1], p[0]))
-    if len(counts) != 2:
-        raise ValueError("Class balance needs exactly two classes")
-    (minor, m), (major, n) = counts
+    counts = two_class_counts(df, target)
+    (minor, m), (major, n) = sorted(counts.items(), key=lambda p: (p[1], p[0]))
     return minor, m, major, n
 
 
@@ -53,8 +59,11 @@ def case_control_sample(
     if ratio < 1:
         raise ValueError("The negative to positive ratio must be at least 1")
     require_columns(df, [target, *key], "Sample input")
-    counts = class_counts(df, target)
-    positives, negatives = counts.get(1, 0), counts.get(0, 0)
+    counts = df.agg(
+        F.count_if(col(target) == 1).alias("positives"),
+        F.count_if(col(target) == 0).alias("negatives"),
+    ).first()
+    positives, negatives = counts["positives"], counts["negatives"]
     if not positives:
         raise ValueError("The table has no positive rows")
     if positives * ratio > negatives:

@@ -182,6 +182,7 @@ def benchmark(
         model, repeat, fold = job
         held = sizes[(repeat, fold)]
         rows = per_repeat[repeat] - held
+        started = time.perf_counter()
         try:
             scores, _, fit_s, predict_s = fit_and_score(
                 training_rows(data, repeat, fold).drop("repeat", "fold"),
@@ -194,9 +195,9 @@ def benchmark(
                 (settings or {}).get(model),
             )
         except Exception as error:  # a failed fold is evidence, not the end of the run
-            text = str(error).splitlines()[0][:500] if str(error) else ""
-            return (model, repeat, fold, rows, held, 0.0, 0.0, "error",
-                    type(error).__name__, text), None
+            spent = time.perf_counter() - started
+            return (model, repeat, fold, rows, held, spent, 0.0, "error",
+                    type(error).__name__, str(error)), None
         labelled = scores.select(
             F.lit(model).alias("model"),
             F.lit(repeat).alias("repeat"),

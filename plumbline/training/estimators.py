@@ -23,12 +23,6 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 # MLlib draws bootstraps of rows; weights are those of the whole training set.
 
 
-def needs_scaling(model: str) -> bool:
-    if model not in MODELS:
-        raise ValueError(f"Unsupported model: {model}")
-    return model == "logistic_regression"
-
-
 def create_estimator(
     model: str,
     total_weight: float,
