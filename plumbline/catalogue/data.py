@@ -523,6 +523,21 @@ def quality_score_degraded(spark, folder):
     return rounded(out.select("completeness", "uniqueness", "data_quality_score"), 9)
 
 
+@query(
+    "profile_big_integers",
+    """SELECT 'big' AS "column", CAST(min(b) AS VARCHAR) AS "min", CAST(max(b) AS VARCHAR) AS "max"
+       FROM (SELECT 9007199254740993 + o_orderkey AS b FROM orders)
+       UNION ALL SELECT 'o_custkey', CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR)
+       FROM orders""",
+)
+def profile_big_integers(spark, folder):
+    """Extremes of numbers beyond what a double holds exactly."""
+    orders = table(spark, folder, "orders")
+    return pf.exact_extremes(
+        orders.select((F.lit(9007199254740993) + F.col("o_orderkey")).alias("big"), "o_custkey")
+    )
+
+
 @query(
     "profile_report_events",
     with_sql(TX, FEATURES, DEFECTIVE) + """

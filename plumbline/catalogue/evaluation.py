@@ -392,12 +392,18 @@ def holm_adjust(spark, folder):
     return rounded(cp.holm_adjust(tests), 9)
 
 
+# Student's 97.5 % point with pairs - 1 degrees of freedom, as a series around the normal point.
+T_POINT = """(CASE pairs WHEN 1 THEN NULL WHEN 2 THEN 12.706204736174698 WHEN 3 THEN 4.302652729749464
+  ELSE 1.959963984540054 + 2.372271230298562 / (pairs - 1) + 2.8224986157396112 / pow(pairs - 1, 2)
+       + 2.555849679507722 / pow(pairs - 1, 3) + 1.5895340533938225 / pow(pairs - 1, 4) END)"""
+
+
 @query(
     "effect_sizes",
-    with_sql(OLD_FOLDS, NEW_FOLDS, PAIRS, SIGNED) + """
+    with_sql(OLD_FOLDS, NEW_FOLDS, PAIRS, SIGNED) + f"""
     SELECT model, metric, pairs, round(m, 6) + 0.0 AS mean_delta,
-           round(m - 1.959963984540054 * s / sqrt(pairs), 6) + 0.0 AS low,
-           round(m + 1.959963984540054 * s / sqrt(pairs), 6) + 0.0 AS high,
+           round(m - {T_POINT} * s / sqrt(pairs), 6) + 0.0 AS low,
+           round(m + {T_POINT} * s / sqrt(pairs), 6) + 0.0 AS high,
            round((w_plus - w_minus) / (w_plus + w_minus), 6) + 0.0 AS rank_biserial
     FROM (SELECT model, metric, count(*) AS pairs, avg(delta) AS m, stddev_samp(delta) AS s
           FROM pairs GROUP BY 1, 2) JOIN tests USING (model, metric)""",

@@ -220,10 +220,33 @@ def compare_pipelines(
     return holm_adjust(durable(tests))
 
 
+def t_quantile(freedom: Column) -> Column:
+    """97.5 % point of Student's t: exact for one and two degrees of freedom, else a series.
+
+    The series around the normal point errs by 0.4 % at three degrees and less than 1e-6 from 24.
+    """
+    z, v = 1.959963984540054, freedom.cast("double")
+    terms = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    series = F.lit(z)
+    for power, term in enumerate(terms, 1):
+        series = series + F.lit(term) / F.pow(v, F.lit(power))
+    return (
+        F.when(v == 1, 12.706204736174698).when(v == 2, 4.302652729749464).when(v > 2, series)
+    )
+
+
 def effect_sizes(pairs: DataFrame, by: Sequence[str] = ("model", "metric")) -> DataFrame:
-    """Normal 95 % interval of the mean difference and the rank-biserial correlation."""
+    """Student's 95 % interval of the mean difference and the rank-biserial correlation.
+
+    A single pair has no interval.
+    """
     deltas = paired_deltas(pairs, by)
-    half = F.lit(1.959963984540054) * F.col("std_delta") / F.sqrt("pairs")
+    half = t_quantile(F.col("pairs") - 1) * F.col("std_delta") / F.sqrt("pairs")
     ranks = signed_ranks(pairs, by)
     whole = F.col("w_plus") + F.col("w_minus")
     return match_null_safe(deltas, ranks, by).select(

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.expressions import (
     FLOATING_TYPES,
@@ -150,6 +151,27 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return _rows(df.agg(*entries), [F.col(f"s{i}") for i in range(len(names))])
 
 
+def exact_extremes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, min, max)`` of whole-number and decimal columns as text, no digit lost.
+
+    ``numeric_statistics`` gives doubles, which hold integers up to 2**53 exactly.
+    """
+    exact = (T.IntegralType, T.DecimalType)
+    named = [f.name for f in df.schema if isinstance(f.dataType, exact)]
+    names = list(named if columns is None else columns)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, min string, max string")
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.min(col(c)).cast("string").alias("min"),
+            F.max(col(c)).cast("string").alias("max"),
+        ).alias(f"e{i}")
+        for i, c in enumerate(names)
+    ]
+    return _rows(df.agg(*entries), [F.col(f"e{i}") for i in range(len(names))])
+
+
 def medians(
     df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
 ) -> DataFrame:
@@ -476,6 +498,7 @@ def profile_report(
         {
             "classes": listed(classes, "value"),
             "profiles": listed(column_profile(df, approximate), "position"),
+            "extremes": listed(exact_extremes(df), "column"),
         }
     )
     minority = F.array_min(F.transform("classes", lambda c: c["rate"]))
@@ -490,6 +513,7 @@ def profile_report(
             ),
         ),
         "columns": F.col("profiles"),
+        "exact_extremes": F.col("extremes"),
         "class_distribution": F.struct(
             F.lit(target).alias("column"), F.col("classes").alias("values")
         ),

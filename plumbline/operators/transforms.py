@@ -17,7 +17,7 @@ from plumbline.operators.folds import other_folds
 from plumbline.operators.ordering import exact_quantiles
 
 MISSING_CATEGORY = "__NULL__"
-# Each category becomes a column; beyond this the plan is refused rather than cut short.
+# Each category becomes a column; a column with more is refused rather than cut short.
 MOST_CATEGORIES = 10_000
 
 
@@ -83,21 +83,23 @@ def learn_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return modes
 
 
-def learn_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted categories of each column, missing being one where it occurs."""
+def learn_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str | None]]:
+    """Sorted categories of each column; missing, where it occurs, is None and comes first."""
     entries = [
         F.struct(
             F.lit(c).alias("column"),
-            F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias("value"),
+            col(c).cast("string").alias("value"),
         )
         for c in columns
     ]
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    rows = df.select(F.inline(F.array(*entries))).distinct().limit(MOST_CATEGORIES + 1).collect()
-    if len(rows) > MOST_CATEGORIES:
-        raise ValueError(f"More than {MOST_CATEGORIES} categories to encode")
-    for r in sorted(rows):
+    found: dict[str, list[str | None]] = {c: [] for c in columns}
+    values = df.select(F.inline(F.array(*entries))).distinct()
+    for r in values.limit(MOST_CATEGORIES * len(columns) + 1).collect():
         found[r["column"]].append(r["value"])
+    for c, own in found.items():
+        if len(own) > MOST_CATEGORIES:
+            raise ValueError(f"Column '{c}' has more than {MOST_CATEGORIES} categories to encode")
+        own.sort(key=lambda v: (v is not None, v or ""))
     return found
 
 
@@ -122,14 +124,23 @@ def rescale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) -> DataFra
     )
 
 
-def encode(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Replace each column by one 0/1 indicator per category."""
+def encode(df: DataFrame, categories: Mapping[str, Sequence[str | None]]) -> DataFrame:
+    """Replace each column by one 0/1 indicator per category.
 
-    def value(c: str) -> Column:
-        return F.coalesce(col(c).cast("string"), F.lit(MISSING_CATEGORY))
+    Two indicators of one name, or one named like a column that stays, are an error.
+    """
+    names = [indicator_name(c, v) for c, values in categories.items() for v in values]
+    taken = sorted({n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set())
+    taken += sorted(set(names) & (set(df.columns) - set(categories)))
+    if taken:
+        raise ValueError(f"Indicators would share a name: {', '.join(taken)}")
+
+    def flag(c: str, v: str | None) -> Column:
+        value = col(c).cast("string")
+        return value.isNull() if v is None else F.coalesce(value == v, F.lit(False))
 
     flags = {
-        indicator_name(c, v): (value(c) == v).cast("int")
+        indicator_name(c, v): flag(c, v).cast("int")
         for c, values in categories.items()
         for v in values
     }
@@ -201,8 +212,8 @@ def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: checked(c) for c in columns})
 
 
-def indicator_name(column: str, category: str) -> str:
-    return f"{column}={category}"
+def indicator_name(column: str, category: str | None) -> str:
+    return f"{column}={MISSING_CATEGORY if category is None else category}"
 
 
 def one_hot_encode(
