@@ -29,9 +29,14 @@ def corpus(n):
 
 def test_languages_held_out(table):
     rows = corpus(400)
-    docs = table([*rows, (900, None, "en"), (901, "12 34 !!", "en"), (902, "the house", None)])
+    docs = table(
+        [*rows, (900, None, "en"), (901, "12 34 !!", "en"), (902, "the house", None)]
+        + [(1000 + k, "ez da hori bai gure etxe", "eu") for k in range(30)]
+    )
     model = lang_id.train(docs, per_language=60)
-    assert set(model.families) == {"germanic", "romance"}
+    # A language without a named family is one of its own.
+    assert set(model.families) == {"germanic", "romance", "eu"} and model.families["eu"] == ("eu",)
+    assert model.predict(lang_id.profile("bai gure etxe hori"))[0] == "eu"
     out = {r.doc_id: r for r in lang_id.identify(docs, model).collect()}
     held = [r for r in rows if crc_remainder(r[0]) == 0]
     assert sum(out[d].lang_pred == lang for d, _, lang in held) / len(held) > 0.95
@@ -49,12 +54,6 @@ def test_one_language_and_none(table, none, odd):
     assert [r.lang_pred for r in unknown] == ["und"]
 
 
-def test_odd_language_is_a_family(table):
-    model = lang_id.train(table([*corpus(150), *((1000 + k, "ez da hori bai gure etxe", "eu") for k in range(30))]))
-    assert model.families["eu"] == ("eu",)
-    assert model.predict(lang_id.profile("bai gure etxe hori"))[0] == "eu"
-
-
 def junk(draw, n):
     return " ".join(draw.choice(["$$$", "BUY!!", "|", "click", "###"]) for _ in range(n))
 
