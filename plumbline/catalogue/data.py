@@ -22,7 +22,7 @@ from plumbline.functions.rules import CONSISTENCY, VALIDITY, applicable, make_ru
 from plumbline.operators import degrade as dg
 from plumbline.operators import profile as pf
 from plumbline.operators.features import add_features, prepare_features
-from plumbline.operators.quality import quality_of
+from plumbline.operators.quality import quality_of, score_report
 from plumbline.operators.split import (
     split_summary,
     split_temporally,
@@ -352,6 +352,16 @@ def duplicate_rows_lineitem(spark, folder):
     return rounded(pf.duplicate_rows(items, ["l_orderkey", "l_linenumber"]))
 
 
+@query("duplicate_rows_lineitem_whole", DUPLICATES.format(t="lineitem", c="*"))
+def duplicate_rows_lineitem_whole(spark, folder):
+    return rounded(pf.duplicate_rows(table(spark, folder, "lineitem")))
+
+
+@query("duplicate_rows_documents_whole", DUPLICATES.format(t="documents", c="*"))
+def duplicate_rows_documents_whole(spark, folder):
+    return rounded(pf.duplicate_rows(table(spark, folder, "documents")))
+
+
 @query(
     "value_distribution_lineitem",
     """SELECT l_returnflag AS value, count(*) AS "count",
@@ -507,6 +517,25 @@ def quality_score_defective_events(spark, folder):
     return rounded(out.select("validity", "consistency", "data_quality_score"), 9)
 
 
+@query(
+    "score_saved_report",
+    with_sql(TX, FEATURES, DEFECTIVE) + """
+    , t AS (SELECT count(*) AS n FROM defective),
+    v AS (SELECT 1 - sum(failures) / (9.0 * max(n)) AS s FROM failures, t WHERE kind = 'validity'),
+    k AS (SELECT 1 - sum(failures) / (5.0 * max(n)) AS s FROM failures, t WHERE kind = 'consistency')
+    SELECT round(v.s, 9) AS validity, round(k.s, 9) AS consistency,
+           round(0.3 + 0.25 * v.s + 0.25 * k.s + 0.2, 9) AS data_quality_score FROM v, k""",
+)
+def score_saved_report(spark, folder):
+    """A report is written as JSON, read back and scored from its fields alone."""
+    df = _defective(spark, folder)
+    report = pf.profile_report(df, "isFraud", "step", applicable(transaction_rules(), df.columns))
+    path = scratch(spark, "report")
+    src.write_json(report, path)
+    out = score_report(src.read_json(spark, path, report.schema))
+    return rounded(out.select("validity", "consistency", "data_quality_score"), 9)
+
+
 @query(
     "quality_score_degraded",
     with_sql(TX, DEGRADED) + """

@@ -64,3 +64,23 @@ def quality_of(
 ) -> DataFrame:
     """Quality of a table. NaN counts as missing."""
     return quality_score(table_profile(nan_to_null(df), rules), weights)
+
+
+def score_report(report: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """Quality of rows shaped like ``profile_report``, as read back from a saved report.
+
+    Missing cells are the sum of the columns' null counts; no profiled table is needed.
+    """
+    missing = F.aggregate(
+        F.transform("columns", lambda c: c["null_count"].cast("long")),
+        F.lit(0).cast("long"),
+        lambda a, n: a + n,
+    )
+    counts = report.select(
+        F.col("dimensions.rows").alias("rows"),
+        F.col("dimensions.columns").alias("columns"),
+        missing.alias("missing_cells"),
+        F.col("duplicates.duplicate_rows").alias("duplicate_rows"),
+        *[F.col(f"{k}.{k}_{what}") for k in ("validity", "consistency") for what in ("checks", "failures")],
+    )
+    return quality_score(counts, weights)
