@@ -12,12 +12,31 @@ from tokenizers import Tokenizer
 from plumbline.llm.shared import one_thread
 
 # Entries a worker keeps at most; further words are encoded again each time they come.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 800_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_LATIN_SPACE = bytes(c for c in range(256) if chr(c).isspace() and chr(c) not in " \n")
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
+def _other_space(text: str) -> bool:
+    try:
+        latin = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER_SPACE.search(text) is not None
+    return len(latin.translate(None, _OTHER_LATIN_SPACE)) < len(latin)
+
+
+def _dropped(text: str) -> list[str]:
+    """Words for a tokenizer that drops white space and ignores case."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    # Without combining marks, lower case may come first; then fewer different words are left.
+    return text.lower().split()
+
+
 class _Known(dict):
     """Ids by chunk; chunks of the current batch that found no room are in `more`."""
 
@@ -31,7 +50,7 @@ class Encoder:
     """Encode texts as little-endian unsigned 32-bit ids, without special tokens.
 
     A text is cut where the tokenizer cuts it in any case: between words for `spaces="dropped"`
-    (white space makes no token), and before the white space that follows a word for
+    (white space makes no token, case is ignored), and before the white space that follows a word for
     `spaces="kept"`. Texts with white space other than blank and line feed are encoded whole, so
     ids never differ from those of the whole text. Strings of special tokens are ordinary text.
     """
@@ -40,7 +59,7 @@ class Encoder:
         one_thread()
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.cut: Callable[[str], list[str]] = str.split if spaces == "dropped" else _SPACED.findall
+        self.cut: Callable[[str], list[str]] = _dropped if spaces == "dropped" else _SPACED.findall
         self.known = _Known()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -48,8 +67,10 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in done]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [[t] if _OTHER_SPACE.search(t) else self.cut(t) for t in texts]
-        new = list(set().union(*chunks) - self.known.keys())
+        chunks = [[t] if _other_space(t) else self.cut(t) for t in texts]
+        known = self.known
+        # Not a difference with keys(), which would go through all that is known.
+        new = [c for c in set().union(*chunks) if c not in known]
         ids = dict(zip(new, self._encode(new), strict=True)) if new else {}
         room = CACHE_ENTRIES - len(self.known)
         if room > 0:

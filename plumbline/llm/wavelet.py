@@ -62,22 +62,34 @@ class Bits:
 
 
 class WaveletMatrix:
-    """Sequence of ids as bit planes, highest bit first; zeros of a plane go before its ones."""
+    """Sequence of ids as bit planes, highest bit first; zeros of a plane go before its ones.
 
-    def __init__(self, planes: list[Bits], n: int) -> None:
-        self.planes, self.n = planes, n
+    The planes hold places in the sorted list of the ids that come (`known`), so there are as many
+    as the number of different ids needs.
+    """
+
+    def __init__(self, planes: list[Bits], n: int, known: np.ndarray) -> None:
+        self.planes, self.n, self.known = planes, n, known
         self.zeros = [p.rank(0, n) for p in planes]
 
+    def _place(self, value: int) -> int:
+        """The place of an id in `known`, -1 if it never comes."""
+        k = int(np.searchsorted(self.known, value))
+        return k if k < len(self.known) and self.known[k] == value else -1
+
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        width = int(ids.max()).bit_length() if len(ids) else 0
-        rest = ids.astype(np.uint16 if width <= 16 else np.uint32)
+        comes = np.bincount(ids) > 0 if len(ids) else np.zeros(0, bool)
+        known = np.flatnonzero(comes)
+        width = max(0, len(known) - 1).bit_length()
+        rest = (np.cumsum(comes) - 1).astype(np.uint16 if width <= 16 else np.uint32)[ids]
         planes = []
         for k in range(width - 1, -1, -1):
             bits = (rest >> k & 1).astype(bool)
             planes.append(Bits.build(bits))
-            rest = np.concatenate([rest[~bits], rest[bits]])
-        return cls(planes, len(ids))
+            # Several times as fast as indexing with the bits.
+            rest = np.concatenate([np.compress(~bits, rest), np.compress(bits, rest)])
+        return cls(planes, len(ids), known)
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane back to the first."""
@@ -86,10 +98,10 @@ class WaveletMatrix:
         for k, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             bits = plane.all()
             before = np.empty_like(ids)
-            before[~bits] = ids[:zeros]
-            before[bits] = ids[zeros:] | kind(1 << k)
+            before[np.flatnonzero(~bits)] = ids[:zeros]
+            before[np.flatnonzero(bits)] = ids[zeros:] | kind(1 << k)
             ids = before
-        return ids
+        return self.known.astype(np.uint32)[ids]
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -98,10 +110,10 @@ class WaveletMatrix:
             bit = plane.get(i)
             value = value << 1 | bit
             i = zeros + plane.rank(1, i) if bit else plane.rank(0, i)
-        return value
+        return int(self.known[value])
 
     def _range(self, value: int, i: int) -> tuple[int, int]:
-        """Where occurrences of the id begin in the last row, and where those before place i end."""
+        """Where occurrences of the id at this place of `known` begin in the last row, and where those before place i end."""
         low, high = 0, i
         for k, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
             bit = value >> (len(self.planes) - 1 - k) & 1
@@ -112,9 +124,10 @@ class WaveletMatrix:
 
     def rank(self, value: int, i: int) -> int:
         """How often the id comes in the first i places."""
-        if value >> len(self.planes):
+        place = self._place(value)
+        if place < 0:
             return 0
-        low, high = self._range(value, i)
+        low, high = self._range(place, i)
         return high - low
 
     def count(self, value: int) -> int:
@@ -124,6 +137,7 @@ class WaveletMatrix:
         """The place of the k-th (from 0) occurrence of the id."""
         if not 0 <= k < self.count(value):
             raise IndexError("No such occurrence")
+        value = self._place(value)
         place = self._range(value, 0)[0] + k
         for at in range(len(self.planes) - 1, -1, -1):
             bit = value >> (len(self.planes) - 1 - at) & 1
@@ -137,8 +151,8 @@ class WaveletMatrix:
 def to_bytes(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     """A shard's file: magic, length of the head, head (JSON), sections.
 
-    Sections are the ids of the documents, the number of tokens of each, and for each plane its bits
-    and ranks; the head gives their places and lengths, and whether they are compressed.
+    Sections are the ids of the documents, which of them are null, the number of tokens of each, the
+    token ids that come, and for each plane its bits and ranks; the head gives their places and lengths, and whether they are compressed.
     """
     matrix = WaveletMatrix.build(ids)
     named = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -146,6 +160,7 @@ def to_bytes(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> by
         zlib.compress(named.tobytes()),
         zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes()),
         zlib.compress(np.array(sizes, "<u8").tobytes()),
+        zlib.compress(matrix.known.astype("<u4").tobytes()),
     ]
     for plane in matrix.planes:
         parts += [plane.packed.tobytes(), zlib.compress(plane.ranks.tobytes(), 1)]
@@ -171,13 +186,14 @@ class Shard:
         self.sizes = np.frombuffer(zlib.decompress(part[2]), "<u8").astype(np.int64)
         planes = [
             Bits(
-                np.frombuffer(part[3 + 2 * k], np.uint8),
-                np.frombuffer(zlib.decompress(part[4 + 2 * k]), "<u4"),
+                np.frombuffer(part[4 + 2 * k], np.uint8),
+                np.frombuffer(zlib.decompress(part[5 + 2 * k]), "<u4"),
                 head["n"],
             )
             for k in range(head["planes"])
         ]
-        self.tokens = WaveletMatrix(planes, head["n"])
+        known = np.frombuffer(zlib.decompress(part[3]), "<u4").astype(np.int64)
+        self.tokens = WaveletMatrix(planes, head["n"], known)
 
 
 def write(
@@ -264,7 +280,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             pa.array(a + base),
                             pa.array(b - a),
                             pa.array(
-                                [ids[x:y].astype("<u4").tobytes() for x, y in zip(a, b, strict=True)],
+                                [ids[x:y].tobytes() for x, y in zip(a, b, strict=True)],
                                 pa.binary(),
                             ),
                         ],
