@@ -13,8 +13,8 @@ PLAN_FIELDS = ("plan_id", "dataset_id", "iteration", "objective", "actions")
 ACTION_FIELDS = (
     "action_id", "transformation", "columns", "parameters", "rationale", "model_scope",
 )
-IDENTIFIER = "^[A-Za-z0-9_-]+$"
-TRANSFORMATION_NAME = "^[a-z][a-z0-9_]*$"
+IDENTIFIER = r"\A[A-Za-z0-9_-]+\z"
+TRANSFORMATION_NAME = r"\A[a-z][a-z0-9_]*\z"
 SAMPLERS = ("random_undersampling", "random_oversampling", "smote")
 
 PLAN_DDL = (

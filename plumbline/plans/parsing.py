@@ -50,25 +50,55 @@ def _mismatch(value: Column, pattern: str) -> Column:
     return ~F.coalesce(value.rlike(pattern), F.lit(False))
 
 
-def _action_errors(action: Column) -> Column:
+def _kind(document: Column, field: str) -> Column:
+    """The JSON type of a field, VOID for an explicit null; null if the field is not there."""
+    return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
+
+
+def _not(document: Column, field: str, *kinds: str) -> Column:
+    """Whether a field is there and of none of the types."""
+    return F.coalesce(~_kind(document, field).isin(*kinds), F.lit(False))
+
+
+def _action_errors(action: Column, raw: Column) -> Column:
+    document = F.try_parse_json(raw)
     columns = F.coalesce(action["columns"], _empty_list("string"))
     scope = F.coalesce(action["model_scope"], F.lit("all"))
     return F.array_compact(
         F.array(
-            _when(_mismatch(action["action_id"], IDENTIFIER), "invalid_field", "action_id"),
             _when(
-                _mismatch(action["transformation"], TRANSFORMATION_NAME),
+                _mismatch(action["action_id"], IDENTIFIER) | _not(document, "action_id", "STRING"),
+                "invalid_field",
+                "action_id",
+            ),
+            _when(
+                _mismatch(action["transformation"], TRANSFORMATION_NAME)
+                | _not(document, "transformation", "STRING"),
                 "invalid_field",
                 "transformation",
             ),
-            _when(_blank(action["rationale"]), "invalid_field", "rationale"),
-            _when(~scope.isin(*SCOPES), "invalid_field", "model_scope"),
+            _when(
+                _blank(action["rationale"]) | _not(document, "rationale", "STRING"),
+                "invalid_field",
+                "rationale",
+            ),
+            _when(
+                ~scope.isin(*SCOPES) | _not(document, "model_scope", "STRING"),
+                "invalid_field",
+                "model_scope",
+            ),
             _when(
                 (F.size(columns) != F.size(F.array_distinct(columns)))
-                | F.exists(columns, lambda c: F.coalesce(F.trim(c) == "", F.lit(True))),
+                | F.exists(columns, lambda c: F.coalesce(c.rlike(r"\A\s*\z"), F.lit(True)))
+                | _not(document, "columns", "ARRAY<STRING>", "ARRAY<VOID>"),
                 "invalid_field",
                 "columns",
             ),
+            _when(
+                F.coalesce(~_kind(document, "parameters").startswith("OBJECT"), F.lit(False)),
+                "invalid_field",
+                "parameters",
+            ),
         )
     )
 
@@ -91,15 +121,38 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
     plan = F.col("_plan")
     actions = F.coalesce(plan["actions"], F.array().cast(parsed.schema["_plan"].dataType["actions"].dataType))
     ids = F.transform(actions, lambda a: a["action_id"])
+    # Inside brackets, text behind the closing brace is malformed or a second element.
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    document = F.try_variant_get(alone, "$[0]", "variant")
+    second = F.try_variant_get(alone, "$[1]", "variant")
     unreadable = text.isNull() | plan.isNull() | plan[broken].isNotNull()
+    unreadable = unreadable | alone.isNull() | second.isNotNull()
+    raws = F.coalesce(F.col("_raw"), _empty_list("string"))
     fields = F.array_compact(
         F.array(
-            _when(_mismatch(plan["plan_id"], IDENTIFIER), "invalid_field", "plan_id"),
-            _when(_blank(plan["dataset_id"]), "invalid_field", "dataset_id"),
+            _when(
+                _mismatch(plan["plan_id"], IDENTIFIER) | _not(document, "plan_id", "STRING"),
+                "invalid_field",
+                "plan_id",
+            ),
+            _when(
+                _blank(plan["dataset_id"]) | _not(document, "dataset_id", "STRING"),
+                "invalid_field",
+                "dataset_id",
+            ),
             _when(
                 ~F.coalesce(plan["iteration"] >= 1, F.lit(False)), "invalid_field", "iteration"
             ),
-            _when(_blank(plan["objective"]), "invalid_field", "objective"),
+            _when(
+                _blank(plan["objective"]) | _not(document, "objective", "STRING"),
+                "invalid_field",
+                "objective",
+            ),
+            _when(
+                F.coalesce(~_kind(document, "actions").startswith("ARRAY"), F.lit(False)),
+                "invalid_field",
+                "actions",
+            ),
             _when(
                 F.size(ids) != F.size(F.array_distinct(ids)), "repeated_action_id", "actions"
             ),
@@ -108,13 +161,8 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
     errors = F.concat(
         fields,
         _unknown_keys(text, PLAN_FIELDS),
-        F.flatten(F.transform(actions, _action_errors)),
-        F.flatten(
-            F.transform(
-                F.coalesce(F.col("_raw"), _empty_list("string")),
-                lambda raw: _unknown_keys(raw, ACTION_FIELDS),
-            )
-        ),
+        F.flatten(F.transform(actions, lambda a, i: _action_errors(a, F.get(raws, i)))),
+        F.flatten(F.transform(raws, lambda raw: _unknown_keys(raw, ACTION_FIELDS))),
     )
     filled = F.transform(
         actions,

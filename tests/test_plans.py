@@ -212,3 +212,21 @@ def test_imputation_raises_quality(train):
     assert both["before"]["data_quality_score"] == quality_of(train.drop("id")).first()["data_quality_score"]
     with pytest.raises(ValueError, match="development"):
         plan_quality(train, SIX, "temporal_test")
+
+
+def test_wrong_types_nulls_and_trailing_text(spark):
+    action = {"action_id": "a", "transformation": "scale", "columns": ["x"], "parameters": {},
+              "rationale": "r", "model_scope": "all"}
+    plan = {"plan_id": "p", "dataset_id": "d", "iteration": 1, "objective": "o", "actions": [action]}
+    of_plan = lambda **kv: json.dumps({**plan, **kv})
+    of_action = lambda **kv: of_plan(actions=[{**action, **kv}])
+    cases = [
+        (of_plan(), None), (of_action(columns=[]), None), (of_action(parameters={"q": [1]}), None),
+        (of_plan(plan_id=5), "plan_id"), (of_plan(plan_id="p\n"), "plan_id"), (of_plan(actions=None), "actions"),
+        (of_action(columns=None), "columns"), (of_action(columns=[1]), "columns"), (of_action(columns=["\t"]), "columns"),
+        (of_action(parameters=None), "parameters"), (of_action(model_scope=None), "model_scope"),
+        (of_plan() + " x", "plan"), (of_plan() + ", {}", "plan"), ("", "plan"),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k long, plan_json string")
+    got = {r.k: [e["detail"] for e in r.shape_errors] for r in parse_plans(rows).collect()}
+    assert [got[k] for k in range(len(cases))] == [[d] if d else [] for _, d in cases]
