@@ -104,7 +104,7 @@ def _machines(rows: DataFrame, column: str, names: list[str]) -> list[Machine]:
         share = F.when(F.col("label") == 1, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0])
         weighted = pair.withColumn("weight", share * sum(counts.values()))
         svm = LinearSVC(
-            maxIter=30, regParam=1e-4, standardization=False, weightCol="weight", aggregationDepth=2
+            maxIter=20, regParam=1e-4, standardization=False, weightCol="weight", aggregationDepth=2
         ).fit(weighted)
         out.append(Machine(left, right, svm.coefficients.toArray(), float(svm.intercept)))
     return out
@@ -149,8 +149,8 @@ def train(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     rows = written(profiles, "language-profiles").select(
         "lang", named.alias("family"), array_to_vector("x").alias("features")
     )
-    if sum(1 for _ in languages) > 1:
-        rows = rows.cache()
+    # The sample is bounded; few parts spare each step of the fit a shuffle of its sums.
+    rows = rows.coalesce(4).cache()
     try:
         present = {r["lang"] for r in rows.select("lang").distinct().collect()}
         families = {
