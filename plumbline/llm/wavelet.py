@@ -19,7 +19,7 @@ from plumbline.llm.shared import shared_folder, slices
 MAGIC = b"WVMX"
 BLOCK = 512
 # Bytes of text that a shard holds on average.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 12_000_000
 
 
 class Bits:
