@@ -535,12 +535,9 @@ def strict_json_roundtrip(spark, folder):
     return spark.read.schema(rows.schema).json(path)
 
 
-# Settings that keep the demonstration short; the defaults are in training.estimators.
-QUICK = {
-    "logistic_regression": {"max_iter": 50},
-    "decision_tree": {"max_depth": 6},
-    "random_forest": {"trees": 10, "max_depth": 6},
-}
+# Negatives to each positive, folds and repeats of the comparison of models, which are fitted with
+# the settings of training.estimators.
+RATIO, SPLITS, REPEATS = 10, 5, 5
 TARGET = "isFraud"
 KEY = ["event_id"]
 
@@ -569,10 +566,17 @@ def _robust_plan():
     )
 
 
-def _benchmark(spark, folder, plan):
-    sample = case_control_sample(_model_table(spark, folder), TARGET, KEY, 2, 42)
-    return sample, benchmark(
-        sample, plan, TARGET, KEY, 2, 1, settings=QUICK, parallelism=4
+def _benchmark(spark, folder, plan, ratio=RATIO, splits=SPLITS, repeats=REPEATS):
+    sample = case_control_sample(_model_table(spark, folder), TARGET, KEY, ratio, 42)
+    return sample, benchmark(sample, plan, TARGET, KEY, splits, repeats, parallelism=4)
+
+
+def _coverage(result):
+    valid = F.col("y_score").between(0, 1)
+    return rounded(
+        result.predictions.where(valid)
+        .groupBy("model", "repeat", "fold")
+        .agg(F.count_distinct("event_id").alias("rows"), F.sum("y_true").alias("positives"))
     )
 
 
@@ -601,14 +605,32 @@ def ml_benchmark(spark, folder):
     GROUP BY 1, 2, 3""",
 )
 def ml_oof_coverage(spark, folder):
-    """Out-of-fold scores cover every row of every fold once per model."""
-    _, result = _benchmark(spark, folder, fixed_plan("events", ("type",), _numeric()))
-    valid = F.col("y_score").between(0, 1)
-    return rounded(
-        result.predictions.where(valid)
-        .groupBy("model", "repeat", "fold")
-        .agg(F.count_distinct("event_id").alias("rows"), F.sum("y_true").alias("positives"))
-    )
+    """Out-of-fold scores cover every row of every fold once per model, on a split of its own."""
+    plan = fixed_plan("events", ("type",), _numeric())
+    return _coverage(_benchmark(spark, folder, plan, 2, 2, 1)[1])
+
+
+@query(
+    "ml_oof_coverage_repeated",
+    with_sql(TX) + """
+    , sample AS (
+      SELECT event_id, "isFraud" FROM tx WHERE "isFraud" = 1
+      UNION ALL
+      (SELECT event_id, "isFraud" FROM tx WHERE "isFraud" = 0
+       QUALIFY row_number() OVER (ORDER BY md5('42|' || event_id))
+         <= 10 * (SELECT count(*) FROM tx WHERE "isFraud" = 1))),
+    folds AS (
+      SELECT "isFraud", repeat, (row_number() OVER (PARTITION BY repeat, "isFraud"
+               ORDER BY md5('42|' || repeat || '|' || event_id)) - 1) % 5 + 1 AS fold
+      FROM sample, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat))
+    SELECT m AS model, CAST(repeat AS BIGINT) AS repeat, fold, count(*) AS rows,
+           CAST(sum("isFraud") AS BIGINT) AS positives
+    FROM folds, (SELECT unnest(['logistic_regression', 'decision_tree', 'random_forest']) AS m)
+    GROUP BY 1, 2, 3""",
+)
+def ml_oof_coverage_repeated(spark, folder):
+    """The same for all repeats of the comparison of models."""
+    return _coverage(_benchmark(spark, folder, fixed_plan("events", ("type",), _numeric()))[1])
 
 
 @query("plan_benchmark_summary")
@@ -627,6 +649,6 @@ def candidate_evidence_query(spark, folder):
 @query("holdout_compare")
 def holdout_compare(spark, folder):
     development, held = split_temporally(_model_table(spark, folder))
-    sample = case_control_sample(development, TARGET, KEY, 2, 42)
+    sample = case_control_sample(development, TARGET, KEY, RATIO, 42)
     plans = {"fixed": fixed_plan("events", ("type",), _numeric()), "plan": _robust_plan()}
-    return compare_on_holdout(sample, held, plans, TARGET, KEY, settings=QUICK)[0]
+    return compare_on_holdout(sample, held, plans, TARGET, KEY)[0]

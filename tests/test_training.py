@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.catalogue import QUERIES, evaluation
 from plumbline.operators.folds import stratified_folds
 from plumbline.plans.application import Action, Plan
 from plumbline.training.benchmark import (
@@ -105,3 +106,31 @@ def test_model_features_are_required(sample):
     require_model_features(sample)
     with pytest.raises(ValueError, match="hour, step"):
         require_model_features(sample.drop("step", "hour"))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ml_benchmark", "ml_oof_coverage_repeated", "plan_benchmark_summary", "candidate_evidence", "holdout_compare"],
+)
+def test_queries_train_whole(spark, small, monkeypatch, name):
+    """Default settings, 5 x 5 folds and ten negatives to each positive reach the training."""
+    seen = {}
+
+    class Reached(Exception):
+        pass
+
+    def benchmark_(sample, plan, target, key, folds=5, repeats=5, seed=42, settings=None, **_):
+        seen.update(sample=sample, folds=folds, repeats=repeats, settings=settings)
+        raise Reached
+
+    def compare(sample, held, plans, target, key, settings=None, **_):
+        seen.update(sample=sample, folds=5, repeats=5, settings=settings)
+        raise Reached
+
+    monkeypatch.setattr(evaluation, "benchmark", benchmark_)
+    monkeypatch.setattr(evaluation, "compare_on_holdout", compare)
+    with pytest.raises(Reached):
+        QUERIES[name](spark, small)
+    assert (seen["folds"], seen["repeats"], seen["settings"]) == (5, 5, None)
+    n = {r["isFraud"]: r["count"] for r in seen["sample"].groupBy("isFraud").count().collect()}
+    assert n[0] == 10 * n[1] > 0
