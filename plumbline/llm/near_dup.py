@@ -85,7 +85,9 @@ def signature(h: np.ndarray) -> np.ndarray:
     sig = np.zeros(BINS, np.uint64)
     sig[filled] = h[first]
     if len(filled) <= 48:
-        return h[first][_RANK[:, filled].argmin(axis=1)]
+        out = h[first][_RANK[:, filled].argmin(axis=1)]
+        out[filled] = h[first]
+        return out
     full = np.zeros(BINS, bool)
     full[filled] = True
     empty = np.flatnonzero(~full)
