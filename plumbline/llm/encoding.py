@@ -14,69 +14,99 @@ from plumbline.llm.shared import one_thread
 # Entries a worker keeps at most; further words are encoded again each time they come.
 CACHE_ENTRIES = 800_000
 
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_OTHER_LATIN_SPACE = bytes(c for c in range(256) if chr(c).isspace() and chr(c) not in " \n")
-_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# Classes of the characters up to U+00FF, as the vocabularies' patterns see them.
+_LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACES = "\t-\r \x85\xa0"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+# The pieces that are merged by themselves, for texts of characters up to U+00FF.
+_KEPT_PIECES = re.compile(
+    f"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+    f"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+).findall
+_DROPPED_PIECES = re.compile(
+    f"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+).findall
 
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_WORDS = re.compile(r"[^ \t-\r]+").findall
 
-def _other_space(text: str) -> bool:
-    try:
-        latin = text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _OTHER_SPACE.search(text) is not None
-    return len(latin.translate(None, _OTHER_LATIN_SPACE)) < len(latin)
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
 
-def _dropped(text: str) -> list[str]:
-    """Words for a tokenizer that drops white space and ignores case."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text.split()
-    # Without combining marks, lower case may come first; then fewer different words are left.
-    return text.lower().split()
+    Visible characters up to U+00FF stand for themselves, the other bytes for U+0100 onwards.
+    """
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class _Known(dict):
     """Ids by chunk; chunks of the current batch that found no room are in `more`."""
 
-    more: dict[str, bytes] = {}
+    more: dict[object, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: object) -> bytes:
         return self.more[chunk]
 
 
 class Encoder:
-    """Encode texts as little-endian unsigned 32-bit ids, without special tokens.
-
-    A text is cut where the tokenizer cuts it in any case: between words for `spaces="dropped"`
-    (white space makes no token, case is ignored), and before the white space that follows a word for
-    `spaces="kept"`. Texts with white space other than blank and line feed are encoded whole, so
-    ids never differ from those of the whole text. Strings of special tokens are ordinary text.
+    """Encode texts as little-endian unsigned 32-bit ids, as the tokenizer does by default.
+
+    Texts of characters up to U+00FF are cut into the pieces that the tokenizer merges by themselves,
+    and each different piece goes through its model once. Other texts are cut only where it cuts in
+    any case: between words for `spaces="dropped"` (white space makes no token, case is ignored), and
+    before the white space that follows a word for `spaces="kept"`. A text that holds the string
+    of an added token, or unusual white space beside characters above U+00FF, is encoded whole. So
+    ids never differ from those of the whole text.
     """
 
     def __init__(self, file: str, spaces: str) -> None:
         one_thread()
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.cut: Callable[[str], list[str]] = _dropped if spaces == "dropped" else _SPACED.findall
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.drop = spaces == "dropped"
+        self.pieces: Callable[[str], list[str]] = _DROPPED_PIECES if self.drop else _KEPT_PIECES
+        self.letters = byte_letters()
+        # Pieces are text; chunks for the whole tokenizer are 1-tuples.
         self.known = _Known()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _chunks(self, text: str) -> list:
+        if any(a in text for a in self.added):
+            return [(text,)]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.drop:
+                return [(w,) for w in _WORDS(text)]
+            return [(text,)] if _OTHER_SPACE.search(text) else [(c,) for c in _SPACED(text)]
+        return self.pieces(text.lower() if self.drop else text)
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [[t] if _other_space(t) else self.cut(t) for t in texts]
+        chunks = [self._chunks(t) for t in texts]
         known = self.known
         # Not a difference with keys(), which would go through all that is known.
         new = [c for c in set().union(*chunks) if c not in known]
-        ids = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        room = CACHE_ENTRIES - len(self.known)
+        whole = [c[0] for c in new if type(c) is tuple]
+        ids: dict[object, bytes] = {c: self._piece(c) for c in new if type(c) is str}
+        ids.update(((t,), i) for t, i in zip(whole, self._whole(whole), strict=True))
+        room = CACHE_ENTRIES - len(known)
         if room > 0:
-            self.known.update((c, ids[c]) for c in new[:room] if len(c) < 50)
-        self.known.more = ids
-        get = self.known.__getitem__
+            known.update((c, ids[c]) for c in new[:room] if len(c[0]) < 50 and len(c) < 50)
+        known.more = ids
+        get = known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
 

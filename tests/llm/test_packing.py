@@ -13,16 +13,20 @@ from plumbline.llm.encoding import Encoder, encoder
 
 def whole(file, texts):
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
     return [array("I", e.ids).tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize(("file", "spaces"), [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
 def test_encoder_equals_whole_texts(file, spaces):
     draw = random.Random(5)
-    letters = "ab éÈçs't 12.,!\n\n  \t  ́漢\U0001f600<|endoftext|>'re ﬁ\x1c"
-    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(60))) for _ in range(400)]
-    texts += ["", " ", "\n", "a", " a", "a ", "a\n\nb", "a  b", "  a\n", "<|endoftext|> x<|startoftext|>"]
+    latin = "ab éÈçs't 12.,!²ªµ\x85\xa0¼ß×÷\n\n  \t  \x1c\x1f\x00\x7f\x80\xad'reD"
+    texts = [
+        "".join(draw.choice(letters) for _ in range(draw.randrange(60)))
+        for letters in (latin, latin + "\u0301漢\U0001f600ﬁ—İΣς")
+        for _ in range(1500)
+    ]
+    texts += ["", " ", "\n", "a", " a", "a ", "a\n\nb", "a  b", "  a\n", "don't I'll THEY'VE"]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|ENDOFTEXT|> x", "é<|startoftext|>漢 <|endoftext|>"]
     assert encoder(file, spaces)(texts) == whole(file, texts)
 
 
