@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lang_id, lm_score, near_dup, packing, quality_gam, quality_rules, url_rules, warc_revisit, wavelet
-
+from plumbline.llm import (
+    config_packing,
+    decontaminate,
+    lang_id,
+    lm_score,
+    near_dup,
+    packing,
+    quality_gam,
+    quality_rules,
+    url_rules,
+    warc_revisit,
+    wavelet,
+)
 from plumbline.llm.quality_rules import STOP_WORDS
 from plumbline.llm.shared import LOWER, UPPER, remainder
 
@@ -245,3 +256,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query("op11_best_fit")
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, in as few sequences of 2048 tokens as the plan finds."""
+    pieces = config_packing.cut(table(spark, sf_dir, "documents"))
+    return config_packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
