@@ -16,12 +16,13 @@ from plumbline.llm import (
     packing,
     quality_gam,
     quality_rules,
+    structure_repair,
     url_rules,
     warc_revisit,
     wavelet,
 )
 from plumbline.llm.quality_rules import STOP_WORDS
-from plumbline.llm.shared import LOWER, UPPER, remainder
+from plumbline.llm.shared import LOWER, UPPER, remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -265,3 +266,119 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+# CRC-32 of a short ASCII text, as SQL has none: crc_table holds its 256 words, crc(x) uses them.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7],
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS words
+)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(unicode(x) AS BIGINT))),
+        lambda c, b: xor(c >> 8, words[(xor(c, b) & 255) + 1])))"""
+
+
+_STRUCTURE_SQL = f"""
+WITH {_CRC_TABLE},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+  FROM conversations, crc_table
+),
+rows_ AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed WHERE fault <> 0
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM rows_)
+),
+faults AS (
+  SELECT *, empty AS is_blank, again AND NOT empty AS is_again, cut AND NOT again AND NOT empty AS is_cut,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
+  FROM numbered
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again) AS duplicate,
+         count(*) FILTER (is_cut) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'gone': is_blank OR is_again, 'extra': CASE WHEN is_cut THEN 3 ELSE 0 END, 'i': role[1],
+               'line': role || ':' || text, 'text': text, 'st': [{{'c': 0, 't': '', 'x': ''}}]}} ORDER BY n) AS l
+  FROM faults GROUP BY conv_id
+),
+-- Cheapest edits so far that have made nothing, s, ..u and ..a; x are the repaired lines.
+folded AS (
+  SELECT *, list_reduce(l, lambda acc, e: {{'gone': e.gone, 'extra': e.extra, 'i': e.i, 'line': e.line, 'text': e.text,
+    'st': list_transform([list_concat(acc.st, [
+        list_min([acc.st[3],
+          {{'c': acc.st[1].c + 3, 't': acc.st[1].t || 'I', 'x': acc.st[1].x || 'user:'}},
+          {{'c': acc.st[2].c + 3, 't': acc.st[2].t || 'I', 'x': acc.st[2].x || chr(10) || 'user:'}},
+          {{'c': acc.st[4].c + 3, 't': acc.st[4].t || 'I', 'x': acc.st[4].x || chr(10) || 'user:'}}]),
+        list_min([acc.st[4],
+          {{'c': acc.st[3].c + 3, 't': acc.st[3].t || 'I', 'x': acc.st[3].x || chr(10) || 'assistant:'}},
+          {{'c': acc.st[1].c + 6, 't': acc.st[1].t || 'II', 'x': acc.st[1].x || 'user:' || chr(10) || 'assistant:'}},
+          {{'c': acc.st[2].c + 6, 't': acc.st[2].t || 'II',
+            'x': acc.st[2].x || chr(10) || 'user:' || chr(10) || 'assistant:'}}])])],
+      lambda b: [
+        {{'c': b[1].c + 4, 't': b[1].t || 'D', 'x': b[1].x}},
+        list_min([{{'c': b[2].c + 4, 't': b[2].t || 'D', 'x': b[2].x}},
+          {{'c': b[1].c + CASE WHEN e.gone OR e.i <> 's' THEN 1000000 ELSE e.extra END,
+            't': b[1].t || 'K', 'x': b[1].x || e.line}}]),
+        list_min([{{'c': b[5].c + 4, 't': b[5].t || 'D', 'x': b[5].x}},
+          {{'c': b[1].c + CASE WHEN e.gone THEN 1000000 WHEN e.i = 'u' THEN e.extra ELSE e.extra + 3 END,
+            't': b[1].t || CASE WHEN e.i = 'u' THEN 'K' ELSE 'R' END,
+            'x': b[1].x || CASE WHEN e.i = 'u' THEN e.line ELSE 'user:' || e.text END}},
+          {{'c': b[2].c + CASE WHEN e.gone THEN 1000000 WHEN e.i = 'u' THEN e.extra ELSE e.extra + 3 END,
+            't': b[2].t || CASE WHEN e.i = 'u' THEN 'K' ELSE 'R' END,
+            'x': b[2].x || chr(10) || CASE WHEN e.i = 'u' THEN e.line ELSE 'user:' || e.text END}},
+          {{'c': b[6].c + CASE WHEN e.gone THEN 1000000 WHEN e.i = 'u' THEN e.extra ELSE e.extra + 3 END,
+            't': b[6].t || CASE WHEN e.i = 'u' THEN 'K' ELSE 'R' END,
+            'x': b[6].x || chr(10) || CASE WHEN e.i = 'u' THEN e.line ELSE 'user:' || e.text END}}]),
+        list_min([{{'c': b[6].c + 4, 't': b[6].t || 'D', 'x': b[6].x}},
+          {{'c': b[5].c + CASE WHEN e.gone THEN 1000000 WHEN e.i = 'a' THEN e.extra ELSE e.extra + 3 END,
+            't': b[5].t || CASE WHEN e.i = 'a' THEN 'K' ELSE 'R' END,
+            'x': b[5].x || chr(10) || CASE WHEN e.i = 'a' THEN e.line ELSE 'assistant:' || e.text END}}])]
+    )[1]}},
+    {{'gone': false, 'extra': 0, 'i': '', 'line': '', 'text': '', 'st': [
+      {{'c': 0, 't': '', 'x': ''}}, {{'c': 1000000, 't': '', 'x': ''}},
+      {{'c': 1000000, 't': '', 'x': ''}}, {{'c': 1000000, 't': '', 'x': ''}}]}}).st AS st
+  FROM counts
+),
+best AS (
+  SELECT *, list_min([st[1], st[4],
+           {{'c': st[3].c + 3, 't': st[3].t || 'I', 'x': st[3].x || chr(10) || 'assistant:'}},
+           {{'c': st[2].c + 6, 't': st[2].t || 'II', 'x': st[2].x || chr(10) || 'user:' || chr(10) || 'assistant:'}}]) AS b
+  FROM folded
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.t, '') AS audit, sha256(coalesce(b.x, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+@query("op13_structure_repair", _STRUCTURE_SQL)
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    turns = structure_repair.damaged(conversations)
+    audits = written(structure_repair.audit(turns), "audits")
+    repaired = audits.join(structure_repair.digests(turns, audits).withColumnRenamed("conv_id", "_id"),
+                           F.col("conv_id").eqNullSafe(F.col("_id")))
+    ids = conversations.select(F.col("conv_id").cast("long").alias("_conv")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(repaired, F.col("_conv").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_conv").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
