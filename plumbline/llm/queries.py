@@ -14,6 +14,7 @@ from plumbline.llm import (
     lm_score,
     near_dup,
     packing,
+    prefix_trie,
     quality_gam,
     quality_rules,
     structure_repair,
@@ -282,6 +283,46 @@ def _crc(text: str) -> str:
         lambda c, b: xor(c >> 8, words[(xor(c, b) & 255) + 1])))"""
 
 
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+lists AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}}
+           ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+headed AS (SELECT conv_id, l, {_crc("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM lists, crc_table),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l
+  FROM headed a LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 100
+),
+prefixes AS (
+  SELECT conv_id, d, l[1:d] AS k, d = len(l) AS ends, CASE WHEN d = 0 THEN 0 ELSE length(l[d].x) END AS c
+  FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(c) AS c,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY k, d
+),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (k)),
+sums AS (
+  SELECT k[1:a] AS k, sum((n_convs - 1) * c) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own) GROUP BY ALL
+)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums USING (k) LEFT JOIN own p ON p.d = o.d - 1 AND p.k = o.k[1:o.d - 1]
+"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn prefix of the conversations, after they take over shared heads."""
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(lists))
+
+
 _STRUCTURE_SQL = f"""
 WITH {_CRC_TABLE},
 keyed AS (
