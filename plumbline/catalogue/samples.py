@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from plumbline.catalogue.common import (
 from plumbline.operators import folds as fd
 from plumbline.operators import sampling as sp
 from plumbline.operators import transforms as tr
+from plumbline.operators.categories import one_hot_sparse
 from plumbline.operators.neighbours import nearest_neighbours, smote
 
 KEY = ["event_id"]
@@ -332,6 +334,54 @@ def one_hot_unseen(spark, folder):
     return rounded(tr.one_hot_encode(rows, ["type"], merchants).drop("nameDest"))
 
 
+_MANY = """
+    lines AS (SELECT l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber AS line,
+                     CASE WHEN l_quantity >= 5 THEN l_returnflag END AS mode FROM lineitem),
+    learned AS (SELECT * FROM lines WHERE {0}),
+    line_ids AS (SELECT v, row_number() OVER (ORDER BY v IS NOT NULL, md5(v)) - 1 AS i
+                 FROM (SELECT DISTINCT line AS v FROM learned)),
+    mode_ids AS (SELECT v, row_number() OVER (ORDER BY v IS NOT NULL, md5(v)) - 1 AS i
+                 FROM (SELECT DISTINCT mode AS v FROM learned))
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+           (SELECT count(*) FROM line_ids) + (SELECT count(*) FROM mode_ids) AS size,
+           concat_ws(',', a.i, b.i + (SELECT count(*) FROM line_ids)) AS positions
+    FROM lines LEFT JOIN line_ids a ON line IS NOT DISTINCT FROM a.v
+    LEFT JOIN mode_ids b ON mode IS NOT DISTINCT FROM b.v"""
+
+
+def _encoded_lines(spark, folder, learned):
+    """Lines by a text of their own, one category each, and by a way of shipping that is missing at times."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
+        F.when(F.col("l_quantity") >= 5, F.col("l_returnflag")).alias("mode"),
+    )
+    encoded = one_hot_sparse(lines, ["line", "mode"], lines.where(learned))
+    whole = VectorAssembler(inputCols=["line", "mode"], outputCol="vector").transform(encoded)
+    cells = F.unwrap_udt("vector")
+    return rounded(
+        whole.select(
+            "l_orderkey",
+            "l_linenumber",
+            cells["size"].alias("size"),
+            F.array_join(cells["indices"].cast("array<string>"), ",").alias("positions"),
+        )
+    )
+
+
+@query("one_hot_many", "WITH" + _MANY.format("true"))
+def one_hot_many(spark, folder):
+    """As many categories as there are lines, as sparse vectors."""
+    return _encoded_lines(spark, folder, F.lit(True))
+
+
+@query("one_hot_many_unseen", "WITH" + _MANY.format("l_linenumber <= 3 AND mode <> 'A'"))
+def one_hot_many_unseen(spark, folder):
+    """The same, with categories that were not learned, a missing one among them."""
+    return _encoded_lines(spark, folder, "l_linenumber <= 3 AND mode <> 'A'")
+
+
 @query(
     "fold_local_stats",
     with_sql(TX, FOLDS) + """

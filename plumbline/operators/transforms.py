@@ -6,6 +6,7 @@ arithmetic. The statistics of many columns come from one job.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,6 @@ from plumbline.operators.folds import other_folds
 from plumbline.operators.ordering import exact_quantiles
 
 MISSING_CATEGORY = "__NULL__"
-# Each category becomes a column; a column with more is refused rather than cut short.
-MOST_CATEGORIES = 10_000
 
 
 def _number(c: str) -> Column:
@@ -84,7 +83,11 @@ def learn_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def learn_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str | None]]:
-    """Sorted categories of each column; missing, where it occurs, is None and comes first."""
+    """Sorted categories of each column; missing, where it occurs, is None and comes first.
+
+    They are to be names of columns, which the driver holds in any case. For columns of very
+    many categories there is ``categories.one_hot_sparse``.
+    """
     entries = [
         F.struct(
             F.lit(c).alias("column"),
@@ -94,11 +97,9 @@ def learn_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[st
     ]
     found: dict[str, list[str | None]] = {c: [] for c in columns}
     values = df.select(F.inline(F.array(*entries))).distinct()
-    for r in values.limit(MOST_CATEGORIES * len(columns) + 1).collect():
+    for r in values.collect():
         found[r["column"]].append(r["value"])
-    for c, own in found.items():
-        if len(own) > MOST_CATEGORIES:
-            raise ValueError(f"Column '{c}' has more than {MOST_CATEGORIES} categories to encode")
+    for own in found.values():
         own.sort(key=lambda v: (v is not None, v or ""))
     return found
 
@@ -130,7 +131,7 @@ def encode(df: DataFrame, categories: Mapping[str, Sequence[str | None]]) -> Dat
     Two indicators of one name, or one named like a column that stays, are an error.
     """
     names = [indicator_name(c, v) for c, values in categories.items() for v in values]
-    taken = sorted({n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set())
+    taken = sorted(n for n, times in Counter(names).items() if times > 1)
     taken += sorted(set(names) & (set(df.columns) - set(categories)))
     if taken:
         raise ValueError(f"Indicators would share a name: {', '.join(taken)}")
