@@ -22,8 +22,10 @@ from plumbline.functions.rules import CONSISTENCY, VALIDITY, applicable, make_ru
 from plumbline.operators import degrade as dg
 from plumbline.operators import profile as pf
 from plumbline.operators.features import add_features, prepare_features
+from plumbline.operators.ordering import exact_quantiles, running_totals
 from plumbline.operators.quality import quality_of, score_report
 from plumbline.operators.split import (
+    split_label,
     split_summary,
     split_temporally,
     temporal_cutoff,
@@ -181,6 +183,56 @@ def temporal_split_summary(spark, folder):
     return split_summary(tx, "step", "isFraud", temporal_cutoff(tx))
 
 
+@query(
+    "temporal_split_text",
+    """
+    WITH steps AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS step FROM events),
+    cut AS (SELECT min(step) AS cutoff FROM (SELECT step FROM steps ORDER BY step DESC
+      LIMIT (SELECT least(greatest(ceil(count(*) * 0.2::DOUBLE), 1), count(*) - 1)::BIGINT FROM steps)))
+    SELECT event_id, CASE WHEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') < cutoff THEN 'development'
+                          ELSE 'temporal_test' END AS split, cutoff
+    FROM events, cut""",
+)
+def temporal_split_text(spark, folder):
+    """Times as text, to the microsecond."""
+    rows = table(spark, folder, "events").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time")
+    )
+    cutoff = temporal_cutoff(rows, "time")
+    return rows.select("event_id", split_label("time", cutoff).alias("split"), F.lit(cutoff).alias("cutoff"))
+
+
+def _micros(spark, folder):
+    rows = table(spark, folder, "events")
+    since = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return rows.select("event_id", "event_type", since.alias("micros"))
+
+
+@query(
+    "quantiles_event_micros",
+    """WITH q AS (SELECT event_type, quantile_cont(epoch_us(ts)::DOUBLE, [0.05, 0.5, 0.95]) AS v
+                  FROM events GROUP BY event_type)
+       SELECT event_type, unnest([0.05::DOUBLE, 0.5, 0.95]) AS probability,
+              unnest([round(v[1]), round(v[2]), round(v[3])]) AS quantile FROM q""",
+)
+def quantiles_event_micros(spark, folder):
+    """Times that crowd in a narrow range far from zero."""
+    found = exact_quantiles(_micros(spark, folder), ["micros"], [0.05, 0.5, 0.95], ["event_type"])
+    return found.select("event_type", "probability", F.round("quantile").alias("quantile"))
+
+
+@query(
+    "running_totals_event_micros",
+    """WITH steps AS (SELECT event_type, epoch_us(ts) AS micros, count(*) AS n FROM events GROUP BY ALL)
+       SELECT event_type, micros, n, CAST(coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY micros
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before FROM steps""",
+)
+def running_totals_event_micros(spark, folder):
+    """Events of each kind before every time."""
+    steps = _micros(spark, folder).groupBy("event_type", "micros").agg(F.count("*").alias("n"))
+    return running_totals(steps, ["event_type"], "micros", ["n"])
+
+
 @query(
     "temporal_split_orders",
     """

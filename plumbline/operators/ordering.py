@@ -2,22 +2,31 @@
 
 Every helper first counts rows per bucket of an order-preserving key, which combines on the
 map side and leaves a small table, and then works inside buckets only. Hot groups are thereby
-split, while the outcome equals that of one global sort.
+split, while the outcome equals that of one global sort. A bucket with more than ``FEW`` rows is cut
+anew between its own least and largest value, until buckets hold few rows or one value, so values that
+crowd in a narrow range end up in many buckets too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.expressions import col, magnitude_bucket
+from plumbline.functions.durability import durable
+from plumbline.functions.expressions import FLOATING_TYPES, col, magnitude_bucket
 
 # Most rows a lookup table may have to be broadcast by hint.
 BROADCAST_ROWS = 100_000
+# Most rows of a bucket with several values that one task may sort, and parts to cut a larger one into.
+FEW = 200_000
+PARTS = 4096
 # Most value ranges to spell out in a filter.
 PUSHED_RANGES = 64
 
@@ -161,24 +170,48 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<total>_before``: the sum over the rows of the group that come earlier.
 
-    Expects one row per group and ``order`` value; ``bucket`` must never decrease with it.
+    Expects one row per group and ``order`` value; ``bucket`` must never decrease with it. A look
+    at the bucket sizes, which are kept, comes first; crowded buckets are cut at the values found
+    in them, each round by one more key.
     """
     keyed, keys = _solid_keys(df, by)
     # A bucket is null only for NaN, which sorts above every number.
     rows = keyed.withColumn("_bucket", F.coalesce(bucket(col(order)), F.lit(2**62)))
+    path = ["_bucket"]
 
     def sort(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
-    outer = _earlier(keys, sort("_bucket"))
+    while True:
+        sums = durable(
+            rows.groupBy(*keys, *path).agg(
+                *[F.sum(t).alias(f"_sum_{t}") for t in totals],
+                F.count("*").alias("_n"),
+                F.min(col(order)).alias("_low"),
+                F.max(col(order)).alias("_high"),
+            )
+        )
+        edges = sums.where((F.col("_n") > FEW) & (F.col("_low") < F.col("_high"))).select(
+            *keys, *path, "_n", "_low", "_high"
+        )
+        crowded = edges.limit(BROADCAST_ROWS + 1).count()
+        if not crowded:
+            break
+        at = len(path)
+        # Some FEW / 16 rows a part if values lie evenly; other parts are cut again.
+        parts = F.ceil(F.col("_n") * 16 / F.lit(FEW)) + 1
+        cut = F.least(parts - 1, F.floor(_between(col(order), "_low", "_high", df.schema[order]) * parts))
+        joined = rows.join(F.broadcast(edges) if crowded <= BROADCAST_ROWS else edges, [*keys, *path], "left")
+        rows = joined.withColumn(f"_part{at}", F.coalesce(cut.cast("long"), F.lit(0))).drop("_n", "_low", "_high")
+        path.append(f"_part{at}")
+    outer = W.partitionBy(*keys).orderBy(*map(sort, path)).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
         *keys,
-        "_bucket",
+        *path,
         *[F.coalesce(F.sum(f"_sum_{t}").over(outer), F.lit(0)).alias(f"_off_{t}") for t in totals],
     )
-    inner = _earlier([*keys, "_bucket"], sort(order))
-    return rows.join(offsets, [*keys, "_bucket"]).select(
+    inner = _earlier([*keys, *path], sort(order))
+    return rows.join(offsets, [*keys, *path]).select(
         *df.columns,
         *[
             (F.col(f"_off_{t}") + F.coalesce(F.sum(t).over(inner), F.lit(0))).alias(f"{t}_before")
@@ -187,19 +220,91 @@ def running_totals(
     )
 
 
-def time_bucket(df: DataFrame, column: str) -> Column | None:
-    """Long that never decreases with a number, date or timestamp; None for other types."""
-    dtype, value = df.schema[column].dataType, col(column)
-    if isinstance(dtype, T.NumericType):
-        return magnitude_bucket(value)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(value).cast("long")
-    if isinstance(dtype, T.TimestampType):
-        return F.floor(F.unix_micros(value) / 60_000_000)
-    if isinstance(dtype, T.TimestampNTZType):
-        day = F.unix_date(value.cast("date")).cast("long")
-        return (day * 24 + F.hour(value)) * 60 + F.minute(value)
-    return None
+def _between(value: Column, low: str, high: str, field: T.StructField) -> Column:
+    """Where a number lies between two columns, from 0 to 1; never decreases with it."""
+    a, b = F.col(low), F.col(high)
+    if isinstance(field.dataType, T.IntegralType):
+        # Whole numbers beyond 2^53 differ although their doubles don't.
+        value, a, b = (x.cast("decimal(20,0)") for x in (value, a, b))
+    share = (value - a).cast("double") / F.nullif((b - a).cast("double"), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+
+def _text_number(value: Column, skip: int) -> Column:
+    """The six bytes after the first ``skip`` ones as a number; never decreases among equal starts."""
+    digits = F.rpad(F.hex(F.substring(value.cast("binary"), skip + 1, 6)), 12, "0")
+    return F.conv(digits, 16, 10).cast("double")
+
+
+def _common_start(a: str, b: str) -> int:
+    x, y = a.encode(), b.encode()
+    return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def value_at(distinct: DataFrame, column: str, place: int) -> object:
+    """The value at a 0-based place in ascending order, of a column of distinct values.
+
+    Numbers, dates, timestamps and text. The range of values is cut into parts, which are counted;
+    the part with the place becomes the range, until it holds few values. Only counts of parts come to
+    the driver.
+    """
+    kind, value = distinct.schema[column].dataType, col(column)
+    ends = distinct.agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).first()
+    n, low, high = ends["n"], ends["low"], ends["high"]
+    if not 0 <= place < n:
+        raise ValueError("The place lies outside the values")
+    rows = distinct.select(value.alias("value"))
+    if isinstance(kind, FLOATING_TYPES) and math.isnan(high):
+        # NaN is the greatest value.
+        if place == n - 1:
+            return high
+        rows = rows.where(~F.isnan("value"))
+        n, high = n - 1, rows.agg(F.max("value")).first()[0]
+    while n > FEW and low != high:
+        if isinstance(kind, T.StringType):
+            skip = _common_start(low, high)
+            a, b = (_text_number(F.lit(x), skip) for x in (low, high))
+            share = (_text_number(F.col("value"), skip) - a) / F.nullif(b - a, F.lit(0.0))
+        else:
+            share = _share_of(kind, low, high)
+        part = F.coalesce(F.least(F.lit(PARTS - 1), F.floor(share * PARTS)), F.lit(0))
+        parts = (
+            rows.groupBy(part.alias("part"))
+            .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+            .orderBy("part")
+            .collect()
+        )
+        for p in parts:
+            if place < p["n"]:
+                break
+            place -= p["n"]
+        if p["n"] == n:
+            break
+        n, low, high = p["n"], p["low"], p["high"]
+        rows = rows.where(F.col("value").between(F.lit(low), F.lit(high)))
+    order = W.orderBy("value")
+    return rows.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") == place).first()["value"]
+
+
+def _share_of(kind: T.DataType, low: object, high: object) -> Column:
+    """Where ``value`` lies between two literals of its type, from 0 to 1."""
+
+    def number(x: Column) -> Column:
+        if isinstance(kind, T.TimestampType):
+            return F.unix_micros(x).cast("decimal(20,0)")
+        if isinstance(kind, T.TimestampNTZType):
+            day = F.unix_date(x.cast("date")).cast("decimal(20,0)")
+            clock = (F.hour(x) * 60 + F.minute(x)) * 60 + F.extract(F.lit("SECONDS"), x)
+            return day * 86_400_000_000 + (clock * 1_000_000).cast("decimal(20,0)")
+        if isinstance(kind, T.DateType):
+            return F.unix_date(x).cast("decimal(20,0)")
+        if isinstance(kind, T.IntegralType):
+            return x.cast("decimal(20,0)")
+        return magnitude_bucket(x) if endless else x.cast("double")
+
+    endless = isinstance(kind, FLOATING_TYPES) and math.isinf(high - low)
+    a, b = (number(F.lit(x).cast(kind)) for x in (low, high))
+    return (number(F.col("value")) - a).cast("double") / F.nullif((b - a).cast("double"), F.lit(0.0))
 
 
 def quantile_targets(
@@ -238,11 +343,99 @@ def quantile_targets(
             | ((F.col("_place") >= 0) & (F.col("_place") < F.col("_count")))
         )
         .select(
-            *keys, "_bucket", "probability", "_share", "_end", "_place", "_low", "_high", *carry
+            *keys, "_bucket", "probability", "_share", "_end", "_place", "_low", "_high", "_count", *carry
         )
     )
 
 
+def _recut(rows: DataFrame, edges: DataFrame, stable: Sequence[str]) -> DataFrame:
+    """Rows of crowded buckets, under the number of their part."""
+    value, a, b = F.col("_value"), F.col("_cut_low"), F.col("_cut_high")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - a) / (b - a)))
+    part = F.least(F.lit(PARTS - 1), F.floor(share * PARTS))
+    return (
+        match_null_safe(rows, F.broadcast(edges), [*stable, "_bucket"])
+        .withColumn("_bucket", F.col("_cut") * PARTS + part)
+        .drop("_cut", "_cut_low", "_cut_high")
+    )
+
+
+@dataclass
+class _Level:
+    """Open positions of one round of cuts: ``few`` are in buckets to sort, ``crowded`` are not."""
+
+    few: list[Row]
+    crowded: list[Row]
+    stable: Sequence[str]
+    before: _Level | None = None
+    found: list[Row] = dataclass_field(default_factory=list)
+
+    def _cuts(self) -> dict[tuple, tuple[int, float, float]]:
+        """Number and ends of each crowded bucket, whichever groups find a position in it."""
+        ends: dict[tuple, tuple[float, float]] = {}
+        for r in self.crowded:
+            k = (*[r[c] for c in self.stable], r["_bucket"])
+            low, high = ends.get(k, (r["_low"], r["_high"]))
+            ends[k] = (min(low, r["_low"]), max(high, r["_high"]))
+        return {k: (i, *e) for i, (k, e) in enumerate(ends.items())}
+
+    def edges(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        fields = [schema[c] for c in (*self.stable, "_bucket")]
+        fields += [T.StructField("_cut", T.LongType()), T.StructField("_cut_low", T.DoubleType())]
+        cuts = [(*k, *cut) for k, cut in self._cuts().items()]
+        return spark.createDataFrame(cuts, T.StructType([*fields, T.StructField("_cut_high", T.DoubleType())]))
+
+    def rows(self, bucketed: DataFrame) -> DataFrame:
+        """Rows of the table under the buckets of this round."""
+        chain: list[_Level] = []
+        level = self.before
+        while level is not None:
+            chain.append(level)
+            level = level.before
+        for level in reversed(chain):
+            bucketed = _recut(bucketed, level.edges(bucketed.sparkSession, level.schema), level.stable)
+        return bucketed
+
+    def narrowed(self, histogram: DataFrame, keys: Sequence[str], schema: T.StructType) -> DataFrame:
+        """Targets inside the parts, from the histogram of the parts."""
+        self.schema = schema
+        cut = self._cuts()
+        numbers = [(cut[(*[r[c] for c in self.stable], r["_bucket"])][0], r) for r in self.crowded]
+        own = [*keys, "probability", "_share", "_end", "_place"]
+        fields = [T.StructField("_cut", T.LongType()), *[schema[c] for c in own]]
+        wanted = histogram.sparkSession.createDataFrame(
+            [(i, *[r[c] for c in own]) for i, r in numbers], T.StructType(fields)
+        )
+        cumulated = histogram.withColumn("_cut", F.floor(F.col("_bucket") / PARTS)).withColumn(
+            "_before", F.coalesce(F.sum("_count").over(_earlier([*keys, "_cut"], F.col("_bucket"))), F.lit(0))
+        )
+        inside = F.col("_place") - F.col("_before")
+        return (
+            match_null_safe(cumulated, F.broadcast(wanted), [*keys, "_cut"])
+            .where((inside >= 0) & (inside < F.col("_count")))
+            .withColumn("_place", inside)
+            .select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        )
+
+
+def _levels(known: Sequence[Row], stable: Sequence[str]) -> Iterator[_Level]:
+    """Rounds of cuts until no position lies in a crowded bucket.
+
+    The ends of a bucket fall into different parts, so every round narrows what is left.
+    """
+    before = None
+    while True:
+        open_ends = [r for r in known if r["_low"] != r["_high"]]
+        if not open_ends:
+            return
+        crowded = [r for r in open_ends if r["_count"] > FEW]
+        level = _Level([r for r in open_ends if r["_count"] <= FEW], crowded, stable, before)
+        yield level
+        if not crowded:
+            return
+        known, before = level.found, level
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -256,10 +449,12 @@ def exact_quantiles(
 
     One scan builds a histogram of fine buckets, which shows the bucket of every wanted position.
     A bucket with one distinct value settles its position; for the others a second scan reads
-    just the columns concerned and sorts just the rows of those buckets. Null and NaN are left
-    out. ``regroup`` may map counted rows to other groups, such as folds to the training sets
+    just the columns concerned and sorts just the rows of those buckets. A crowded bucket is cut
+    into parts between its ends by a further scan first, and its crowded parts again. Null and NaN
+    are left out. ``regroup`` may map counted rows to other groups, such as folds to the training sets
     they belong to; ``stable`` then names the ``by`` columns it leaves alone. ``found`` are rows of
-    ``quantile_targets`` if the histogram was made elsewhere.
+    ``quantile_targets`` if the histogram was made elsewhere. Beyond ``BROADCAST_ROWS`` positions,
+    groups are many and buckets are not cut again.
     """
     names = list(columns)
     keys = ["column", *by]
@@ -290,45 +485,56 @@ def exact_quantiles(
             return counts
         return regroup(counts).groupBy(*keys, *extra).agg(F.sum("_count").alias("_count"), *ends)
 
-    targets = quantile_targets(counted(bucketed(names), ["_bucket"]), keys, probabilities)
-    known = targets.limit(BROADCAST_ROWS + 1).collect() if found is None else list(found)
-    bounded = len(known) <= BROADCAST_ROWS
-    if bounded:
-        open_ends = [r for r in known if r["_low"] != r["_high"]]
-        settled = df.sparkSession.createDataFrame(
-            [r for r in known if r["_low"] == r["_high"]], targets.schema
-        )
-        sought = df.sparkSession.createDataFrame(open_ends, targets.schema)
-        ranges = {(r["column"], r["_low"], r["_high"]) for r in open_ends}
-        chosen = [c for c in names if any(c == r[0] for r in ranges)]
-    else:
-        settled, sought, chosen = targets.where("_low = _high"), targets.where("_low <> _high"), names
+    place = [*keys, "probability", "_share", "_end"]
 
-    # A few value ranges become a plain filter, which Parquet can skip row groups by.
-    within = None
-    if bounded and 0 < len(ranges) <= PUSHED_RANGES:
+    def filtered(ranges: set[tuple]) -> Column | None:
+        """A few value ranges as a plain filter, which Parquet can skip row groups by."""
+        if not 0 < len(ranges) <= PUSHED_RANGES:
+            return None
         within = F.lit(False)
         for c, low, high in sorted(ranges):
             within = within | number(c).between(F.lit(low), F.lit(high))
-    place = [*keys, "probability", "_share", "_end"]
-    values = settled.select(*place, F.col("_low").alias("_value"))
-    if chosen:
+        return within
+
+    def sorted_values(rows: DataFrame, sought: DataFrame, bounded: bool) -> DataFrame:
+        hint = F.broadcast if bounded else (lambda x: x)
         wanted = sought.select(*stable, "_bucket").distinct()
         near = counted(
-            match_null_safe(
-                bucketed(chosen, within), F.broadcast(wanted) if bounded else wanted, [*stable, "_bucket"]
-            ),
-            ["_bucket", "_value"],
+            match_null_safe(rows, hint(wanted), [*stable, "_bucket"]), ["_bucket", "_value"]
         ).drop("_low", "_high")
         first = F.sum("_count").over(_earlier([*keys, "_bucket"], F.col("_value")))
         placed = near.withColumn("_first", F.coalesce(first, F.lit(0)))
-        hit = match_null_safe(
-            placed, F.broadcast(sought) if bounded else sought, [*keys, "_bucket"]
-        ).where(
+        hit = match_null_safe(placed, hint(sought.drop("_count")), [*keys, "_bucket"]).where(
             (F.col("_place") >= F.col("_first"))
             & (F.col("_place") < F.col("_first") + F.col("_count"))
         )
-        values = values.unionByName(hit.select(*place, "_value"))
+        return hit.select(*place, "_value")
+
+    targets = quantile_targets(counted(bucketed(names), ["_bucket"]), keys, probabilities)
+    known = targets.limit(BROADCAST_ROWS + 1).collect() if found is None else list(found)
+    if len(known) > BROADCAST_ROWS:
+        values = targets.where("_low = _high").select(*place, F.col("_low").alias("_value"))
+        open_ends = targets.where("_low <> _high")
+        values = values.unionByName(sorted_values(bucketed(names), open_ends, False))
+    else:
+        spark = df.sparkSession
+        settled = [r for r in known if r["_low"] == r["_high"]]
+        values = spark.createDataFrame(settled, targets.schema).select(*place, F.col("_low").alias("_value"))
+        for level in _levels(known, stable):
+            own = level.few + level.crowded
+            chosen = [c for c in names if any(c == r["column"] for r in own)]
+            rows = level.rows(bucketed(chosen, filtered({(r["column"], r["_low"], r["_high"]) for r in own})))
+            if level.few:
+                sought = spark.createDataFrame(level.few, targets.schema)
+                values = values.unionByName(sorted_values(rows, sought, True))
+            if level.crowded:
+                histogram = counted(_recut(rows, level.edges(spark, targets.schema), stable), ["_bucket"])
+                narrower = level.narrowed(histogram, keys, targets.schema)
+                level.found = narrower.collect()
+                done = [r for r in level.found if r["_low"] == r["_high"]]
+                if done:
+                    more = spark.createDataFrame(done, targets.schema)
+                    values = values.unionByName(more.select(*place, F.col("_low").alias("_value")))
     low = F.max(F.when(F.col("_end") == "low", F.col("_value")))
     high = F.max(F.when(F.col("_end") == "high", F.col("_value")))
     return values.groupBy(*keys, "probability").agg(

@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import col, require_columns
-from plumbline.operators.ordering import time_bucket
+from plumbline.operators.ordering import value_at
 
 DEVELOPMENT = "development"
 HOLDOUT = "temporal_test"
@@ -18,39 +17,18 @@ HOLDOUT = "temporal_test"
 def temporal_cutoff(df: DataFrame, time: str = "step", test_fraction: float = 0.20) -> object:
     """First time value of the holdout: the last ceil(n * fraction) of n distinct values.
 
-    Distinct values are counted per bucket of time, and only the bucket with the cutoff is
-    sorted, so neither the driver nor one task ever holds all of them.
+    Distinct values, text among them, are counted by parts of their range, and only the part with the
+    cutoff is cut on or sorted, so neither the driver nor one task ever holds all of them.
     """
     if not 0.0 < test_fraction < 1.0:
         raise ValueError("test_fraction must be between 0 and 1")
     require_columns(df, [time], "Split input")
-    steps = df.select(col(time)).where(col(time).isNotNull()).distinct()
-    bucket = time_bucket(df, time)
-    # Without an order-preserving bucket the distinct values themselves are counted.
-    sizes = (
-        steps.groupBy((col(time) if bucket is None else bucket).alias("bucket"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("after", F.sum("n").over(_from_last("bucket")))
-        .withColumn("total", F.sum("n").over(W.partitionBy()))
-    )
-    n = sizes.agg(F.max("total")).first()[0] or 0
+    steps = df.select(col(time).alias("step")).where(col(time).isNotNull()).distinct()
+    n = steps.count()
     if n < 2:
         raise ValueError("A temporal split needs at least two distinct time values")
     n_test = min(max(math.ceil(n * test_fraction), 1), n - 1)
-    edge = sizes.where((F.col("after") >= n_test) & (F.col("after") - F.col("n") < n_test)).first()
-    inside = steps.withColumn("bucket", col(time) if bucket is None else bucket).where(
-        F.col("bucket") == F.lit(edge["bucket"])
-    )
-    place = n_test - (edge["after"] - edge["n"])
-    return (
-        inside.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy(col(time).desc())))
-        .where(F.col("place") == place)
-        .first()[time]
-    )
-
-
-def _from_last(column: str) -> W:
-    return W.orderBy(F.desc(column)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return value_at(steps, "step", n - n_test)
 
 
 def split_label(time: str, cutoff: object) -> Column:
