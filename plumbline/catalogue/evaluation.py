@@ -566,16 +566,16 @@ def _robust_plan():
     )
 
 
-def _benchmark(spark, folder, plan, ratio=RATIO, splits=SPLITS, repeats=REPEATS):
-    sample = case_control_sample(_model_table(spark, folder), TARGET, KEY, ratio, 42)
-    return sample, benchmark(sample, plan, TARGET, KEY, splits, repeats, parallelism=4)
+def _benchmark(spark, folder, plan):
+    sample = case_control_sample(_model_table(spark, folder), TARGET, KEY, RATIO, 42)
+    return sample, benchmark(sample, plan, TARGET, KEY, SPLITS, REPEATS)
 
 
-def _coverage(result):
+def _coverage(result, by):
     valid = F.col("y_score").between(0, 1)
     return rounded(
         result.predictions.where(valid)
-        .groupBy("model", "repeat", "fold")
+        .groupBy(*by)
         .agg(F.count_distinct("event_id").alias("rows"), F.sum("y_true").alias("positives"))
     )
 
@@ -590,24 +590,21 @@ def ml_benchmark(spark, folder):
     "ml_oof_coverage",
     with_sql(TX) + """
     , sample AS (
-      SELECT event_id, "isFraud" FROM tx WHERE "isFraud" = 1
+      SELECT "isFraud" FROM tx WHERE "isFraud" = 1
       UNION ALL
-      (SELECT event_id, "isFraud" FROM tx WHERE "isFraud" = 0
+      (SELECT "isFraud" FROM tx WHERE "isFraud" = 0
        QUALIFY row_number() OVER (ORDER BY md5('42|' || event_id))
-         <= 2 * (SELECT count(*) FROM tx WHERE "isFraud" = 1))),
-    folds AS (
-      SELECT "isFraud", (row_number() OVER (PARTITION BY "isFraud"
-               ORDER BY md5('42|1|' || event_id)) - 1) % 2 + 1 AS fold
-      FROM sample)
-    SELECT m AS model, CAST(1 AS BIGINT) AS repeat, fold, count(*) AS rows,
+         <= 10 * (SELECT count(*) FROM tx WHERE "isFraud" = 1)))
+    SELECT m AS model, CAST(repeat AS BIGINT) AS repeat, count(*) AS rows,
            CAST(sum("isFraud") AS BIGINT) AS positives
-    FROM folds, (SELECT unnest(['logistic_regression', 'decision_tree', 'random_forest']) AS m)
-    GROUP BY 1, 2, 3""",
+    FROM sample, (SELECT unnest(['logistic_regression', 'decision_tree', 'random_forest']) AS m),
+         (SELECT unnest([1, 2, 3, 4, 5]) AS repeat)
+    GROUP BY 1, 2""",
 )
 def ml_oof_coverage(spark, folder):
-    """Out-of-fold scores cover every row of every fold once per model, on a split of its own."""
-    plan = fixed_plan("events", ("type",), _numeric())
-    return _coverage(_benchmark(spark, folder, plan, 2, 2, 1)[1])
+    """Out-of-fold scores cover every row once per model and repeat."""
+    _, result = _benchmark(spark, folder, fixed_plan("events", ("type",), _numeric()))
+    return _coverage(result, ["model", "repeat"])
 
 
 @query(
@@ -629,8 +626,40 @@ def ml_oof_coverage(spark, folder):
     GROUP BY 1, 2, 3""",
 )
 def ml_oof_coverage_repeated(spark, folder):
-    """The same for all repeats of the comparison of models."""
-    return _coverage(_benchmark(spark, folder, fixed_plan("events", ("type",), _numeric()))[1])
+    """The same by fold."""
+    _, result = _benchmark(spark, folder, fixed_plan("events", ("type",), _numeric()))
+    return _coverage(result, ["model", "repeat", "fold"])
+
+
+@query(
+    "fold_failures",
+    with_sql(TX) + """
+    , folds AS (SELECT *, CAST(1 + (step >= 2 * (SELECT max(step) FROM tx) / 3)::INT
+                               + (step >= (SELECT max(step) FROM tx))::INT AS BIGINT) AS fold
+                FROM tx WHERE step < (SELECT max(step) FROM tx) OR "isFraud" = 0),
+    sizes AS (SELECT fold, count(*) AS n, count(DISTINCT "isFraud") AS classes FROM folds GROUP BY fold)
+    SELECT 'decision_tree' AS model, CAST(1 AS BIGINT) AS repeat, fold,
+           CAST((SELECT sum(n) FROM sizes) - n AS BIGINT) AS train_rows, n AS validation_rows,
+           CASE WHEN classes = 2 THEN 'success' ELSE 'error' END AS status,
+           CASE WHEN classes < 2 THEN 'ValueError' END AS error_type, classes = 2 AS scored
+    FROM sizes""",
+)
+def fold_failures(spark, folder):
+    """Folds by time, the last of them without positives: an error row beside the others."""
+    rows = prepare_features(transactions(spark, folder))
+    last = rows.agg(F.max("step")).first()[0]
+    sample = rows.where((F.col("step") < last) | (F.col(TARGET) == 0))
+    fold = 1 + (F.col("step") >= F.lit(2 * last / 3)).cast("int") + (F.col("step") >= last).cast("int")
+    assigned = sample.select(*KEY, TARGET, F.lit(1).alias("repeat"), fold.alias("fold"))
+    sample = sample.select(*KEY, TARGET, *[c for c in MODEL_FEATURES if "amount" not in c])
+    plan = fixed_plan("events", ("type",), _numeric())
+    result = benchmark(sample, plan, TARGET, KEY, 3, 1, models=["decision_tree"], assigned=assigned)
+    return rounded(
+        result.fold_results.select(
+            "model", "repeat", "fold", "train_rows", "validation_rows", "status", "error_type",
+            F.col("pr_auc").isNotNull().alias("scored"),
+        )
+    )
 
 
 @query("plan_benchmark_summary")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,36 +83,45 @@ def with_indices(
     return df
 
 
-def as_vectors(df: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
-    """Index columns as sparse vectors with a 1 at the index; a null index gives zeros only.
+def vector_encoder(spark: SparkSession, sizes: Mapping[str, int]) -> Callable[[DataFrame], DataFrame]:
+    """What turns index columns into sparse vectors with a 1 at the index; a null index gives zeros only.
 
     A column without categories becomes a vector of one zero.
     """
     if not sizes:
-        return df
+        return lambda df: df
     raw = {c: f"_index{i}" for i, c in enumerate(sizes)}
+    vectors = {c: f"_vector{i}" for i, c in enumerate(sizes)}
     # The encoder learns sizes from the largest index; one above it stands for a category not learned.
-    widest = df.sparkSession.createDataFrame(
+    widest = spark.createDataFrame(
         [tuple(float(max(n, 1) - 1) for n in sizes.values())],
         T.StructType([T.StructField(name, T.DoubleType()) for name in raw.values()]),
     )
-    vectors = {c: f"_vector{i}" for i, c in enumerate(sizes)}
     model = OneHotEncoder(
         inputCols=list(raw.values()), outputCols=list(vectors.values()), handleInvalid="keep", dropLast=True
     ).fit(widest)
-    rows = df.withColumns(
-        {raw[c]: F.coalesce(col(c).cast("double"), F.lit(float(max(n, 1)))) for c, n in sizes.items()}
-    )
-    return model.transform(rows).select(
-        *[F.col(vectors[c]).alias(c) if c in sizes else col(c) for c in df.columns]
-    )
+
+    def encode(df: DataFrame) -> DataFrame:
+        rows = df.withColumns(
+            {raw[c]: F.coalesce(col(c).cast("double"), F.lit(float(max(n, 1)))) for c, n in sizes.items()}
+        )
+        return model.transform(rows).select(
+            *[F.col(vectors[c]).alias(c) if c in sizes else col(c) for c in df.columns]
+        )
+
+    return encode
+
+
+def as_vectors(df: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
+    return vector_encoder(df.sparkSession, sizes)(df)
 
 
 def learn_one_hot(train: DataFrame, columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     """Encoder that replaces each column by a sparse vector over the categories learned."""
     categories = durable(category_table(train, columns))
     sizes = category_sizes(categories, columns)
-    return lambda df: as_vectors(with_indices(df, categories, sizes), sizes)
+    encode = vector_encoder(train.sparkSession, sizes)
+    return lambda df: encode(with_indices(df, categories, sizes))
 
 
 def one_hot_sparse(

@@ -191,7 +191,11 @@ def learn_scale(
         }
     else:
         raise ValueError("Scaling takes the method 'standard' or 'robust'")
-    return {c: (m, 1.0 if s == 0 else s) for c, (m, s) in pairs.items()}
+    return {c: (m, unit_if_zero(s)) for c, (m, s) in pairs.items()}
+
+
+def unit_if_zero(spread: float | None) -> float | None:
+    return 1.0 if spread == 0 else spread
 
 
 def scale_numeric(
@@ -224,14 +228,13 @@ def one_hot_encode(
     return encode(df, learn_categories(df if train is None else train, columns))
 
 
-def fold_statistics(
+def fold_moments(
     df: DataFrame, columns: Sequence[str], folds: int, keep: Sequence[str] = ("repeat", "fold")
 ) -> DataFrame:
-    """Training statistics of every column for all folds at once.
+    """``(column, *keep, train_rows, mean, std)`` of the training rows of all folds at once.
 
-    ``(column, repeat, fold, train_rows, mean, std, q25, median, q75)``, where ``fold`` is the
-    one held out. Rows are counted under their own fold and merged afterwards, so the table is
-    not copied once per training set.
+    ``fold`` is the one held out. Rows are counted under their own fold and merged afterwards, so
+    the table is not copied once per training set.
     """
     by = ["column", *keep]
     sums = df.groupBy(*keep).agg(
@@ -248,10 +251,9 @@ def fold_statistics(
     parts = sums.select(
         *keep, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))]))
     ).where(F.col("n") > 0)
-    regroup = other_folds(folds)
     merged = W.partitionBy(*by)
-    moments = (
-        regroup(parts)
+    return (
+        other_folds(folds)(parts)
         .withColumn("total", F.sum("n").over(merged))
         .withColumn("mean", F.sum(F.col("n") * F.col("m")).over(merged) / F.col("total"))
         .groupBy(*by)
@@ -264,10 +266,16 @@ def fold_statistics(
             ).alias("std"),
         )
     )
+
+
+def fold_quantiles(
+    df: DataFrame, columns: Sequence[str], folds: int, keep: Sequence[str] = ("repeat", "fold")
+) -> DataFrame:
+    """``(column, *keep, q25, median, q75)`` of the training rows of all folds at once."""
     stable = [c for c in keep if c != "fold"]
-    spread = (
-        exact_quantiles(df, columns, [0.25, 0.5, 0.75], keep, regroup, stable)
-        .groupBy(*by)
+    return (
+        exact_quantiles(df, columns, [0.25, 0.5, 0.75], keep, other_folds(folds), stable)
+        .groupBy("column", *keep)
         .agg(
             *[
                 F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n)
@@ -275,4 +283,31 @@ def fold_statistics(
             ]
         )
     )
-    return moments.join(spread, by)
+
+
+def fold_statistics(
+    df: DataFrame, columns: Sequence[str], folds: int, keep: Sequence[str] = ("repeat", "fold")
+) -> DataFrame:
+    """Training statistics of every column for all folds: those of both functions above."""
+    return fold_moments(df, columns, folds, keep).join(
+        fold_quantiles(df, columns, folds, keep), ["column", *keep]
+    )
+
+
+def fold_modes(
+    df: DataFrame, columns: Sequence[str], folds: int, keep: Sequence[str] = ("repeat", "fold")
+) -> DataFrame:
+    """``(column, *keep, value)``: the most frequent training value of every column for all folds.
+
+    The smallest value wins ties. Rows are counted under their own fold.
+    """
+    entries = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]
+    counts = (
+        df.select(*keep, F.inline(F.array(*entries)))
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value", *keep)
+        .agg(F.count("*").alias("n"))
+    )
+    merged = other_folds(folds)(counts).groupBy("column", "value", *keep).agg(F.sum("n").alias("n"))
+    # Of equal counts the smallest value: the least of (-count, value).
+    return merged.groupBy("column", *keep).agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))

@@ -3,39 +3,50 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 from multiprocessing.pool import ThreadPool
 from typing import Any
+from urllib.parse import quote
+from uuid import uuid4
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.durability import durable
+from plumbline.functions.durability import durable, shared_base
 from plumbline.functions.expressions import (
     NUMERIC_TYPES,
     col,
     columns_of,
     require_columns,
 )
-from plumbline.operators.folds import (
-    check_same_target,
-    stratified_folds,
-    target_fingerprint,
-    training_rows,
-    validation_rows,
-)
+from plumbline.operators.categories import category_sizes, category_table
+from plumbline.operators.folds import check_same_target, stratified_folds, target_fingerprint
 from plumbline.operators.metrics import (
     METRICS,
     classification_metrics,
     run_status,
     summarize_successful,
 )
-from plumbline.operators.sampling import add_class_weights
-from plumbline.plans.application import Action, Plan, learn_plan, plan_quality
+from plumbline.operators.sampling import two_class_counts
+from plumbline.operators.transforms import fold_modes, fold_moments, fold_quantiles
+from plumbline.plans.application import (
+    LEARNERS,
+    SPARSE_LEARNERS,
+    Action,
+    Facts,
+    Plan,
+    actions_for,
+    facts_wanted,
+    learn_plan,
+    plan_quality,
+)
 from plumbline.plans.contracts import MODELS
 from plumbline.training.estimators import create_estimator
 
@@ -47,6 +58,9 @@ NUMERIC_FEATURES = (
 )
 MODEL_FEATURES = (*CATEGORICAL_FEATURES, *NUMERIC_FEATURES)
 
+# Rows of a training set that one partition holds; trees and gradients add up few rows well in one task.
+ROWS_PER_PARTITION = 100_000
+
 FOLD_DDL = (
     "model string, repeat int, fold int, train_rows long, validation_rows long, "
     "fit_seconds double, predict_seconds double, status string, error_type string, "
@@ -78,6 +92,18 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
+def partitions_for(rows: int) -> int:
+    """Partitions of a training set: few, so that many fits share the cluster, unless it is large."""
+    return max(1, -(-rows // ROWS_PER_PARTITION))
+
+
+def side_by_side(spark: SparkSession, rows: int, parallelism: int | None) -> int:
+    """Fits to run at a time: as many as there are cores for their partitions."""
+    if parallelism is not None:
+        return max(1, parallelism)
+    return max(1, spark.sparkContext.defaultParallelism // partitions_for(rows))
+
+
 def fit_and_score(
     train: DataFrame,
     score: DataFrame,
@@ -85,49 +111,107 @@ def fit_and_score(
     model: str,
     target: str,
     key: Sequence[str],
+    folder: str,
+    counts: Mapping[object, int],
     seed: int = 42,
     settings: Mapping[str, Any] | None = None,
     balanced: bool = True,
-) -> tuple[DataFrame, int, float, float]:
-    """Learn plan and model on ``train``; score the other rows.
+    facts: Facts | None = None,
+) -> tuple[int, float, float]:
+    """Learn plan and model on ``train`` and write scores of the other rows to ``folder``.
 
-    Classes are weighted as balanced unless ``balanced`` is off and the plan does not ask for it.
-    Returns durable ``(*key, y_true, y_score)`` rows, the number of training rows and the
-    seconds of fitting and scoring.
+    ``counts`` are the training rows of each class. Classes are weighted as balanced unless
+    ``balanced`` is off and the plan does not ask for it. Categories become sparse vectors, but for
+    SMOTE, which needs numbers. Scores are ``(*key, y_true, y_score)``. Returns the number of
+    training rows and the seconds of fitting and scoring.
     """
     started = time.perf_counter()
-    learned = learn_plan(train, plan, model)
+    smote = any(
+        a.transformation == "resample_classes" and a.parameters.get("method") == "smote"
+        for a in actions_for(plan, model)
+    )
+    learned = learn_plan(train, plan, model, learners=LEARNERS if smote else SPARSE_LEARNERS, facts=facts)
     prepared = learned.resample(learned.transform(train), target, key)
     features = [c for c in prepared.columns if c not in (*key, target)]
-    text = sorted(set(features) - set(columns_of(prepared, *NUMERIC_TYPES)))
+    usable = (*NUMERIC_TYPES, VectorUDT)
+    text = sorted(set(features) - set(columns_of(prepared, *usable)))
     if text:
         raise ValueError(f"Features must be numeric after the plan: {', '.join(text)}")
     weighted = balanced or learned.class_weight
+    if learned.sampler is not None:
+        counts = two_class_counts(prepared, target)
+    rows = sum(counts.values())
+    label = col(target).cast("double").alias("label")
+    columns = ["features", label]
     if weighted:
-        prepared = add_class_weights(prepared, target)
-    ready = _assembled(prepared, features).select(
-        "features",
-        col(target).cast("double").alias("label"),
-        *(["weight"] if weighted else []),
-    )
-    ready = ready.persist()
+        weight = F.lit(None).cast("double")
+        for c, n in counts.items():
+            weight = F.when(col(target) == F.lit(c), rows / (len(counts) * n)).otherwise(weight)
+        columns.append(weight.alias("weight"))
+    ready = _assembled(prepared, features).select(*columns).coalesce(partitions_for(rows)).persist()
     try:
-        rows = ready.count()
-        estimator = create_estimator(
-            model, rows, seed, settings, "weight" if weighted else None
-        )
+        estimator = create_estimator(model, rows, seed, settings, "weight" if weighted else None)
         fitted = estimator.fit(ready)
     finally:
         ready.unpersist()
     fit_seconds = time.perf_counter() - started
     started = time.perf_counter()
-    scores = fitted.transform(_assembled(learned.transform(score), features)).select(
+    fitted.transform(_assembled(learned.transform(score), features)).select(
         *key,
         col(target).cast("int").alias("y_true"),
         vector_to_array("probability")[1].alias("y_score"),
+    ).write.mode("overwrite").parquet(folder)
+    return rows, fit_seconds, time.perf_counter() - started
+
+
+def _read_scores(
+    sample: DataFrame, base: str, by: Mapping[str, str], key: Sequence[str], folders: Sequence[str]
+) -> DataFrame:
+    """Scores written below ``base`` in folders ``name=value``, as one table."""
+    keys = ", ".join(f"`{k}` {sample.schema[k].dataType.simpleString()}" for k in key)
+    names = ", ".join(f"{n} {kind}" for n, kind in by.items())
+    ddl = f"{keys}, y_true int, y_score double, {names}"
+    spark = sample.sparkSession
+    if not folders:
+        return spark.createDataFrame([], ddl).select(*by, *key, "y_true", "y_score")
+    read = spark.read.schema(ddl).option("basePath", base).parquet(*folders)
+    return read.select(*by, *key, "y_true", "y_score")
+
+
+def fold_facts(data: DataFrame, plan: Plan, models: Sequence[str], folds: int) -> dict[tuple[int, int], Facts]:
+    """What the plan's actions learn on the training rows of every fold, by (repeat, fold).
+
+    ``data`` has a row per repeat with columns repeat and fold. Rows are counted under their own fold,
+    so all training sets are learned from at once: a job for moments and one or two for quantiles,
+    one for modes and one for categories. Categories are those of all folds: one that is outside the
+    training rows is a column of zeros there, which no model uses.
+    """
+    wanted = facts_wanted(plan, models)
+    quantiles: dict[tuple, dict] = defaultdict(dict)
+    moments: dict[tuple, dict] = defaultdict(dict)
+    modes: dict[tuple, dict] = defaultdict(dict)
+    if wanted["moments"]:
+        for r in fold_moments(data, wanted["moments"], folds).collect():
+            moments[r["repeat"], r["fold"]][r["column"]] = (r["mean"], r["std"])
+    if wanted["quantiles"]:
+        for r in fold_quantiles(data, wanted["quantiles"], folds).collect():
+            quantiles[r["repeat"], r["fold"]][r["column"]] = {0.25: r["q25"], 0.5: r["median"], 0.75: r["q75"]}
+    if wanted["modes"]:
+        for r in fold_modes(data, wanted["modes"], folds).collect():
+            modes[r["repeat"], r["fold"]][r["column"]] = r["value"]
+    categories, sizes, missing, encoders = None, {}, frozenset(), {}
+    if wanted["categories"]:
+        one = data.where(F.col("repeat") == F.lit(data.agg(F.min("repeat")).first()[0]))
+        categories = durable(category_table(one, wanted["categories"]))
+        sizes = category_sizes(categories, wanted["categories"])
+        missing = frozenset(r["column"] for r in categories.where("value IS NULL").collect())
+    return defaultdict(
+        lambda: Facts(categories=categories, sizes=sizes, missing=missing, encoders=encoders),
+        {
+            k: Facts(quantiles[k], moments[k], modes[k], categories, sizes, missing, encoders)
+            for k in {*quantiles, *moments, *modes}
+        },
     )
-    scores = durable(scores)
-    return scores, rows, fit_seconds, time.perf_counter() - started
 
 
 @dataclass(frozen=True)
@@ -156,14 +240,15 @@ def benchmark(
     settings: Mapping[str, Mapping[str, Any]] | None = None,
     threshold: float = 0.5,
     assigned: DataFrame | None = None,
-    parallelism: int = 1,
+    parallelism: int | None = None,
 ) -> BenchmarkResult:
     """Evaluate a plan with every model on shared folds; a failing fold becomes an error row.
 
     Folds are made once, or passed in to share them between plans; folds of another sample are
-    refused. The sample with its folds is
-    checkpointed, so each of the many fits reads it without recomputing. ``parallelism`` fits
-    run at a time, each a distributed job.
+    refused. The sample is written once, a row per key with its fold in every repeat. What the plan
+    learns is found for all training sets together; then fits run side by side, each over few
+    partitions, and write their scores to one table. A fold that lacks a class in its training or
+    validation rows can't be trained on or scored, and is an error row without being fitted.
     """
     require_columns(sample, [target, *key], "Benchmark sample")
     if assigned is None:
@@ -171,66 +256,68 @@ def benchmark(
     else:
         made_for = target_fingerprint(assigned.where(F.col("repeat") == 1), target, key).first()
         check_same_target(sample, target, key, tuple(made_for))
-    data = durable(sample.join(assigned.select(*key, "repeat", "fold"), list(key)))
-    sizes = {
-        (r["repeat"], r["fold"]): r["count"]
-        for r in data.groupBy("repeat", "fold").count().collect()
+    own = F.map_from_entries(F.collect_list(F.struct("repeat", "fold")))
+    of_key = assigned.groupBy(*key).agg(own.alias("_folds"))
+    data = durable(sample.join(of_key, list(key)))
+    by_repeat = data.select("*", F.explode("_folds").alias("repeat", "fold")).drop("_folds")
+    held: dict[tuple[int, int], dict[object, int]] = defaultdict(dict)
+    for r in by_repeat.groupBy("repeat", "fold", col(target).alias("class")).count().collect():
+        held[r["repeat"], r["fold"]][r["class"]] = r["count"]
+    classes = sorted({c for counts in held.values() for c in counts if c is not None})
+    training = {
+        (q, f): {c: sum(held[x].get(c, 0) for x in held if x[0] == q and x[1] != f) for c in classes}
+        for q, f in held
     }
-    per_repeat = {r: sum(n for (q, _), n in sizes.items() if q == r) for r, _ in sizes}
+    spark = sample.sparkSession
+    try:
+        facts = fold_facts(by_repeat, plan, models, max(f for _, f in held))
+    except Exception:  # columns that can't be learned from fail in their own fits, as rows
+        facts = defaultdict(lambda: None)
+    base = f"{shared_base(spark)}/fold-scores-{uuid4().hex}"
+    fold_of = F.col("_folds")
 
-    def one(job: tuple[str, int, int]) -> tuple[tuple, DataFrame | None]:
+    def one(job: tuple[str, int, int]) -> tuple[tuple, str | None]:
         model, repeat, fold = job
-        held = sizes[(repeat, fold)]
-        rows = per_repeat[repeat] - held
+        counts = training[repeat, fold]
+        rows, out = sum(counts.values()), sum(held[repeat, fold].values())
+        head = (model, repeat, fold, rows, out)
+        present = [n for n in counts.values() if n]
+        if len(present) < 2 or sum(1 for c in classes if held[repeat, fold].get(c)) < 2:
+            message = "Training and validation rows need both classes"
+            return (*head, 0.0, 0.0, "error", "ValueError", message), None
         started = time.perf_counter()
+        folder = f"{base}/model={model}/repeat={repeat}/fold={fold}"
+        mine = fold_of[F.lit(repeat)]
         try:
-            scores, _, fit_s, predict_s = fit_and_score(
-                training_rows(data, repeat, fold).drop("repeat", "fold"),
-                validation_rows(data, repeat, fold).drop("repeat", "fold"),
-                plan,
-                model,
-                target,
-                key,
-                seed,
-                (settings or {}).get(model),
-            )
+            _, fit_s, predict_s = fit_and_score(
+                data.where(mine != fold).drop("_folds"),
+                data.where(mine == fold).drop("_folds"),
+                plan, model, target, key, folder, counts, seed, (settings or {}).get(model),
+                facts=facts[repeat, fold],
+            )
         except Exception as error:  # a failed fold is evidence, not the end of the run
             spent = time.perf_counter() - started
-            return (model, repeat, fold, rows, held, spent, 0.0, "error",
-                    type(error).__name__, str(error)), None
-        labelled = scores.select(
-            F.lit(model).alias("model"),
-            F.lit(repeat).alias("repeat"),
-            F.lit(fold).alias("fold"),
-            *key,
-            "y_true",
-            "y_score",
-        )
-        return (model, repeat, fold, rows, held, fit_s, predict_s, "success", None, None), labelled
+            return (*head, spent, 0.0, "error", type(error).__name__, str(error)), None
+        return (*head, fit_s, predict_s, "success", None, None), folder
 
-    jobs = [(m, r, f) for m in models for r, f in sorted(sizes)]
-    if parallelism > 1:
-        with ThreadPool(min(parallelism, len(jobs))) as pool:
-            done = pool.map(inheritable_thread_target(sample.sparkSession)(one), jobs)
-    else:
-        done = [one(j) for j in jobs]
-    spark = sample.sparkSession
+    # Forests first: they take longest.
+    jobs = sorted(((m, *k) for m in models for k in held), key=lambda j: (j[0] != "random_forest", j))
+    most = max((sum(c.values()) for c in training.values()), default=0)
+    done = _together(spark, one, jobs, side_by_side(spark, most, parallelism))
     results = spark.createDataFrame([row for row, _ in done], FOLD_DDL)
-    scored = [p for _, p in done if p is not None]
-    by = ["model", "repeat", "fold"]
-    if not scored:
-        keys = ", ".join(f"{k} {sample.schema[k].dataType.simpleString()}" for k in key)
-        empty = spark.createDataFrame(
-            [], f"model string, repeat int, fold int, {keys}, y_true int, y_score double"
-        )
-        nothing = {m: F.lit(None).cast("double") for m in METRICS}
-        counts = {c: F.lit(None).cast("long") for c in ("tn", "fp", "fn", "tp")}
-        return BenchmarkResult(results.withColumns({**nothing, **counts}), empty)
-    predictions = scored[0]
-    for more in scored[1:]:
-        predictions = predictions.unionByName(more)
-    metrics = classification_metrics(predictions, by, threshold)
-    return BenchmarkResult(results.join(metrics, by, "left"), predictions)
+    by = {"model": "string", "repeat": "int", "fold": "int"}
+    predictions = _read_scores(sample, base, by, key, [f for _, f in done if f is not None])
+    metrics = classification_metrics(predictions, list(by), threshold)
+    return BenchmarkResult(results.join(metrics, list(by), "left"), predictions)
+
+
+def _together(spark: SparkSession, fn: Callable, jobs: Sequence, threads: int) -> list:
+    if threads < 2 or len(jobs) < 2:
+        return [fn(j) for j in jobs]
+    # One target per job: jobs that shared one would share its Spark properties too, and race for them.
+    targets = [inheritable_thread_target(spark)(partial(fn, j)) for j in jobs]
+    with ThreadPool(min(threads, len(jobs))) as pool:
+        return pool.map(lambda target: target(), targets, chunksize=1)
 
 
 def candidate_evidence(
@@ -296,21 +383,28 @@ def compare_on_holdout(
 
     Returns metrics by ``(pipeline, model)`` and the scores.
     """
-    scored, sizes = None, []
+    spark = development.sparkSession
+    base = f"{shared_base(spark)}/holdout-scores-{uuid4().hex}"
     held = holdout.count()
-    for pipeline, plan in plans.items():
-        for model in models:
-            scores, rows, _, _ = fit_and_score(
-                development, holdout, plan, model, target, key, seed,
-                (settings or {}).get(model),
-            )
-            labelled = scores.select(
-                F.lit(pipeline).alias("pipeline"), F.lit(model).alias("model"), *scores.columns
-            )
-            scored = labelled if scored is None else scored.unionByName(labelled)
-            sizes.append((pipeline, model, rows, held))
+    counts = two_class_counts(development, target)
+
+    def one(job: tuple[str, str]) -> tuple[tuple, str]:
+        pipeline, model = job
+        folder = f"{base}/pipeline={quote(pipeline)}/model={model}"
+        rows, _, _ = fit_and_score(
+            development, holdout, plans[pipeline], model, target, key, folder, counts, seed,
+            (settings or {}).get(model),
+        )
+        return (pipeline, model, rows, held), folder
+
+    jobs = [(p, m) for p in plans for m in models]
+    done = _together(spark, one, jobs, side_by_side(spark, sum(counts.values()), None))
+    sizes = [row for row, _ in done]
+    scored = _read_scores(
+        holdout, base, {"pipeline": "string", "model": "string"}, key, [f for _, f in done]
+    )
     by = ["pipeline", "model"]
-    counts = development.sparkSession.createDataFrame(
+    rows = spark.createDataFrame(
         sizes, "pipeline string, model string, train_rows long, temporal_test_rows long"
     )
-    return counts.join(classification_metrics(scored, by, threshold), by), scored
+    return rows.join(classification_metrics(scored, by, threshold), by), scored

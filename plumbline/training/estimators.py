@@ -32,7 +32,8 @@ def create_estimator(
 ) -> Estimator:
     """Untrained classifier on ``features`` and ``label``.
 
-    ``total_weight`` is the sum of the training weights. MLlib averages the loss over it, so
+    Deep trees keep the node each row has reached, checkpointed at intervals, instead of going down
+    from the root again. ``total_weight`` is the sum of the training weights. MLlib averages the loss over it, so
     the L2 strength 1 / C of a summed loss becomes 1 / (C * total_weight).
     """
     if model not in MODELS:
@@ -50,6 +51,7 @@ def create_estimator(
             maxDepth=s["max_depth"],
             minInstancesPerNode=s["min_leaf"],
             maxBins=s["max_bins"],
+            cacheNodeIds=True,
             seed=seed,
         )
     else:
@@ -58,6 +60,7 @@ def create_estimator(
             maxDepth=s["max_depth"],
             minInstancesPerNode=s["min_leaf"],
             maxBins=s["max_bins"],
+            cacheNodeIds=True,
             seed=seed,
         )
     return made.setWeightCol(weight) if weight else made

@@ -2,14 +2,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.catalogue import QUERIES, evaluation
-from plumbline.operators.folds import stratified_folds
-from plumbline.plans.application import Action, Plan
+from plumbline.operators.folds import stratified_folds, training_rows
+from plumbline.plans.application import SPARSE_LEARNERS, Action, Plan, learn_plan
 from plumbline.training.benchmark import (
     NUMERIC_FEATURES,
     benchmark,
     candidate_evidence,
     compare_on_holdout,
     fixed_plan,
+    fold_facts,
     require_model_features,
 )
 from plumbline.training.estimators import create_estimator
@@ -62,6 +63,63 @@ def test_failed_folds_are_rows(sample):
     assert result.fold_metrics.isEmpty() and result.predictions.isEmpty()
 
 
+def test_a_fold_of_one_class_is_an_error_row(sample):
+    # Fold 3 has no positive rows; fold 1 has all others of its class for training.
+    fold = F.when(F.col("id") < 6, 3).when(F.col("id") % 2 == 0, 1).otherwise(2)
+    folds = sample.select("id", "isFraud", F.lit(1).alias("repeat"), fold.alias("fold"))
+    result = benchmark(sample, fixed_plan("d"), "isFraud", ["id"], 3, 1, models=["decision_tree", "logistic_regression"],
+                       settings=QUICK, assigned=folds)
+    rows = {(r["model"], r["fold"]): r for r in result.fold_results.collect()}
+    assert {k: r["status"] for k, r in rows.items()} == {
+        (m, f): "error" if f == 3 else "success" for m in ("decision_tree", "logistic_regression") for f in (1, 2, 3)}
+    for (_, f), r in rows.items():
+        assert (r["roc_auc"] is None) == (f == 3) and (r["error_type"] == "ValueError") == (f == 3)
+        assert (r["train_rows"], r["validation_rows"]) == {1: (23, 17), 2: (23, 17), 3: (34, 6)}[f]
+    assert {r["fold"] for r in result.predictions.select("fold").distinct().collect()} == {1, 2}
+    lone = sample.select("id", "isFraud", F.lit(1).alias("repeat"), (F.col("isFraud") + 1).cast("int").alias("fold"))
+    result = benchmark(sample, fixed_plan("d"), "isFraud", ["id"], 2, 1, models=["decision_tree"], assigned=lone)
+    assert {r["status"] for r in result.fold_results.collect()} == {"error"} and result.predictions.isEmpty()
+
+
+def test_facts_of_folds_equal_those_of_their_training_rows(spark, sample):
+    rows = sample.withColumns({
+        "type": F.when(F.col("id") % 7 > 0, F.col("type")), "step": F.when(F.col("id") % 5 > 0, F.col("step"))})
+    plan = Plan("p", "d", 1, (
+        Action("f", "impute_categorical", ("type",), {"strategy": "most_frequent"}),
+        Action("h", "one_hot_encode", ("type",), {}),
+        Action("m", "impute_numeric", ("step",), {"strategy": "median"}),
+        Action("s", "scale_numeric", ("hour", "amount"), {"method": "standard"}),
+        Action("r", "scale_numeric", ("log_amount", "step"), {"method": "robust"}),
+    ))
+    folds = stratified_folds(rows, "isFraud", ["id"], 3, 2).drop("isFraud")
+    data = rows.join(folds, "id")
+    facts = fold_facts(data, plan, ["decision_tree"], 3)
+    for repeat, fold in [(1, 1), (1, 3), (2, 2)]:
+        train = training_rows(data, repeat, fold).drop("repeat", "fold")
+        direct = learn_plan(train, plan, "decision_tree").transform(rows).orderBy("id").collect()
+        known = learn_plan(train, plan, "decision_tree", learners=SPARSE_LEARNERS, facts=facts[repeat, fold])
+        got = known.transform(rows).orderBy("id").collect()
+        kinds = sorted(c for c in direct[0].asDict() if c.startswith("type="))
+        assert len(kinds) == 2
+        for a, b in zip(direct, got, strict=True):
+            for c in ("step", "hour", "amount", "log_amount"):
+                assert b[c] == pytest.approx(a[c])
+            assert sorted(b["type"].toArray().tolist()) == sorted(a[k] for k in kinds)
+        assert len({(tuple(a[k] for k in kinds), tuple(b["type"].toArray())) for a, b in zip(direct, got, strict=True)}) == 2
+
+
+def test_actions_that_learn_alike_share_a_job(spark, sample, monkeypatch):
+    from plumbline.operators import transforms
+
+    asked = []
+    plain = transforms.exact_quantiles
+    monkeypatch.setattr(transforms, "exact_quantiles", lambda df, c, p, *a, **k: asked.append(list(c)) or plain(df, c, p, *a, **k))
+    plan = Plan("p", "d", 1, tuple(
+        Action(f"a{k}", "scale_numeric", (c,), {"method": "robust"}) for k, c in enumerate(["step", "hour", "amount"])))
+    learn_plan(sample, plan, "decision_tree")
+    assert asked == [["step", "hour", "amount"]]
+
+
 def test_evidence_and_holdout(sample):
     plan = Plan("p", "d", 1, (
         Action("h", "one_hot_encode", ("type",), {}),
