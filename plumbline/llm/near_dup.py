@@ -113,23 +113,27 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, 1):
-        sizes, keys, buckets = [], [], []
-        for text in part.column(1).to_pylist():
-            h = shingles(text)
-            sizes.append(len(h))
-            keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-            buckets.append(bands(signature(h)) if len(h) else None)
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(keys, pa.binary()),
-                pa.array(buckets, pa.list_(pa.int64())),
-            ],
-            ["doc_id", "n_shingles", "key", "buckets"],
-        )
+def _sign(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2):
+            sizes, keys, buckets = [], [], []
+            for text in part.column(2).to_pylist():
+                h = shingles(text, size)
+                sizes.append(len(h))
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                buckets.append(bands(signature(h)) if len(h) else None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(1),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    pa.array(buckets, pa.list_(pa.int64())),
+                ],
+                ["row", "doc_id", "n_shingles", "key", "buckets"],
+            )
+
+    return run
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -142,10 +146,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, size: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         hub = int(rows["hub"].iloc[0])
-        sets = dict(zip(rows["doc"], map(shingles, rows["text"]), strict=True))
+        sets = {doc: shingles(text, size) for doc, text in zip(rows["doc"], rows["text"], strict=True)}
         centre, linked = sets[hub], []
         for doc, h in sets.items():
             both, union = jaccard(centre, h)
@@ -156,7 +160,7 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (leaf, hub) whose whole shingle sets are similar enough, as edges (a, b).
 
     The leaves of a hub are dealt to groups of about CHUNK, each with the hub's text once.
@@ -171,63 +175,92 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         members.join(texts, F.col("doc") == F.col("id"))
         .select("hub", "chunk", "doc", "text")
         .groupBy("hub", "chunk")
-        .applyInPandas(_confirm(percent), "a long, b long")
+        .applyInPandas(_confirm(percent, size), "a long, b long")
     )
 
 
-def link(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Documents (doc_id, text) with n_shingles, component_id and kept.
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, written once so that it stays."""
+    return written(docs.select("*", F.monotonically_increasing_id().alias(name)), "numbered")
 
-    A set holds the distinct two-word shingles of the whole text in lower case (A-Z). Documents are
-    linked if 100 * intersection >= percent * union, which is confirmed on whole sets; component_id
-    is the smallest id that links lead to. Equal sets become one node first. Nodes that share a
-    bucket are compared with the smallest of the bucket, a star, so that pairs grow with the rows of
-    the buckets and not with their squares. Where the members of a bucket are in several components
-    afterwards, an exact prefix filter finds the links among them that stars have not shown.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Ids are expected to be
-    unique; a row of a repeated id is placed by its own text. Rows without id can be in a component
-    but do not name it: component_id is null if all of a set's rows lack an id. Other columns are
-    left out. An empty table gives no rows.
+def _texts(numbered: DataFrame, name: str) -> DataFrame:
+    return numbered.select(
+        F.col(name).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    )
+
+
+def _classes(texts: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of numbered texts (row, doc_id, text), and the component of each distinct set.
+
+    The second table is (k, first): a set's key, and the first row of its component as a struct of
+    doc_id's absence, doc_id and row. A set's own first row is its node in the graph, whatever ids
+    other sets have.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     signed = written(
-        texts.mapInArrow(_sign, "doc_id long, n_shingles long, key binary, buckets array<long>"),
+        texts.mapInArrow(
+            _sign(size), "row long, doc_id long, n_shingles long, key binary, buckets array<long>"
+        ),
         "signatures",
     )
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     classes = written(
-        signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("key"))
+        signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first")), "classes"
+    ).withColumn("node", F.col("first.row"))
     rows = (
-        signed.select("doc_id", "key", "buckets")
-        .join(reps, ["doc_id", "key"], "left_semi")
-        .select(F.col("doc_id").alias("node"), F.explode("buckets").alias("bucket"))
+        signed.select("row", "buckets")
+        .join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
+        .select(F.col("row").alias("node"), F.explode("buckets").alias("bucket"))
     )
     hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
     members = written(
         rows.join(hubs.where("hub <> top").select("bucket", "hub"), "bucket"), "buckets"
     )
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
+    involved = members.select(F.col("node").alias("row")).distinct()
     near = written(
-        texts.join(involved, "doc_id", "left_semi").select(
-            F.col("doc_id").alias("id"), "text"
-        ),
-        "texts",
+        texts.join(involved, "row", "left_semi").select(F.col("row").alias("id"), "text"), "texts"
     )
     done = members.where("node <> hub").select(F.col("node").alias("leaf"), "hub").distinct()
     done = written(done, "pairs")
-    edges = written(_confirmed(done, near, percent), "links")
+    edges = written(_confirmed(done, near, percent, size), "links")
     labels = components(edges)
-    labels = _rest(members, done, edges, labels, near, percent)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("key").alias("k"), F.coalesce("component", "rep").alias("component")
+    labels = _rest(members, done, edges, labels, near, percent, size)
+    placed = written(
+        classes.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
+            F.col("key").alias("k"), "first", F.coalesce("component", "node").alias("component")
+        ),
+        "placed",
     )
+    least = placed.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("least"))
+    named = placed.join(least, F.col("component") == F.col("c")).select("k", F.col("least").alias("first"))
+    return signed, named
+
+
+def link(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
+    """Documents (doc_id, text) with n_shingles, component_id and kept.
+
+    A set holds the distinct shingles of `size` words of the whole text in lower case (A-Z). Documents
+    are linked if 100 * intersection >= percent * union, which is confirmed on whole sets; component_id
+    is the smallest id that links lead to. Equal sets become one node first. Nodes that share a
+    bucket are compared with the smallest of the bucket, a star, so that pairs grow with the rows of
+    the buckets and not with their squares. Where the members of a bucket are in several components
+    afterwards, an exact prefix filter finds the links among them that stars have not shown.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. Very long texts are
+    taken whole; a task holds one at a time beside its batch. Rows of a repeated id are placed by
+    their own texts, equal rows alike. Rows without id are linked like others but don't name a
+    component: component_id is null if all its rows lack an id. Other columns are left out. An
+    empty table gives no rows.
+    """
+    texts = _texts(_numbered(docs.select("doc_id", "text"), "row"), "row")
+    signed, named = _classes(texts, percent, size)
     sized = signed.select("doc_id", "n_shingles", "key")
     placed = (
         sized.where("key IS NOT NULL")
-        .join(named, F.col("key") == F.col("k"), "left")
-        .select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+        .join(named, F.col("key") == F.col("k"))
+        .select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     )
     alone = sized.where("key IS NULL").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
@@ -235,12 +268,26 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def keep(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The documents' rows that are the first of their component, with all columns.
+
+    As in `link`, but of equal rows, of rows of one id and of rows without id one stays too: the row with the
+    smallest id (rows without id last), then any one. Rows without shingles all stay.
+    """
+    own, stays = ("_" * max(map(len, docs.columns)) + x for x in ("row", "stays"))
+    numbered = _numbered(docs, own)
+    signed, named = _classes(_texts(numbered, own), percent, size)
+    rows = named.select(F.col("first.row").alias(stays)).distinct()
+    rows = rows.union(signed.where("key IS NULL").select("row"))
+    return numbered.join(rows, F.col(own) == F.col(stays), "left_semi").select(*docs.columns)
+
+
+def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many of the texts have, at most FREQUENT_MOST of them, and their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, 1_000_000):
-            sets = [shingles(t) for t in part.column(2).to_pylist()]
+            sets = [shingles(t, size) for t in part.column(2).to_pylist()]
             h, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["s", "n"])
 
@@ -255,21 +302,21 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
+def _prefixes(texts: DataFrame, percent: int, size: int) -> DataFrame:
     """(bucket, node, component): the shingles of which two similar sets share one at least.
 
     In an order with the frequent shingles last, by frequency, sets with the wanted overlap share one of their
     first n - ceil(percent * n / 100) + 1. Texts that have a passage in common, but little else,
     therefore don't meet.
     """
-    spread = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
+    spread = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = spread.value
         for part in slices(batches, 2, 1_000_000):
             firsts = []
             for text in part.column(2).to_pylist():
-                h = shingles(text)
+                h = shingles(text, size)
                 late = np.isin(h, often, assume_unique=True)
                 n = len(h) - -(-percent * len(h) // 100) + 1
                 last = h[late]
@@ -307,12 +354,12 @@ def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _cross(percent: int):
+def _cross(percent: int, width: int):
     """Links between the block's members outside of the largest component (`q`) and the others."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         inside, asked = rows[~rows["q"]], rows[rows["q"]]
-        sets = [shingles(t) for t in inside["text"]]
+        sets = [shingles(t, width) for t in inside["text"]]
         node, part = inside["node"].to_numpy(), inside["component"].to_numpy()
         size = np.array([len(h) for h in sets], dtype=np.int64)
         at = np.repeat(np.arange(len(sets)), size)
@@ -322,7 +369,7 @@ def _cross(percent: int):
         end = np.append(start[1:], len(flat))
         out_a, out_b = [], []
         for q, c, text in zip(asked["node"], asked["component"], asked["text"], strict=True):
-            h = shingles(text)
+            h = shingles(text, width)
             k = np.minimum(np.searchsorted(word, h), len(word) - 1)
             k = k[word[k] == h]
             met = [at[start[i] : end[i]] for i in k]
@@ -337,7 +384,7 @@ def _cross(percent: int):
     return run
 
 
-def _long_lists(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _long_lists(lists: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b) between components among the members of long lists.
 
     Lists that share members form one group. Members outside of its largest component are asked
@@ -388,11 +435,11 @@ def _long_lists(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .join(whole, F.col("node") == F.col("id"))
         .select("node", "component", "grp", "i", "j", "q", "text")
         .groupBy("grp", "i", "j")
-        .applyInPandas(_cross(percent), "a long, b long")
+        .applyInPandas(_cross(percent, size), "a long, b long")
     )
 
 
-def _rest(members, done, edges, labels, near, percent):
+def _rest(members, done, edges, labels, near, percent, size):
     """Components with the links that no star has shown.
 
     Only nodes of buckets that are split over components can have such links. They meet in the
@@ -407,7 +454,7 @@ def _rest(members, done, edges, labels, near, percent):
     texts = written(
         open_.join(near, F.col("node") == F.col("id")).select("node", "component", "text"), "texts"
     )
-    lists = written(_prefixes(texts, percent), "lists")
+    lists = written(_prefixes(texts, percent, size), "lists")
     lists = written(
         lists.join(_split(lists, 2), F.col("bucket") == F.col("b")).drop("b"), "lists"
     )
@@ -422,8 +469,8 @@ def _rest(members, done, edges, labels, near, percent):
         .distinct()
         .join(done, ["leaf", "hub"], "left_anti")
     )
-    found = written(_confirmed(written(pairs, "pairs"), near, percent), "links")
+    found = written(_confirmed(written(pairs, "pairs"), near, percent, size), "links")
     long = lists.where(F.col("size") > CHUNK)
     if not long.isEmpty():
-        found = found.union(written(_long_lists(long, texts, percent), "links"))
+        found = found.union(written(_long_lists(long, texts, percent, size), "links"))
     return labels if found.isEmpty() else components(edges.union(found))

@@ -82,6 +82,64 @@ def test_odd_rows(odd, none):
     assert n.link(none).count() == 0
 
 
+def brute_rows(rows, size):
+    """Per row its set and group: the rows that links lead to, over all pairs of rows."""
+    def own(text):
+        w = spaced(lower(text))
+        return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+    s = [own(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return s, group
+
+
+def repeated_and_null_ids():
+    rows = [(k % 40 if k % 3 else None, t) for k, (_, t) in enumerate(texts(11, 12, 8, 5, 60))]
+    # A near copy of a text whose id has another text too, and a group without any id.
+    many = " ".join(f"m{k}" for k in range(102))
+    rows += [(500, "quite another text of its own here"), (500, many), (400, many + " more"), (400, "not this one")]
+    lone = " ".join(f"z{k}" for k in range(80))
+    rows += [(None, lone), (None, lone), (None, lone + " end"), (600, lone + " last")]
+    alone = " ".join(f"q{k}" for k in range(30))
+    return rows + [(None, alone), (None, alone + " x"), (7, None), (None, ""), (700, alone.replace("q", "r"))] * 2
+
+
+def test_repeated_and_null_ids(table):
+    rows = repeated_and_null_ids()
+    for size in (2, 5):
+        s, group = brute_rows(rows, size)
+        least = {}
+        for (d, _), g in zip(rows, group, strict=True):
+            if d is not None:
+                least[g] = min(d, least.get(g, d))
+        want = [
+            (d, len(x), least.get(g) if x else d, d == (least.get(g) if x else d))
+            for (d, _), x, g in zip(rows, s, group, strict=True)
+        ]
+        assert sorted(map(repr, map(tuple, n.link(table(rows).repartition(5), size=size).collect()))) == sorted(map(repr, want))
+
+
+def test_one_row_of_each_group_stays(table, none):
+    rows = repeated_and_null_ids()
+    s, group = brute_rows(rows, 5)
+    kept = n.keep(table(rows).repartition(5))
+    assert kept.columns == table(rows).columns and "_row" not in kept.columns
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    groups = {g for g, x in zip(group, s, strict=True) if x}
+    assert len(out) == len(groups) + sum(not x for x in s)
+    for g in groups:
+        own = [r for r, h in zip(rows, group, strict=True) if h == g]
+        ids = [d for d, _ in own if d is not None]
+        stays = [r for r in out if r in own and (r[0] == min(ids) if ids else r[0] is None)]
+        assert len(stays) == 1
+    assert n.keep(none).count() == 0 and n.keep(table([(3, "a b")] * 4)).count() == 1
+
+
 def test_components(spark):
     draw = random.Random(9)
     pairs = [(k, k + 1) for k in range(200)] + [(300, k) for k in range(301, 400)]
