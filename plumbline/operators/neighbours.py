@@ -1,15 +1,16 @@
 """Exact nearest neighbours and synthetic minority rows.
 
-Points are cut into cells of similar distance from the origin. A point's k-th neighbour inside
-its own cell bounds how far the true ones can lie, and by the triangle inequality only cells
-within that distance of its own norm can hold them. Cells hold a bounded number of rows
-whatever the data looks like: crowded distances are split by a hash of the key.
+Every point belongs to the cell of its nearest pivot, one of a drawn sample of points. Its k-th neighbour
+inside a block of its own cell bounds how far the true ones can lie; only cells that the
+triangle inequality lets come that close to it are asked: by the range of their members' distances
+from their pivot, and by the plane between the two pivots. Crowded cells are split into blocks by a hash of
+the key, so a block has a bounded number of rows, however many points there are and however they lie.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,14 +24,14 @@ from plumbline.functions.expressions import (
     draw,
     draw_number,
     DRAWS,
-    magnitude_bucket,
     numeric_columns,
 )
 from plumbline.operators.ordering import rank_by_draw
 from plumbline.operators.sampling import _two_classes
 
 CELL_ROWS = 1024
-_MOST_BANDS = 8192
+# Pivots go to every task. Beyond so many, cells grow, but not their blocks.
+MOST_PIVOTS = 2048
 _PROBES_PER_CELL_ROW = 16
 _SLACK = 1e-9
 
@@ -70,43 +71,69 @@ def _nearest(probes: pd.DataFrame, cell: pd.DataFrame, k: int) -> pd.DataFrame:
     return out[np.isfinite(out["distance"])]
 
 
+def _lower_bounds(
+    x: np.ndarray, own: np.ndarray, pivots: np.ndarray, ranges: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """How close each cell can come to each point, and how exact that is known."""
+    to = _distances(x, pivots)
+    mine = to[np.arange(len(x)), own][:, None]
+    apart = _distances(pivots, pivots)[own]
+    ball = np.maximum(to - ranges[:, 1], ranges[:, 0] - to)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Members of a cell lie on its pivot's side of the plane between the two.
+        plane = np.where(apart > 0, (to**2 - mine**2) / (2 * apart), -np.inf)
+        exact = np.where(apart > 0, (to**2 + mine**2) / apart, 0.0)
+    return np.maximum(ball, plane), _SLACK * (to + mine + exact)
+
+
 def nearest_neighbours(
     df: DataFrame, key: str, features: Sequence[str] | str, k: int = 5, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``(key, place, neighbour, distance)`` of the k nearest other rows, ties by key.
 
-    ``features`` are numeric columns or one array column. ``key`` must identify rows.
+    ``features`` are numeric columns or one array column. ``key`` must identify rows. Rows with a
+    coordinate that is null, NaN or infinite are left out.
     """
     vector = (
         col(features).cast("array<double>")
         if isinstance(features, str)
         else F.array(*[col(f).cast("double") for f in features])
     )
-    points = df.select(col(key).alias("id"), vector.alias("x")).withColumn(
-        "d", F.sqrt(F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v))
-    )
-    rows = points.count()
-    cell_rows = max(cell_rows, math.ceil(rows / _MOST_BANDS))
-    placed = points.withColumn("bucket", magnitude_bucket(F.col("d")))
-    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    cells = (
-        placed.groupBy("bucket")
-        .agg(F.count("*").alias("n"))
-        .withColumn(
-            "band",
-            F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / cell_rows),
-        )
-        .withColumn(
-            "salts", F.ceil(F.sum("n").over(W.partitionBy("band")) / cell_rows)
+    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    points = df.select(col(key).alias("id"), vector.alias("x")).where(finite)
+    id_type = df.schema[key].dataType.simpleString()
+    near_schema = f"id {id_type}, neighbour {id_type}, distance double"
+    wanted = min(MOST_PIVOTS, math.ceil(points.count() / cell_rows))
+    drawn = points.select("x", draw(0, "id").alias("drawn")).orderBy("drawn").limit(wanted).collect()
+    if not drawn:
+        return df.sparkSession.createDataFrame([], near_schema).select(
+            F.col("id").alias(key), F.lit(0).alias("place"), "neighbour", "distance"
         )
-    )
+    pivots = np.unique(np.array([r["x"] for r in drawn], dtype=float), axis=0)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows in _blocks(len(batch), len(pivots), pivots.shape[1]):
+                own = batch.iloc[rows]
+                to = _distances(np.stack(own["x"].to_numpy()), pivots)
+                cell = to.argmin(axis=1)
+                yield own.assign(cell=cell, d=to[np.arange(len(own)), cell])
+
     # Both tables below are read several times.
-    located = durable(
-        placed.join(cells.select("bucket", "band", "salts"), "bucket").select(
-            "id", "x", "d", "band", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "salts"
-        )
+    placed = durable(points.mapInPandas(place, f"id {id_type}, x array<double>, cell long, d double"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    # An empty cell is infinitely far away.
+    ranges = np.full((len(pivots), 2), [np.inf, -np.inf])
+    blocks = np.zeros(len(pivots), np.int64)
+    for r in sizes.collect():
+        ranges[r["cell"]] = r["low"], r["high"]
+        blocks[r["cell"]] = -(-r["n"] // cell_rows)
+    salts = df.sparkSession.createDataFrame(
+        [(i, int(n)) for i, n in enumerate(blocks) if n], "cell long, salts long"
+    )
+    located = placed.join(F.broadcast(salts), "cell").select(
+        "id", "x", "cell", F.pmod(F.xxhash64("id"), "salts").alias("salt")
     )
-    id_type = df.schema[key].dataType.simpleString()
 
     def own_radius(cell: pd.DataFrame) -> pd.DataFrame:
         points = np.stack(cell["x"].to_numpy())
@@ -115,51 +142,47 @@ def nearest_neighbours(
             for part in _blocks(len(cell), len(cell), points.shape[1]):
                 # The row itself is at distance 0 and takes the first place.
                 radius[part] = np.partition(_distances(points[part], points), k, axis=1)[:, k]
-        return cell[["id", "x", "d"]].assign(radius=radius)
+        return cell[["id", "x", "cell"]].assign(radius=radius)
 
-    bands = (
-        located.groupBy("band")
-        .agg(F.min("d").alias("low"), F.max("d").alias("high"), F.first("salts").alias("salts"))
-        .agg(F.collect_list(F.struct("low", "high", "band", "salts")))
-        .scalar()
-    )
-    reach = F.col("radius") * (1 + _SLACK) + F.col("d") * _SLACK
     bounded = durable(
-        located.groupBy("band", "salt").applyInPandas(
-            own_radius, f"id {id_type}, x array<double>, d double, radius double"
+        located.groupBy("cell", "salt").applyInPandas(
+            own_radius, f"id {id_type}, x array<double>, cell long, radius double"
         )
     )
-    probes = (
-        bounded.withColumn("bands", bands)
-        .select(
-            "id",
-            "x",
-            F.explode(
-                F.filter(
-                    "bands",
-                    lambda b: (b["low"] <= F.col("d") + reach)
-                    & (b["high"] >= F.col("d") - reach),
+
+    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows in _blocks(len(batch), len(pivots), pivots.shape[1]):
+                own = batch.iloc[rows]
+                x, cell = np.stack(own["x"].to_numpy()), own["cell"].to_numpy()
+                low, exact = _lower_bounds(x, cell, pivots, ranges)
+                reach = own["radius"].to_numpy()[:, None] * (1 + _SLACK) + exact
+                at, to = np.nonzero((low <= reach) & (blocks > 0))
+                # Each block of a cell is asked by itself.
+                times = blocks[to]
+                salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                at, to = np.repeat(at, times), np.repeat(to, times)
+                yield pd.DataFrame(
+                    {
+                        "id": own["id"].to_numpy()[at],
+                        "x": own["x"].to_numpy()[at],
+                        "cell": to,
+                        "salt": salt,
+                    }
                 )
-            ).alias("to"),
-        )
-        .select(
-            "id",
-            "x",
-            F.col("to.band").alias("band"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("to.salts") - 1)).alias("salt"),
-        )
-    )
+
+    probes = bounded.mapInPandas(aim, f"id {id_type}, x array<double>, cell long, salt long")
     limit = cell_rows * _PROBES_PER_CELL_ROW
-    parts = probes.groupBy("band", "salt").agg(
+    parts = probes.groupBy("cell", "salt").agg(
         F.ceil(F.count("*") / limit).alias("parts")
     )
-    asked = probes.join(parts, ["band", "salt"]).withColumn(
+    asked = probes.join(parts, ["cell", "salt"]).withColumn(
         "part", F.pmod(F.xxhash64("id", F.lit("part")), "parts")
     )
-    offered = located.join(parts, ["band", "salt"]).withColumn(
+    offered = located.join(parts, ["cell", "salt"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     )
-    group = ["band", "salt", "part"]
+    group = ["cell", "salt", "part"]
 
     def match(probe: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
         if probe.empty or cell.empty:
@@ -170,7 +193,7 @@ def nearest_neighbours(
         asked.select(*group, "id", "x")
         .groupBy(*group)
         .cogroup(offered.select(*group, "id", "x").groupBy(*group))
-        .applyInPandas(match, f"id {id_type}, neighbour {id_type}, distance double")
+        .applyInPandas(match, near_schema)
     )
     best = W.partitionBy("id").orderBy("distance", "neighbour")
     return (

@@ -191,9 +191,56 @@ def brute_force(points, k):
     return found
 
 
+def unit_vectors(n, dims=8, centres=20, spread=0.05):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(centres, dims))
+    x = middle[rng.integers(0, centres, n)] / np.sqrt(dims) + rng.normal(scale=spread, size=(n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("most", [2048, 10])
+def test_neighbours_of_unit_vectors(spark, monkeypatch, most):
+    """All have one norm; still few blocks are asked for each, and block sizes are bounded."""
+    from plumbline.operators import neighbours as nb
+
+    monkeypatch.setattr(nb, "MOST_PIVOTS", most)
+    kept = []
+    plain = nb.durable
+    monkeypatch.setattr(nb, "durable", lambda d: kept.append(plain(d)) or kept[-1])
+    points = dict(enumerate(unit_vectors(1500)))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in points.items()], "id long, v array<double>").repartition(4)
+    near = nearest_neighbours(df, "id", "v", 4, cell_rows=25)
+    found = {}
+    for r in near.orderBy("id", "place").collect():
+        found.setdefault(r["id"], []).append((r["neighbour"], round(r["distance"], 9)))
+    assert found == brute_force(points, 4)
+    sizes = {r["cell"]: r["count"] for r in kept[0].groupBy("cell").count().collect()}
+    blocks = sum(-(-n // 25) for n in sizes.values())
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    pivots = np.unique(np.array([r["x"] for r in kept[0].select("x", draw(0, "id").alias("w")).orderBy("w").limit(
+        min(most, 60)).collect()]), axis=0)
+    ranges = np.array([[np.inf, -np.inf]] * len(pivots))
+    for r in kept[0].groupBy("cell").agg(F.min("d").alias("a"), F.max("d").alias("b")).collect():
+        ranges[r["cell"]] = r["a"], r["b"]
+    asked = 0
+    for r in kept[1].collect():
+        low, _ = nb._lower_bounds(np.array([r["x"]]), np.array([r["cell"]]), pivots, ranges)
+        asked += sum(-(-sizes[c] // 25) for c in np.flatnonzero(low[0] <= r["radius"]) if c in sizes)
+    assert asked / len(points) < 0.45 * blocks
+
+
+def test_neighbours_of_odd_rows(spark):
+    bad = [(100, None, 1.0), (101, float("nan"), 1.0), (102, float("inf"), 1.0)]
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), *bad], "id long, a double, b double")
+    assert rows(nearest_neighbours(df, "id", ["a", "b"], 3)) == [(1, 1, 2, 5.0), (2, 1, 1, 5.0)]
+    none = nearest_neighbours(df.limit(0), "id", ["a", "b"])
+    assert none.columns == ["id", "place", "neighbour", "distance"] and none.count() == 0
+
+
 @pytest.mark.parametrize("copies", [0, 100])
 def test_neighbours_equal_brute_force_across_cells(spark, monkeypatch, copies):
-    """Small cells force many bands, salts and probe parts; a third of the rows are copies."""
+    """Small cells force many pivots, salts and probe parts; a third of the rows are copies."""
     from plumbline.operators import neighbours as nb
 
     monkeypatch.setattr(nb, "_PROBES_PER_CELL_ROW", 1)
