@@ -29,6 +29,10 @@ IMBALANCE_RATE = 0.01
 COLUMNS_AT_ONCE = 8
 
 
+# Characters of a text that values of one count are first ordered by.
+HEAD = 64
+
+
 def _long(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
     """One row per cell: ``(column, value)``."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
@@ -327,15 +331,37 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values of each string column, ties broken by value.
 
-    ``(column, rank, value, count, rate)``. Long text is counted by digest and looked up again for
-    the winners and those tied with the last of them, which alone are then ordered by value.
+    ``(column, rank, value, count, rate)``. Long text is counted by digest. The place k is found by
+    count and the start of the text, by a limit per partition; only values up to it, and those that tie with it
+    in both, are looked up whole and ordered by value.
     """
     names = list(columns or string_columns(df))
-    keys = _long(df, names, lambda c: comparison_key(df, c))
-    counts = keys.groupBy("column", F.col("value").alias("key")).agg(F.count("*").alias("count"))
-    # rank() keeps all that are tied with the last winner.
-    often = W.partitionBy("column").orderBy(F.desc("count"))
-    ranked = counts.withColumn("r", F.rank().over(often)).where(F.col("r") <= k).drop("r")
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"),
+            comparison_key(df, c).cast("string").alias("key"),
+            F.substring(col(c).cast("string"), 1, HEAD).alias("head"),
+        )
+        for c in names
+    ]
+    counts = (
+        df.select(F.inline(F.array(*entries)))
+        .groupBy("column", "key")
+        .agg(F.count("*").alias("count"), F.min("head").alias("head"))
+    )
+    often = W.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("head"))
+    last = (
+        counts.withColumn("r", F.row_number().over(often))
+        .where(F.col("r") <= k)
+        .groupBy("column")
+        .agg(F.max_by(F.struct("count", "head"), "r").alias("last"))
+    )
+    up_to = F.col("last.head").isNull() | F.coalesce(F.col("head") <= F.col("last.head"), F.lit(False))
+    ranked = (
+        counts.join(F.broadcast(last), "column")
+        .where((F.col("count") > F.col("last.count")) | ((F.col("count") == F.col("last.count")) & up_to))
+        .select("column", "key", "count")
+    )
     cells = _long(df, names, col).where(F.octet_length("value") > 64)
     texts = (
         cells.withColumn("key", F.concat(F.sha2("value", 256), F.lit("#")))

@@ -51,7 +51,7 @@ def read_plan(text: str) -> Plan:
         )
         for a in body.get("actions", ())
     )
-    return Plan(body["plan_id"], body["dataset_id"], body["iteration"], actions)
+    return Plan(body["plan_id"], body["dataset_id"], int(body["iteration"]), actions)
 
 
 Apply = Callable[[DataFrame], DataFrame]

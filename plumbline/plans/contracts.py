@@ -18,7 +18,7 @@ TRANSFORMATION_NAME = r"\A[a-z][a-z0-9_]*\z"
 SAMPLERS = ("random_undersampling", "random_oversampling", "smote")
 
 PLAN_DDL = (
-    "plan_id string, dataset_id string, iteration int, objective string, "
+    "plan_id string, dataset_id string, iteration double, objective string, "
     "actions array<struct<action_id string, transformation string, columns array<string>, "
     "parameters map<string,variant>, rationale string, model_scope string>>"
 )

@@ -55,47 +55,57 @@ def _kind(document: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
 
 
-def _not(document: Column, field: str, *kinds: str) -> Column:
+def _kinds(document: Column, fields: Sequence[str]) -> Column:
+    """The JSON types of fields."""
+    return F.struct(*[_kind(document, f).alias(f) for f in fields])
+
+
+def _not(kinds: Column, field: str, *allowed: str) -> Column:
     """Whether a field is there and of none of the types."""
-    return F.coalesce(~_kind(document, field).isin(*kinds), F.lit(False))
+    return F.coalesce(~kinds[field].isin(*allowed), F.lit(False))
+
 
+def _action_errors(action: Column, kinds: Column) -> Column:
+    """What is wrong with an action; one that is null is one error."""
+    missing = F.array(F.struct(F.lit("invalid_field").alias("code"), F.lit("actions").alias("detail")))
+    return F.when(action.isNull(), missing).otherwise(_field_errors(action, kinds))
 
-def _action_errors(action: Column, raw: Column) -> Column:
-    document = F.try_parse_json(raw)
+
+def _field_errors(action: Column, kinds: Column) -> Column:
     columns = F.coalesce(action["columns"], _empty_list("string"))
     scope = F.coalesce(action["model_scope"], F.lit("all"))
     return F.array_compact(
         F.array(
             _when(
-                _mismatch(action["action_id"], IDENTIFIER) | _not(document, "action_id", "STRING"),
+                _mismatch(action["action_id"], IDENTIFIER) | _not(kinds, "action_id", "STRING"),
                 "invalid_field",
                 "action_id",
             ),
             _when(
                 _mismatch(action["transformation"], TRANSFORMATION_NAME)
-                | _not(document, "transformation", "STRING"),
+                | _not(kinds, "transformation", "STRING"),
                 "invalid_field",
                 "transformation",
             ),
             _when(
-                _blank(action["rationale"]) | _not(document, "rationale", "STRING"),
+                _blank(action["rationale"]) | _not(kinds, "rationale", "STRING"),
                 "invalid_field",
                 "rationale",
             ),
             _when(
-                ~scope.isin(*SCOPES) | _not(document, "model_scope", "STRING"),
+                ~scope.isin(*SCOPES) | _not(kinds, "model_scope", "STRING"),
                 "invalid_field",
                 "model_scope",
             ),
             _when(
                 (F.size(columns) != F.size(F.array_distinct(columns)))
                 | F.exists(columns, lambda c: F.coalesce(c.rlike(r"\A\s*\z"), F.lit(True)))
-                | _not(document, "columns", "ARRAY<STRING>", "ARRAY<VOID>"),
+                | _not(kinds, "columns", "ARRAY<STRING>", "ARRAY<VOID>"),
                 "invalid_field",
                 "columns",
             ),
             _when(
-                F.coalesce(~_kind(document, "parameters").startswith("OBJECT"), F.lit(False)),
+                F.coalesce(~kinds["parameters"].startswith("OBJECT"), F.lit(False)),
                 "invalid_field",
                 "parameters",
             ),
@@ -118,38 +128,49 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
         ),
         _raw=F.from_json(text, "actions array<string>")["actions"],
     )
+    # Parsed once each: the types of an action's fields, and of the plan's own.
+    documents = F.transform(F.coalesce("_raw", _empty_list("string")), F.try_parse_json)
+    # Inside brackets, text behind the closing brace is malformed or a second element.
+    parsed = computed_once(
+        parsed,
+        _action_kinds=F.transform(documents, lambda d: _kinds(d, ACTION_FIELDS)),
+        _alone=F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
+    )
+    document = F.try_variant_get("_alone", "$[0]", "variant")
+    parsed = computed_once(
+        parsed, _second=F.try_variant_get("_alone", "$[1]", "variant").isNotNull(), _plan_kinds=_kinds(document, PLAN_FIELDS)
+    )
+    kinds = F.col("_plan_kinds")
     plan = F.col("_plan")
     actions = F.coalesce(plan["actions"], F.array().cast(parsed.schema["_plan"].dataType["actions"].dataType))
     ids = F.transform(actions, lambda a: a["action_id"])
-    # Inside brackets, text behind the closing brace is malformed or a second element.
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    document = F.try_variant_get(alone, "$[0]", "variant")
-    second = F.try_variant_get(alone, "$[1]", "variant")
     unreadable = text.isNull() | plan.isNull() | plan[broken].isNotNull()
-    unreadable = unreadable | alone.isNull() | second.isNotNull()
+    unreadable = unreadable | F.col("_alone").isNull() | F.col("_second")
     raws = F.coalesce(F.col("_raw"), _empty_list("string"))
     fields = F.array_compact(
         F.array(
             _when(
-                _mismatch(plan["plan_id"], IDENTIFIER) | _not(document, "plan_id", "STRING"),
+                _mismatch(plan["plan_id"], IDENTIFIER) | _not(kinds, "plan_id", "STRING"),
                 "invalid_field",
                 "plan_id",
             ),
             _when(
-                _blank(plan["dataset_id"]) | _not(document, "dataset_id", "STRING"),
+                _blank(plan["dataset_id"]) | _not(kinds, "dataset_id", "STRING"),
                 "invalid_field",
                 "dataset_id",
             ),
             _when(
-                ~F.coalesce(plan["iteration"] >= 1, F.lit(False)), "invalid_field", "iteration"
+                ~F.coalesce((plan["iteration"] >= 1) & (plan["iteration"] % 1 == 0), F.lit(False)),
+                "invalid_field",
+                "iteration",
             ),
             _when(
-                _blank(plan["objective"]) | _not(document, "objective", "STRING"),
+                _blank(plan["objective"]) | _not(kinds, "objective", "STRING"),
                 "invalid_field",
                 "objective",
             ),
             _when(
-                F.coalesce(~_kind(document, "actions").startswith("ARRAY"), F.lit(False)),
+                F.coalesce(~kinds["actions"].startswith("ARRAY"), F.lit(False)),
                 "invalid_field",
                 "actions",
             ),
@@ -161,7 +182,7 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
     errors = F.concat(
         fields,
         _unknown_keys(text, PLAN_FIELDS),
-        F.flatten(F.transform(actions, lambda a, i: _action_errors(a, F.get(raws, i)))),
+        F.flatten(F.transform(actions, lambda a, i: _action_errors(a, F.get("_action_kinds", i)))),
         F.flatten(F.transform(raws, lambda raw: _unknown_keys(raw, ACTION_FIELDS))),
     )
     filled = F.transform(
@@ -181,7 +202,11 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
     )
     return checked.select(
         *df.columns,
-        *[plan[f].alias(f) for f in PLAN_FIELDS if f != "actions"],
+        *[
+            plan[f].cast("int").alias(f) if f == "iteration" else plan[f].alias(f)
+            for f in PLAN_FIELDS
+            if f != "actions"
+        ],
         "actions",
         "shape_errors",
     )

@@ -119,6 +119,9 @@ def test_shape_errors(spark):
         json.dumps(plan({**ok, "python_code": "import os"})): [("unknown_field", "python_code")],
         json.dumps(plan(ok, ok)): [("repeated_action_id", "actions")],
         json.dumps(plan(iteration=0)): [("invalid_field", "iteration")],
+        json.dumps(plan(iteration=1.5)): [("invalid_field", "iteration")],
+        json.dumps(plan(iteration=2.0)): [],
+        json.dumps(plan(actions=[None])): [("invalid_field", "actions")],
         json.dumps(plan(plan_id="a b")): [("invalid_field", "plan_id")],
         json.dumps(plan(objective="")): [("invalid_field", "objective")],
         json.dumps(plan({**ok, "columns": ["x", "x"]})): [("invalid_field", "columns")],

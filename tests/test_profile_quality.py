@@ -195,3 +195,18 @@ def test_nan_counts_as_missing_for_quality(spark):
 
 def test_bounded_score_without_chances(spark):
     assert spark.range(1).select(bounded_score(F.lit(0), F.lit(0)).alias("s")).first()["s"] == 1.0
+
+
+def test_top_values_of_mostly_distinct_texts(spark):
+    start = "s" * 70
+    texts = [f"{start}{k:03d}" for k in range(40)] + [f"{k:03d}" + "x" * 100 for k in range(200)]
+    texts += [f"{start}007"] * 2 + ["short", "short", None, ""]
+    df = spark.createDataFrame([(t, "c" if k % 3 else None) for k, t in enumerate(texts)], "a string, b string")
+    for k in (1, 2, 5, 60, 400):
+        got = [(r["column"], r["rank"], r["value"], r["count"]) for r in pf.top_values(df.repartition(5), None, k).collect()]
+        want = []
+        for i, c in enumerate("ab"):
+            values = [t if i == 0 else ("c" if j % 3 else None) for j, t in enumerate(texts)]
+            counts = sorted(((-values.count(v), v is None, v or "", v) for v in set(values)))[:k]
+            want += [(c, r, v, -n) for r, (n, _, _, v) in enumerate(counts, 1)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
