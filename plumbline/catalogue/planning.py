@@ -167,6 +167,19 @@ def plan_verdicts_query(spark, folder):
     return rounded(plan_verdicts(parsed, catalog, "events", F.col("role")))
 
 
+@query(
+    "plan_iteration_mismatches",
+    """SELECT 'plan-' || p_partkey AS plan_id, '' AS action_id, 'iteration_mismatch' AS code,
+              CAST(p_size - 1 AS VARCHAR) AS detail
+       FROM part WHERE p_size NOT IN (1, 13, 27, 50) AND p_brand <> 'Brand#7' AND p_size - 1 <> 12""",
+)
+def plan_iteration_mismatches(spark, folder):
+    """Plans that answer for another attempt than the twelfth."""
+    parsed, catalog = _well_formed(spark, folder)
+    found = audit_plans(parsed, catalog, "events", F.col("role"), iteration=12)
+    return found.where("code = 'iteration_mismatch'").withColumn("action_id", F.lit(""))
+
+
 REPAIR = Plan(
     "repair", "events", 1,
     (
@@ -449,15 +462,25 @@ def select_plan(spark, folder):
 @query(
     "history_violations",
     with_sql(HISTORY) + """
-    , seen AS (
+    , marked AS (SELECT * EXCLUDE (mean_primary), CAST(substr(plan_id, 6) AS BIGINT) AS k,
+                        CASE WHEN CAST(substr(plan_id, 6) AS BIGINT) % 7 > 0 THEN mean_primary END AS mean_primary
+                 FROM decisions),
+    seen AS (
       SELECT *, coalesce(lag(iteration) OVER w, 0) + 1 AS expected,
              coalesce(bool_or(action <> 'RETRY') OVER e, false) AS over_already,
              first(dataset_id) OVER e AS first_dataset
-      FROM decisions WINDOW w AS (PARTITION BY run_id ORDER BY iteration),
+      FROM marked WINDOW w AS (PARTITION BY run_id ORDER BY iteration),
         e AS (PARTITION BY run_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT run_id, iteration, 'not_sequential' AS violation FROM seen WHERE iteration <> expected
     UNION ALL SELECT run_id, iteration, 'after_terminal_decision' FROM seen WHERE over_already
-    UNION ALL SELECT run_id, iteration, 'dataset_changed' FROM seen WHERE dataset_id <> first_dataset""",
+    UNION ALL SELECT run_id, iteration, 'dataset_changed' FROM seen WHERE dataset_id <> first_dataset
+    UNION ALL SELECT run_id, iteration, 'over_maximum' FROM seen WHERE iteration > 8
+    UNION ALL SELECT run_id, iteration, 'plan_iteration_differs' FROM seen WHERE k % 53 = 0
+    UNION ALL SELECT run_id, iteration, 'assessment_iteration_differs' FROM seen WHERE k % 59 = 0
+    UNION ALL SELECT run_id, iteration, 'feedback_iteration_differs' FROM seen WHERE k % 61 = 0
+    UNION ALL SELECT run_id, iteration, 'feedback_plan_differs' FROM seen WHERE k % 67 = 0
+    UNION ALL SELECT run_id, iteration, 'best_without_metric' FROM seen
+              WHERE action = 'ACCEPT' AND mean_primary IS NULL""",
 )
 def history_violations(spark, folder):
     candidates, outcomes = run_history(spark, folder)
@@ -465,7 +488,43 @@ def history_violations(spark, folder):
     named = decided.join(
         candidates.select("run_id", "iteration", "dataset_id"), ["run_id", "iteration"]
     )
-    return gt.history_violations(named)
+    k = F.substring("plan_id", 6, 20).cast("long")
+
+    def shifted(every):
+        return F.col("iteration") + (k % every == 0).cast("int")
+
+    return gt.history_violations(
+        named.withColumns(
+            {
+                "max_iterations": F.lit(POLICY.max_iterations),
+                "plan_iteration": shifted(53),
+                "assessment_iteration": shifted(59),
+                "feedback_iteration": shifted(61),
+                "feedback_plan_id": F.when(k % 67 > 0, F.col("plan_id")),
+                "mean_primary": F.when(k % 7 > 0, F.col("mean_primary")),
+            }
+        )
+    )
+
+
+@query(
+    "selected_quality_runtime",
+    with_sql(HISTORY) + """
+    , chosen AS (SELECT run_id, iteration FROM decisions
+      WHERE action = 'ACCEPT' OR (validation_valid AND mean_primary IS NOT NULL)
+      QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY (action = 'ACCEPT')::INT DESC,
+        CASE WHEN action = 'ACCEPT' THEN -iteration END, mean_primary DESC, iteration) = 1)
+    SELECT run_id, e.plan_id, z.quality AS initial_data_quality_score,
+           e.quality AS selected_data_quality_score, e.quality_delta AS selected_quality_delta,
+           round(e.runtime_multiplier, 9) AS selected_runtime_multiplier
+    FROM chosen JOIN evidence e USING (run_id, iteration)
+    JOIN full_rows z USING (run_id) WHERE z.iteration = 0""",
+)
+def selected_quality_runtime(spark, folder):
+    candidates, outcomes = run_history(spark, folder)
+    selected = gt.select_plan(gt.gate_candidates(candidates, outcomes, POLICY))
+    evidence = gt.attempt_evidence(candidates, outcomes, POLICY)
+    return rounded(gt.selected_costs(candidates, evidence, selected), 9)
 
 
 @query(

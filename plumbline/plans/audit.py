@@ -133,8 +133,12 @@ def with_issues(
     dataset_id: str | Column,
     role: str | Column = "development",
     allowed: Iterable[str] | None = None,
+    iteration: int | Column | None = None,
 ) -> DataFrame:
-    """Add ``issues``, an array of ``(action_id, code, detail)``, to parsed plans."""
+    """Add ``issues``, an array of ``(action_id, code, detail)``, to parsed plans.
+
+    A plan made for another dataset, or another ``iteration`` than the one asked for, has an issue.
+    """
     permitted = sorted(CONTRACTS if allowed is None else set(allowed))
     unregistered = sorted(set(permitted) - set(CONTRACTS))
     if unregistered:
@@ -227,6 +231,12 @@ def with_issues(
                 "dataset_mismatch",
                 F.col("dataset_id"),
             ),
+            _issue(
+                F.lit(False) if iteration is None else F.col("iteration") != iteration,
+                F.lit(None),
+                "iteration_mismatch",
+                F.col("iteration"),
+            ),
         )
     )
     issues = F.concat(of_plan, F.flatten(F.transform("actions", action_issues)))
@@ -241,9 +251,10 @@ def audit_plans(
     dataset_id: str | Column,
     role: str | Column = "development",
     allowed: Iterable[str] | None = None,
+    iteration: int | Column | None = None,
 ) -> DataFrame:
     """``(plan_id, action_id, code, detail)``, one row per issue."""
-    return with_issues(plans, catalog, dataset_id, role, allowed).select(
+    return with_issues(plans, catalog, dataset_id, role, allowed, iteration).select(
         "plan_id", F.inline("issues")
     )
 
@@ -254,9 +265,10 @@ def plan_verdicts(
     dataset_id: str | Column,
     role: str | Column = "development",
     allowed: Iterable[str] | None = None,
+    iteration: int | Column | None = None,
 ) -> DataFrame:
     """``(plan_id, issue_count, is_valid)``."""
-    return with_issues(plans, catalog, dataset_id, role, allowed).select(
+    return with_issues(plans, catalog, dataset_id, role, allowed, iteration).select(
         "plan_id",
         F.size("issues").alias("issue_count"),
         (F.size("issues") == 0).alias("is_valid"),

@@ -82,9 +82,13 @@ def attempt_evidence(candidates: DataFrame, outcomes: DataFrame, policy: GatePol
         )
     )
 
+    # A model counted twice would weigh twice in means and seconds.
+    doubled = F.count("model") != F.size(F.collect_set("model"))
+    refused = F.raise_error(F.lit("The models of an attempt must be different ones")).cast("double")
+
     def totals(rows: DataFrame, *more: Column) -> DataFrame:
         return rows.groupBy("run_id", "iteration").agg(
-            F.avg(F.when(ok, F.col("primary_metric"))).alias("mean_primary"),
+            F.when(doubled, refused).otherwise(F.avg(F.when(ok, F.col("primary_metric")))).alias("mean_primary"),
             F.sum(seconds).alias("model_seconds"),
             F.array_sort(F.collect_set("model")).alias("models"),
             *more,
@@ -260,24 +264,79 @@ def select_plan(decisions: DataFrame) -> DataFrame:
     )
 
 
+def unevaluated_attempts(verdicts: DataFrame) -> DataFrame:
+    """``candidates`` rows of attempts without an evaluation, as the gate expects them.
+
+    Needs ``run_id, iteration, plan_id, is_valid`` and ``error``: null, "recoverable_error" or
+    "fatal_error". Refused plans and failed executions have no quality and took no time.
+    """
+    return verdicts.where(~F.col("is_valid") | F.col("error").isNotNull()).select(
+        "run_id",
+        "iteration",
+        "plan_id",
+        F.col("is_valid").alias("validation_valid"),
+        F.coalesce("error", F.lit("success")).alias("execution_status"),
+        F.lit(None).cast("double").alias("data_quality_score"),
+        F.lit(0.0).alias("preprocessing_seconds"),
+    )
+
+
+def selected_costs(candidates: DataFrame, evidence: DataFrame, selected: DataFrame) -> DataFrame:
+    """Per run the quality before and after the selected plan, and its runtime against the baseline's.
+
+    ``evidence`` is that of ``attempt_evidence`` and ``selected`` the rows of ``select_plan``.
+    """
+    first = candidates.where(F.col("iteration") == 0).select(
+        "run_id", F.col("data_quality_score").alias("initial_data_quality_score")
+    )
+    chosen = evidence.join(selected.select("run_id", "iteration"), ["run_id", "iteration"])
+    return chosen.join(first, "run_id").select(
+        "run_id",
+        "plan_id",
+        "initial_data_quality_score",
+        F.col("data_quality_score").alias("selected_data_quality_score"),
+        F.col("quality_delta").alias("selected_quality_delta"),
+        F.col("runtime_multiplier").alias("selected_runtime_multiplier"),
+    )
+
+
 def history_violations(history: DataFrame) -> DataFrame:
-    """``(run_id, iteration, violation)`` of attempts that break the order of a run.
+    """``(run_id, iteration, violation)`` of attempts that break the order of a run or contradict themselves.
 
-    Needs ``run_id, iteration, action`` and, to compare datasets, ``dataset_id``.
+    Needs ``run_id, iteration, action``. Further checks come with their columns: ``dataset_id`` (the
+    same in a run), ``max_iterations`` (not exceeded), ``plan_iteration``, ``assessment_iteration`` and
+    ``feedback_iteration`` (equal to the attempt's), ``feedback_plan_id`` (equal to ``plan_id``), and
+    ``is_new_best`` (only with ``mean_primary``).
     """
     order = W.partitionBy("run_id").orderBy("iteration")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     expected = F.coalesce(F.lag("iteration").over(order), F.lit(0)) + 1
+
+    def differs(a: str, b: str) -> Column:
+        return ~F.col(a).eqNullSafe(F.col(b))
+
     checks = {
-        "not_sequential": F.col("iteration") != expected,
-        "after_terminal_decision": F.coalesce(
-            F.bool_or(F.col("action") != RETRY).over(earlier), F.lit(False)
+        "not_sequential": ((), F.col("iteration") != expected),
+        "after_terminal_decision": (
+            (),
+            F.coalesce(F.bool_or(F.col("action") != RETRY).over(earlier), F.lit(False)),
+        ),
+        "over_maximum": (("max_iterations",), F.coalesce(F.expr("iteration > max_iterations"), F.lit(False))),
+        "dataset_changed": (
+            ("dataset_id",),
+            F.coalesce(F.expr("dataset_id") != F.first(F.expr("dataset_id")).over(earlier), F.lit(False)),
+        ),
+        "plan_iteration_differs": (("plan_iteration",), differs("plan_iteration", "iteration")),
+        "assessment_iteration_differs": (("assessment_iteration",), differs("assessment_iteration", "iteration")),
+        "feedback_iteration_differs": (("feedback_iteration",), differs("feedback_iteration", "iteration")),
+        "feedback_plan_differs": (("feedback_plan_id", "plan_id"), differs("feedback_plan_id", "plan_id")),
+        "best_without_metric": (
+            ("is_new_best", "mean_primary"),
+            F.coalesce(F.expr("is_new_best AND mean_primary IS NULL"), F.lit(False)),
         ),
     }
-    if "dataset_id" in history.columns:
-        checks["dataset_changed"] = F.coalesce(
-            F.col("dataset_id") != F.first("dataset_id").over(earlier), F.lit(False)
-        )
+    given = set(history.columns)
+    checks = {n: c for n, (needs, c) in checks.items() if given.issuperset(needs)}
     flagged = history.withColumns({f"_{n}": c for n, c in checks.items()})
     names = F.array_compact(
         F.array(*[F.when(F.col(f"_{n}"), F.lit(n)) for n in checks])

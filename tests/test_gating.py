@@ -141,6 +141,45 @@ def test_history_violations(spark):
                      ("b", 3, "dataset_changed")}
 
 
+def test_history_that_contradicts_itself(spark):
+    columns = ("run_id string, iteration int, action string, max_iterations int, plan_iteration int, "
+               "assessment_iteration int, feedback_iteration int, plan_id string, feedback_plan_id string, "
+               "is_new_best boolean, mean_primary double")
+    good = ["a", 1, "RETRY", 2, 1, 1, 1, "p", "p", True, 0.5]
+    changes = {
+        "plan_iteration_differs": (4, 2), "assessment_iteration_differs": (5, None),
+        "feedback_iteration_differs": (6, 0), "feedback_plan_differs": (8, None), "best_without_metric": (10, None),
+    }
+    rows = [tuple([name, *good[1:]][:i] + [v] + good[i + 1 :]) for name, (i, v) in changes.items()]
+    rows += [tuple(good), ("late", 1, "RETRY", 1, 1, 1, 1, "p", "p", False, None), ("late", 2, "RETRY", 1, 2, 2, 2, "q", "q", None, None)]
+    found = {tuple(r) for r in gt.history_violations(spark.createDataFrame(rows, columns)).collect()}
+    assert found == {(name, 1, name) for name in changes} | {("late", 2, "over_maximum")}
+
+
+def test_doubled_models_are_refused(spark):
+    with pytest.raises(Exception, match="different ones"):
+        decide(spark, {"models": ("m1", "m2", "m2")})
+
+
+def test_attempts_without_evaluation_go_through_the_gate(spark):
+    verdicts = spark.createDataFrame(
+        [("r", 1, "p1", False, None), ("r", 2, "p2", True, "recoverable_error"), ("r", 3, "p3", True, None)],
+        "run_id string, iteration int, plan_id string, is_valid boolean, error string")
+    candidates, outcomes = history(spark)
+    rows = gt.gate_candidates(candidates.unionByName(gt.unevaluated_attempts(verdicts)), outcomes, gt.GatePolicy())
+    assert [(r["iteration"], r["reason_code"]) for r in rows.orderBy("iteration").collect()] == [
+        (1, "invalid_strategy"), (2, "execution_error")]
+
+
+def test_costs_of_the_selected_plan(spark):
+    candidates, outcomes = history(spark, {"primary": 0.72, "quality": 0.95, "seconds": 3.0})
+    evidence = gt.attempt_evidence(candidates, outcomes, gt.GatePolicy(maximum_runtime_multiplier=9))
+    selected = gt.select_plan(gt.gate_candidates(candidates, outcomes, gt.GatePolicy(maximum_runtime_multiplier=9)))
+    r = gt.selected_costs(candidates, evidence, selected).first()
+    assert (r["plan_id"], r["initial_data_quality_score"], r["selected_data_quality_score"]) == ("p1", 0.90, 0.95)
+    assert r["selected_runtime_multiplier"] == 3.0
+
+
 def test_policy_is_checked():
     for bad in ({"max_iterations": 0}, {"maximum_recall_drop": 2}, {"maximum_runtime_multiplier": 0.5},
                 {"minimum_primary_improvement": -1}):
