@@ -196,8 +196,7 @@ def _classes(texts: DataFrame, percent: int, size: int) -> tuple[DataFrame, Data
     """Signatures of numbered texts (row, doc_id, text), and the component of each distinct set.
 
     The second table is (k, first): a set's key, and the first row of its component as a struct of
-    doc_id's absence, doc_id and row. A set's own first row is its node in the graph, whatever ids
-    other sets have.
+    doc_id's absence, doc_id and row. Every set is a node of its own, whatever ids other sets have.
     """
     signed = written(
         texts.mapInArrow(
@@ -206,22 +205,19 @@ def _classes(texts: DataFrame, percent: int, size: int) -> tuple[DataFrame, Data
         "signatures",
     )
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    sets = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first"))
+    # Numbered in the order of their first rows, so that the hub of a star has the smallest id.
     classes = written(
-        signed.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first")), "classes"
-    ).withColumn("node", F.col("first.row"))
-    rows = (
-        signed.select("row", "buckets")
-        .join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
-        .select(F.col("row").alias("node"), F.explode("buckets").alias("bucket"))
+        sets.orderBy("first").withColumn("node", F.monotonically_increasing_id()), "classes"
     )
+    nodes = classes.select(F.col("first.row").alias("row"), "node")
+    rows = signed.select("row", "buckets").join(nodes, "row").select("node", F.explode("buckets").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
     members = written(
         rows.join(hubs.where("hub <> top").select("bucket", "hub"), "bucket"), "buckets"
     )
-    involved = members.select(F.col("node").alias("row")).distinct()
-    near = written(
-        texts.join(involved, "row", "left_semi").select(F.col("row").alias("id"), "text"), "texts"
-    )
+    involved = nodes.join(members.select("node").distinct(), "node")
+    near = written(texts.join(involved, "row").select(F.col("node").alias("id"), "text"), "texts")
     done = members.where("node <> hub").select(F.col("node").alias("leaf"), "hub").distinct()
     done = written(done, "pairs")
     edges = written(_confirmed(done, near, percent, size), "links")
