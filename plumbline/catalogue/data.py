@@ -210,15 +210,15 @@ def _micros(spark, folder):
 
 @query(
     "quantiles_event_micros",
-    """WITH q AS (SELECT event_type, quantile_cont(epoch_us(ts)::DOUBLE, [0.05, 0.5, 0.95]) AS v
+    """WITH q AS (SELECT event_type, quantile_cont(epoch_us(ts)::DOUBLE, [0.0, 0.5, 1.0]) AS v
                   FROM events GROUP BY event_type)
-       SELECT event_type, unnest([0.05::DOUBLE, 0.5, 0.95]) AS probability,
-              unnest([round(v[1]), round(v[2]), round(v[3])]) AS quantile FROM q""",
+       SELECT event_type, unnest([0.0::DOUBLE, 0.5, 1.0]) AS probability,
+              unnest(v) AS quantile FROM q""",
 )
 def quantiles_event_micros(spark, folder):
     """Times that crowd in a narrow range far from zero."""
-    found = exact_quantiles(_micros(spark, folder), ["micros"], [0.05, 0.5, 0.95], ["event_type"])
-    return found.select("event_type", "probability", F.round("quantile").alias("quantile"))
+    found = exact_quantiles(_micros(spark, folder), ["micros"], [0.0, 0.5, 1.0], ["event_type"])
+    return found.select("event_type", "probability", "quantile")
 
 
 @query(
