@@ -30,7 +30,7 @@ from plumbline.operators.split import (
     split_temporally,
     temporal_cutoff,
 )
-from plumbline.operators.transforms import impute_categorical
+from plumbline.operators.transforms import impute_categorical, impute_numeric
 from plumbline.sources import tables as src
 
 def order_rules():
@@ -358,16 +358,23 @@ def column_profile_degraded(spark, folder):
     return rounded(pf.column_profile(degraded(spark, folder)).drop("position", "dtype"))
 
 
+_ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query(
     "numeric_profile_orders",
-    """SELECT 'o_totalprice' AS "column", round(min(o_totalprice), 6) AS "min",
-         round(max(o_totalprice), 6) AS "max", round(avg(o_totalprice), 4) AS mean,
-         round(stddev_samp(o_totalprice), 4) AS std FROM orders""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(min({c})::DOUBLE, 6) AS "min",
+            round(max({c})::DOUBLE, 6) AS "max", round(avg({c}), 4) AS mean,
+            round(stddev_samp({c}), 4) AS std FROM orders"""
+        for c in _ORDER_NUMBERS
+    ),
 )
 def numeric_profile_orders(spark, folder):
-    stats = pf.numeric_statistics(table(spark, folder, "orders"), ["o_totalprice"])
+    stats = pf.numeric_statistics(table(spark, folder, "orders"), _ORDER_NUMBERS)
     return stats.select(
-        "column", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"),
+        "column", F.round(F.col("min").cast("double"), 6).alias("min"),
+        F.round(F.col("max").cast("double"), 6).alias("max"),
         F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
     )
 
@@ -683,43 +690,50 @@ def mcar_audit(spark, folder):
 @query(
     "corruption_log",
     with_sql(TX, DEGRADED) + """
-    SELECT event_id, 'type' AS "column", type AS true_value FROM marked WHERE no_type""",
+    SELECT event_id, 'type' AS "column", type AS true_value FROM marked WHERE no_type
+    UNION ALL SELECT event_id, 'amount', CAST(round(amount, 4) AS VARCHAR) FROM marked WHERE no_amount""",
 )
 def corruption_log(spark, folder):
-    return dg.corruption_log(
-        transactions(spark, folder), {"type": RATES["type"]}, ["event_id"]
-    )
+    tx = transactions(spark, folder)
+    log = dg.corruption_log(tx, RATES, ["event_id"])
+    number = F.round(F.col("true_value").try_cast("double"), 4).cast("string")
+    return log.withColumn("true_value", F.when(F.col("column") == "amount", number).otherwise(F.col("true_value")))
 
 
 @query(
     "repair_accuracy",
     with_sql(TX, DEGRADED) + """
     , filled AS (SELECT type FROM degraded WHERE type IS NOT NULL
-                 GROUP BY type ORDER BY count(*) DESC, type LIMIT 1)
+                 GROUP BY type ORDER BY count(*) DESC, type LIMIT 1),
+    middle AS (SELECT median(amount) AS m FROM degraded)
     SELECT 'type' AS "column", count(*) AS cells, count(*) AS repaired_cells,
            count(*) FILTER (type = (SELECT type FROM filled)) AS exact_cells
-    FROM marked WHERE no_type""",
+    FROM marked WHERE no_type
+    UNION ALL
+    SELECT 'amount', count(*), count(*), count(*) FILTER (amount = (SELECT m FROM middle))
+    FROM marked WHERE no_amount""",
 )
 def repair_accuracy(spark, folder):
-    tx = transactions(spark, folder)
-    log = dg.corruption_log(tx, {"type": RATES["type"]}, ["event_id"])
+    log = dg.corruption_log(transactions(spark, folder), RATES, ["event_id"])
     fixed = impute_categorical(degraded(spark, folder), ["type"], "most_frequent")
-    return dg.repair_accuracy(log, fixed.select("event_id", "type"), ["event_id"])
+    fixed = impute_numeric(fixed, ["amount"], "median")
+    return dg.repair_accuracy(log, fixed.select("event_id", "type", "amount"), ["event_id"])
 
 
 @query(
     "outlier_counts",
-    with_sql(TX) + """
-    , q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM tx)
-    SELECT 'amount' AS "column", round(max(a - 1.5 * (b - a)), 6) AS low,
-           round(max(b + 1.5 * (b - a)), 6) AS high,
-           count(*) FILTER (amount < a - 1.5 * (b - a) OR amount > b + 1.5 * (b - a)) AS outliers,
-           round(count(*) FILTER (amount < a - 1.5 * (b - a) OR amount > b + 1.5 * (b - a))
-                 / count(amount)::DOUBLE, 6) AS rate
-    FROM tx, q""",
+    with_sql(TX) + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(max(a - 1.5 * (b - a)), 6) AS low,
+            round(max(b + 1.5 * (b - a)), 6) AS high,
+            count(*) FILTER ("{c}" < a - 1.5 * (b - a) OR "{c}" > b + 1.5 * (b - a)) AS outliers,
+            round(count(*) FILTER ("{c}" < a - 1.5 * (b - a) OR "{c}" > b + 1.5 * (b - a))
+                  / count("{c}")::DOUBLE, 6) AS rate
+            FROM tx, (SELECT quantile_cont("{c}"::DOUBLE, 0.25) AS a, quantile_cont("{c}"::DOUBLE, 0.75) AS b FROM tx)"""
+        for c in ("event_id", "step", "amount", "isFraud")
+    ),
 )
 def outlier_counts(spark, folder):
-    return rounded(pf.outliers(transactions(spark, folder), ["amount"]))
+    return rounded(pf.outliers(transactions(spark, folder)))
 
 
 @query(
@@ -728,12 +742,12 @@ def outlier_counts(spark, folder):
         f"""SELECT '{c}' AS "column", round(max(n) / sum(n)::DOUBLE, 6) AS top_share,
             max(n) = sum(n) AS is_constant, max(n) / sum(n)::DOUBLE >= 0.9 AS is_near_constant
             FROM (SELECT count(*) AS n FROM tx GROUP BY "{c}")"""
-        for c in ("type", "isFraud", "amount")
+        for c in ("event_id", "step", "type", "amount", "nameOrig", "nameDest", "isFraud")
     ),
 )
 def constant_columns(spark, folder):
     tx = transactions(spark, folder)
-    return rounded(pf.constant_columns(tx, ["type", "isFraud", "amount"], 0.9))
+    return rounded(pf.constant_columns(tx, tx.columns, 0.9))
 
 
 @query(

@@ -174,6 +174,10 @@ def _fold_results(spark, folder, side):
         share("l_discount >= 0.05").alias("recall"),
         share("l_tax >= 0.04").alias("precision"),
         share("l_extendedprice >= 50000").alias("f1"),
+        share("l_extendedprice < 30000").alias("accuracy"),
+        share("l_discount < 0.03").alias("specificity"),
+        share("l_tax < 0.06").alias("roc_auc"),
+        share("l_quantity < 30").alias("balanced_accuracy"),
         (F.count_if(F.expr("l_quantity >= 40")) / 4.0).alias("fit_seconds"),
         (F.count_if(F.expr("l_quantity < 10")) / 4.0).alias("predict_seconds"),
         F.when(F.count_if(F.expr("l_discount > 0.09")) > 5, "error").otherwise("success").alias(
@@ -190,6 +194,10 @@ def _sql_folds(name: str, where: str) -> str:
          count(*) FILTER (l_discount >= 0.05) / count(*)::DOUBLE AS recall,
          count(*) FILTER (l_tax >= 0.04) / count(*)::DOUBLE AS precision,
          count(*) FILTER (l_extendedprice >= 50000) / count(*)::DOUBLE AS f1,
+         count(*) FILTER (l_extendedprice < 30000) / count(*)::DOUBLE AS accuracy,
+         count(*) FILTER (l_discount < 0.03) / count(*)::DOUBLE AS specificity,
+         count(*) FILTER (l_tax < 0.06) / count(*)::DOUBLE AS roc_auc,
+         count(*) FILTER (l_quantity < 30) / count(*)::DOUBLE AS balanced_accuracy,
          count(*) FILTER (l_quantity >= 40) / 4.0::DOUBLE AS fit_seconds,
          count(*) FILTER (l_quantity < 10) / 4.0::DOUBLE AS predict_seconds,
          CASE WHEN count(*) FILTER (l_discount > 0.09) > 5 THEN 'error' ELSE 'success' END AS status
@@ -206,12 +214,12 @@ FOUR = ("pr_auc", "recall", "precision", "f1")
     "metric_summary",
     with_sql(ALL_FOLDS) + "SELECT model, " + ", ".join(
         f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std"
-        for m in (*FOUR, "fit_seconds", "predict_seconds")
+        for m in (*mt.METRICS, "fit_seconds", "predict_seconds")
     ) + " FROM folds GROUP BY 1",
 )
 def metric_summary(spark, folder):
     folds = _fold_results(spark, folder, None)
-    return rounded(mt.summarize_folds(folds, ["model"], (*FOUR, *mt.TIMINGS)))
+    return rounded(mt.summarize_folds(folds))
 
 
 @query(
@@ -220,12 +228,12 @@ def metric_summary(spark, folder):
         f"""SELECT model, '{m}' AS metric, round(avg({m}), 6) AS mean,
             round(coalesce(stddev_samp({m}), 0), 6) AS std, round(min({m}), 6) AS minimum,
             round(max({m}), 6) AS maximum FROM folds WHERE status = 'success' GROUP BY 1"""
-        for m in FOUR
+        for m in mt.METRICS
     ),
 )
 def metric_summary_successful(spark, folder):
     folds = _fold_results(spark, folder, None)
-    return rounded(mt.summarize_successful(folds, ["model"], FOUR))
+    return rounded(mt.summarize_successful(folds))
 
 
 @query(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.catalogue.common import (
@@ -17,6 +19,7 @@ from plumbline.catalogue.common import (
     transactions,
     with_sql,
 )
+from plumbline.functions.durability import durable
 from plumbline.operators import folds as fd
 from plumbline.operators import sampling as sp
 from plumbline.operators import transforms as tr
@@ -110,13 +113,21 @@ def fold_membership(spark, folder):
 @query(
     "fold_training_rows",
     with_sql(TX, FOLDS) + """
-    SELECT event_id, fold = 2 AS held_out FROM folds WHERE repeat = 1""",
+    SELECT event_id, repeat, v.fold, folds.fold = v.fold AS held_out
+    FROM folds, (SELECT DISTINCT fold FROM folds) v""",
 )
 def fold_training_rows(spark, folder):
-    assigned = _assigned(spark, folder)[1]
-    train = fd.training_rows(assigned, 1, 2).select("event_id", F.lit(False).alias("held_out"))
-    held = fd.validation_rows(assigned, 1, 2).select("event_id", F.lit(True).alias("held_out"))
-    return train.unionByName(held)
+    """Training and validation rows of every fold of every repeat."""
+    assigned = durable(_assigned(spark, folder)[1])
+    parts = [
+        side(assigned, repeat, fold).select(
+            "event_id", F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), F.lit(held).alias("held_out")
+        )
+        for repeat in (1, 2)
+        for fold in (1, 2, 3, 4, 5)
+        for side, held in ((fd.training_rows, False), (fd.validation_rows, True))
+    ]
+    return rounded(reduce(DataFrame.unionAll, parts))
 
 
 @query(
