@@ -180,6 +180,24 @@ def plan_iteration_mismatches(spark, folder):
     return found.where("code = 'iteration_mismatch'").withColumn("action_id", F.lit(""))
 
 
+@query(
+    "plan_audit_datasets",
+    with_sql(PLANS) + """
+    SELECT plan_id, action_id, 'column_not_found' AS code, c AS detail
+    FROM cells JOIN (SELECT plan_id, dataset_id FROM plans) USING (plan_id)
+    WHERE c NOT IN (SELECT unnest(CASE dataset_id WHEN 'other' THEN ['amount'] ELSE ['amount', 'type', 'isFraud'] END))""",
+)
+def plan_audit_datasets(spark, folder):
+    """Columns looked up in the catalogue of each plan's own dataset."""
+    parsed, _ = _well_formed(spark, folder)
+    tx = transactions(spark, folder)
+    catalog = columns_catalog(tx.select(*KINDS), KINDS, ["event_id"], "events").unionByName(
+        columns_catalog(tx.select("amount", "step"), {"amount": "numeric", "step": "target"}, (), "other")
+    )
+    found = audit_plans(parsed, catalog, F.col("dataset_id"), F.col("role"))
+    return found.where("code = 'column_not_found'")
+
+
 REPAIR = Plan(
     "repair", "events", 1,
     (

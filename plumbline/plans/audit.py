@@ -1,7 +1,8 @@
 """Check a table of parsed plans against a dataset, reporting all issues at once.
 
 The catalogue of a dataset is as small as its schema, so it enters as one map value and the
-whole audit is a single pass over the plans without a shuffle.
+whole audit is a single pass over the plans without a shuffle. Plans of several datasets are joined
+with the map of their own one.
 """
 
 from __future__ import annotations
@@ -17,8 +18,13 @@ from plumbline.plans.contracts import CONTRACTS, KINDS, ROLES
 ISSUE_DDL = "struct<action_id:string,code:string,detail:string>"
 
 
-def columns_catalog(df: DataFrame, kinds: dict[str, str], protected: Iterable[str] = ()) -> DataFrame:
-    """``(column, kind, protected)`` of a table; the target is always protected."""
+def columns_catalog(
+    df: DataFrame, kinds: dict[str, str], protected: Iterable[str] = (), dataset_id: str | None = None
+) -> DataFrame:
+    """``(column, kind, protected)`` of a table; the target is always protected.
+
+    With ``dataset_id`` as a column in front, catalogues of several tables can be put together.
+    """
     guarded = set(protected)
     unknown = sorted(set(kinds) - set(df.columns))
     if unknown:
@@ -29,7 +35,8 @@ def columns_catalog(df: DataFrame, kinds: dict[str, str], protected: Iterable[st
     if list(kinds.values()).count("target") != 1:
         raise ValueError("Exactly one column must be the target")
     rows = [(c, k, c in guarded or k == "target") for c, k in kinds.items()]
-    return df.sparkSession.createDataFrame(rows, "column string, kind string, protected boolean")
+    made = df.sparkSession.createDataFrame(rows, "column string, kind string, protected boolean")
+    return made if dataset_id is None else made.select(F.lit(dataset_id).alias("dataset_id"), "*")
 
 
 def _names(values: Iterable[str]) -> Column:
@@ -138,6 +145,8 @@ def with_issues(
     """Add ``issues``, an array of ``(action_id, code, detail)``, to parsed plans.
 
     A plan made for another dataset, or another ``iteration`` than the one asked for, has an issue.
+    Where the catalogue names datasets, columns are looked up in the plan's own; a dataset that it
+    doesn't name has no columns.
     """
     permitted = sorted(CONTRACTS if allowed is None else set(allowed))
     unregistered = sorted(set(permitted) - set(CONTRACTS))
@@ -148,10 +157,18 @@ def with_issues(
     role = role if isinstance(role, Column) else F.lit(role)
     dataset = dataset_id if isinstance(dataset_id, Column) else F.lit(dataset_id)
     entry = F.struct("column", F.struct("kind", "protected").alias("what"))
-    known = catalog.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-    rows = computed_once(
-        plans.withColumn("_known", known), _signatures=F.transform("actions", _signature)
-    )
+    columns = F.map_from_entries(F.collect_list(entry)).alias("_known")
+    if "dataset_id" in catalog.columns:
+        own = catalog.groupBy(F.col("dataset_id").alias("_dataset")).agg(columns)
+        nothing = F.create_map().cast(own.schema["_known"].dataType)
+        known = (
+            plans.join(own, F.col("dataset_id") == F.col("_dataset"), "left")
+            .drop("_dataset")
+            .withColumn("_known", F.coalesce("_known", nothing))
+        )
+    else:
+        known = plans.withColumn("_known", catalog.agg(columns).scalar())
+    rows = computed_once(known, _signatures=F.transform("actions", _signature))
     catalogued = F.col("_known")
     kinds = F.create_map(
         *[x for t, c in CONTRACTS.items() for x in (F.lit(t), _names(c.kinds))]

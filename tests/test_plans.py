@@ -233,3 +233,24 @@ def test_wrong_types_nulls_and_trailing_text(spark):
     rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k long, plan_json string")
     got = {r.k: [e["detail"] for e in r.shape_errors] for r in parse_plans(rows).collect()}
     assert [got[k] for k in range(len(cases))] == [[d] if d else [] for _, d in cases]
+
+
+def test_plans_of_several_datasets(spark):
+    one = spark.createDataFrame([], "amount double, isFraud int")
+    two = spark.createDataFrame([], "price double, sold int")
+    both = columns_catalog(one, {"amount": "numeric", "isFraud": "target"}, (), "one").unionByName(
+        columns_catalog(two, {"price": "numeric", "sold": "target"}, (), "two"))
+    asked = action("scale_numeric", ["amount", "price"], method="robust")
+    plans = parsed(spark, *[plan(asked, plan_id=d, dataset_id=d) for d in ("one", "two", "three")])
+    found = audit_plans(plans, both, F.col("dataset_id")).collect()
+    assert sorted((r["plan_id"], r["code"], r["detail"]) for r in found) == [
+        ("one", "column_not_found", "price"), ("three", "column_not_found", "amount"),
+        ("three", "column_not_found", "price"), ("two", "column_not_found", "amount")]
+
+
+def test_plans_for_another_attempt(spark, catalog):
+    plans = parsed(spark, plan(action("log_transform", ["amount"]), iteration=2))
+    assert audit_plans(plans, catalog, "d", iteration=2).isEmpty() and audit_plans(plans, catalog, "d").isEmpty()
+    (r,) = audit_plans(plans, catalog, "d", iteration=3).collect()
+    assert (r["code"], r["detail"], r["action_id"]) == ("iteration_mismatch", "2", None)
+    assert not plan_verdicts(plans, catalog, "d", iteration=3).first()["is_valid"]
