@@ -67,8 +67,8 @@ def flag_prefix(column: str | Column, prefix: str) -> Column:
 
 def at_least(score: str | Column, threshold: float) -> Column:
     """1 where the score reaches the threshold, else 0."""
-    if not 0.0 <= threshold <= 1.0:
-        raise ValueError("threshold must be between 0 and 1")
+    if threshold < 0.0 or threshold > 1.0:
+        raise ValueError(f"Scores are shares, so no threshold can be {threshold}")
     return (col(score) >= F.lit(threshold)).cast("int")
 
 

@@ -20,14 +20,15 @@ def affected_rows(rows: int, rate: float) -> int:
 def _check(
     df: DataFrame, rates: Mapping[str, float], protected: Iterable[str]
 ) -> None:
-    if not rates:
-        raise ValueError("Name at least one column to degrade")
-    if any(not 0.0 < r < 1.0 for r in rates.values()):
-        raise ValueError("Every missing rate must be between 0 and 1")
-    guarded = sorted(set(rates) & set(protected))
-    if guarded:
-        raise ValueError(f"Protected columns cannot be degraded: {', '.join(guarded)}")
+    """Refuse columns that don't exist or may not change, and rates that take no value or all."""
+    if len(rates) == 0:
+        raise ValueError("There must be at least one column to take values from")
     require_columns(df, rates, "Degradation input")
+    kept = sorted(c for c in rates if c in set(protected))
+    odd = sorted(c for c, rate in rates.items() if rate <= 0.0 or rate >= 1.0)
+    for names, why in ((kept, "Protected from defects"), (odd, "Rates lie strictly between 0 and 1, unlike those of")):
+        if names:
+            raise ValueError(f"{why}: {', '.join(names)}")
 
 
 def missing_marks(
@@ -45,7 +46,7 @@ def missing_marks(
     require_columns(df, key, "Degradation input")
     rows = df.count()
     if not rows:
-        raise ValueError("Cannot degrade an empty table")
+        raise ValueError("The table is empty: there is no value to take")
     draws = {c: draw(seed, F.lit(c), *key) for c in rates}
     cuts = draw_cuts(df, draws, {c: affected_rows(rows, r) for c, r in rates.items()})
     return {c: draws[c] <= F.lit(cuts[c]) for c in rates}
@@ -107,7 +108,7 @@ def inject_duplicates(
         raise ValueError("The duplicate rate must be between 0 and 1")
     rows = df.count()
     if not rows:
-        raise ValueError("Cannot degrade an empty table")
+        raise ValueError("The table is empty: there is no value to take")
     return df.unionByName(exact_sample(df, key, affected_rows(rows, rate), seed))
 
 

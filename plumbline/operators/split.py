@@ -20,8 +20,8 @@ def temporal_cutoff(df: DataFrame, time: str = "step", test_fraction: float = 0.
     Distinct values, text among them, are counted by parts of their range, and only the part with the
     cutoff is cut on or sorted, so neither the driver nor one task ever holds all of them.
     """
-    if not 0.0 < test_fraction < 1.0:
-        raise ValueError("test_fraction must be between 0 and 1")
+    if test_fraction <= 0.0 or test_fraction >= 1.0:
+        raise ValueError("The holdout takes a share of the times, neither none nor all of them")
     require_columns(df, [time], "Split input")
     steps = df.select(col(time).alias("step")).where(col(time).isNotNull()).distinct()
     n = steps.count()

@@ -26,6 +26,7 @@ STOP_EXECUTION_ERROR = "STOP_EXECUTION_ERROR"
 class GatePolicy:
     """Thresholds of the decision ladder."""
 
+    # Names and defaults of the policy.
     max_iterations: int = 3
     no_improvement_patience: int = 2
     max_invalid_strategies: int = 2

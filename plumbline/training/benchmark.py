@@ -61,6 +61,7 @@ MODEL_FEATURES = (*CATEGORICAL_FEATURES, *NUMERIC_FEATURES)
 # Rows of a training set that one partition holds; trees and gradients add up few rows well in one task.
 ROWS_PER_PARTITION = 100_000
 
+# The fields of a fold's result.
 FOLD_DDL = (
     "model string, repeat int, fold int, train_rows long, validation_rows long, "
     "fit_seconds double, predict_seconds double, status string, error_type string, "
