@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from plumbline.functions.durability import durable
 from plumbline.operators import folds as fd
 from plumbline.operators import sampling as sp
 from plumbline.operators import transforms as tr
-from plumbline.operators.categories import one_hot_sparse
+from plumbline.operators.categories import assembled, one_hot_sparse
 from plumbline.operators.neighbours import nearest_neighbours, smote
 
 KEY = ["event_id"]
@@ -369,7 +368,7 @@ def _encoded_lines(spark, folder, learned):
         F.when(F.col("l_quantity") >= 5, F.col("l_returnflag")).alias("mode"),
     )
     encoded = one_hot_sparse(lines, ["line", "mode"], lines.where(learned))
-    whole = VectorAssembler(inputCols=["line", "mode"], outputCol="vector").transform(encoded)
+    whole = assembled(encoded, ["line", "mode"], "vector")
     cells = F.unwrap_udt("vector")
     return rounded(
         whole.select(

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,9 @@ from plumbline.operators.ordering import BROADCAST_ROWS, rank_by_draw
 # A category with at least this share of its column's cells is looked up without a shuffle. At most
 # 1 / share categories of a column can have it.
 HEAVY_SHARE = 0.001
+# MLlib names every position of a vector in the schema, on the driver and in each plan. Vectors with more
+# positions carry their length only.
+NAMED = 10_000
 
 
 def category_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,11 +88,47 @@ def with_indices(
     return df
 
 
+@F.arrow_udf(VectorUDT())
+def _marked(cells: pa.Array) -> pa.Array:
+    """Structs of a vector's fields, as vectors."""
+    return cells
+
+
+def _sparse(size: int, indices: Column, values: Column, name: str) -> Column:
+    """A sparse vector whose positions have no names."""
+    cell = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).cast("int").alias("size"),
+        indices.cast("array<int>").alias("indices"),
+        values.cast("array<double>").alias("values"),
+    )
+    return _marked(cell).alias(name, metadata={"ml_attr": {"num_attrs": size}})
+
+
 def vector_encoder(spark: SparkSession, sizes: Mapping[str, int]) -> Callable[[DataFrame], DataFrame]:
     """What turns index columns into sparse vectors with a 1 at the index; a null index gives zeros only.
 
-    A column without categories becomes a vector of one zero.
+    A column without categories becomes a vector of one zero. The positions of a column of more than
+    ``NAMED`` categories have no names.
     """
+    named = {c: n for c, n in sizes.items() if n <= NAMED}
+    wide = {c: n for c, n in sizes.items() if n > NAMED}
+    encoded = _named_encoder(spark, named)
+
+    def encode(df: DataFrame) -> DataFrame:
+        vectors = {}
+        for c, n in wide.items():
+            nothing = col(c).isNull()
+            at = F.when(nothing, F.array().cast("array<int>")).otherwise(F.array(col(c).cast("int")))
+            ones = F.when(nothing, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
+            vectors[c] = _sparse(n, at, ones, c)
+        rows = encoded(df)
+        return rows.select(*[vectors.get(c, col(c)) for c in df.columns]) if vectors else rows
+
+    return encode
+
+
+def _named_encoder(spark: SparkSession, sizes: Mapping[str, int]) -> Callable[[DataFrame], DataFrame]:
     if not sizes:
         return lambda df: df
     raw = {c: f"_index{i}" for i, c in enumerate(sizes)}
@@ -116,6 +157,48 @@ def as_vectors(df: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
     return vector_encoder(df.sparkSession, sizes)(df)
 
 
+def _width(df: DataFrame, column: str) -> int | None:
+    """Positions a column takes in an assembled vector, None if its schema doesn't tell."""
+    field = df.schema[column]
+    if not isinstance(field.dataType, VectorUDT):
+        return 1
+    return field.metadata.get("ml_attr", {}).get("num_attrs")
+
+
+def assembled(df: DataFrame, columns: Sequence[str], output: str) -> DataFrame:
+    """Add the columns side by side as one vector; null and NaN are errors.
+
+    Up to ``NAMED`` positions MLlib does it. Longer vectors are sparse and have no names of positions.
+    """
+    widths = [_width(df, c) for c in columns]
+    if None in widths or sum(widths) <= NAMED:
+        return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)
+    parts, start = [], 0
+    for c, n in zip(columns, widths, strict=True):
+        parts.append(_entries(df, c, n, start))
+        start += n
+    entries = F.filter(F.concat(*parts), lambda e: e["value"] != 0)
+    at, values = F.col("_entries")["at"], F.col("_entries")["value"]
+    rows = df.withColumn("_entries", entries)
+    return rows.select(*[col(c) for c in df.columns], _sparse(start, at, values, output))
+
+
+def _entries(df: DataFrame, column: str, width: int, start: int) -> Column:
+    """Position and value of a cell's entries, positions counted from ``start``."""
+    message = F.lit(f"Missing value in column {column}, which is to be part of a vector")
+    kind = "array<struct<at:int,value:double>>"
+    if isinstance(df.schema[column].dataType, VectorUDT):
+        cell = F.unwrap_udt(col(column))
+        own = F.coalesce(cell["indices"], F.sequence(F.lit(0), F.lit(width - 1)))
+        found = F.zip_with(own, cell["values"], lambda i, v: F.struct((i + start).alias("at"), v.alias("value")))
+        bad = col(column).isNull()
+    else:
+        number = col(column).cast("double")
+        found = F.array(F.struct(F.lit(start).alias("at"), number.alias("value")))
+        bad = number.isNull() | F.isnan(number)
+    return F.when(bad, F.raise_error(message).cast(kind)).otherwise(found.cast(kind))
+
+
 def learn_one_hot(train: DataFrame, columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     """Encoder that replaces each column by a sparse vector over the categories learned."""
     categories = durable(category_table(train, columns))

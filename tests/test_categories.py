@@ -66,3 +66,39 @@ def test_dense_columns_have_no_most(spark):
 
     df = spark.range(10_001).select(F.col("id").cast("string").alias("c"))
     assert len(learn_categories(df, ["c"])["c"]) == 10_001
+
+
+def test_long_vectors_carry_no_names(spark):
+    """A name for each position would make the schema, on the driver, grow with the categories."""
+    df = spark.range(30_000).select("id", F.col("id").cast("string").alias("c"), F.lit("x").alias("d"))
+    out = ct.assembled(ct.one_hot_sparse(df, ["c", "d"]), ["c", "d"], "v")
+    assert out.schema["c"].metadata == {"ml_attr": {"num_attrs": 30_000}}
+    assert len(out.schema.json()) < 2_000
+    v = out.select(F.unwrap_udt("v").alias("v")).select("v.size", "v.indices", "v.values").collect()
+    assert {r["size"] for r in v} == {30_001} and {tuple(r["values"]) for r in v} == {(1.0, 1.0)}
+    assert sorted(r["indices"][0] for r in v) == list(range(30_000)) and {r["indices"][1] for r in v} == {30_000}
+
+
+def test_long_vectors_equal_short_ones(cells, monkeypatch):
+    df, _ = cells
+    df = df.withColumn("half", F.col("rows") % 3 / 2.0)
+    learned = df.where("id < 400")
+    names = ["half", "ab", "c", "rows"]
+
+    def whole():
+        encoded = ct.one_hot_sparse(df, ["a.b", "c"], learned).withColumnRenamed("a.b", "ab")
+        return {r["id"]: r["v"].toArray().tolist() for r in ct.assembled(encoded, names, "v").collect()}
+
+    short = whole()
+    monkeypatch.setattr(ct, "NAMED", 3)
+    assert whole() == short and len(short) == 600
+    monkeypatch.setattr(ct, "NAMED", 0)
+    assert whole() == short
+
+
+def test_long_vectors_refuse_missing_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ct, "NAMED", 0)
+    for x in (None, float("nan")):
+        df = spark.createDataFrame([(1.0, 2.0), (3.0, x)], "a double, b double")
+        with pytest.raises(Exception, match="Missing value in column b"):
+            ct.assembled(df, ["a", "b"], "v").collect()
