@@ -50,6 +50,16 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(cells)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over several tasks per core, for work that takes long for few bytes.
+
+    Files are split by bytes, so a million short rows may be one task.
+    """
+    spark = df.sparkSession
+    partitions = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(partitions)
+
+
 def require_columns(df: DataFrame, required: Iterable[str], what: str = "Table") -> None:
     """Raise with the sorted missing names. Reads the schema only."""
     missing = sorted(set(required) - set(df.columns))

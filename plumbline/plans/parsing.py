@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import col, computed_once
+from plumbline.functions.expressions import col, computed_once, spread
 from plumbline.plans.contracts import (
     ACTION_FIELDS,
     IDENTIFIER,
@@ -117,12 +117,13 @@ def parse_plans(df: DataFrame, json: str = "plan_json") -> DataFrame:
     """Add the plan's fields and ``shape_errors``, an array of ``(code, detail)``.
 
     Nothing raises: a plan is usable where the array is empty. Missing columns and parameters
-    become empty ones and a missing scope becomes ``all``.
+    become empty ones and a missing scope becomes ``all``. Plans are dealt over all cores first, as a
+    plan takes far longer to check than to read.
     """
     text = col(json)
     broken = "_broken"
     parsed = computed_once(
-        df,
+        spread(df),
         _plan=F.from_json(
             text, f"{PLAN_DDL}, {broken} string", {"columnNameOfCorruptRecord": broken}
         ),

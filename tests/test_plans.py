@@ -254,3 +254,13 @@ def test_plans_for_another_attempt(spark, catalog):
     (r,) = audit_plans(plans, catalog, "d", iteration=3).collect()
     assert (r["code"], r["detail"], r["action_id"]) == ("iteration_mismatch", "2", None)
     assert not plan_verdicts(plans, catalog, "d", iteration=3).first()["is_valid"]
+
+
+def test_plans_of_one_file_are_checked_by_many_tasks(spark, catalog):
+    text = json.dumps(plan(action("log_transform", ["amount"])))
+    one = spark.range(0, 4000, 1, 1).select("id", F.lit(text).alias("plan_json"))
+    rows = parse_plans(one)
+    held = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in held) < 1000
+    assert rows.where("size(shape_errors) = 0").select("id").distinct().count() == 4000
+    assert audit_plans(rows, catalog, "d").isEmpty()
