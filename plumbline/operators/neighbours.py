@@ -5,6 +5,7 @@ inside a block of its own cell bounds how far the true ones can lie; only cells
 triangle inequality lets come that close to it are asked: by the range of their members' distances
 from their pivot, and by the plane between the two pivots. Crowded cells are split into blocks by a hash of
 the key, so a block has a bounded number of rows, however many points there are and however they lie.
+Points travel with the bound, and inside a block a matrix product leaves the few rows that can meet it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from plumbline.operators.ordering import rank_by_draw
 from plumbline.operators.sampling import _two_classes
 
 CELL_ROWS = 1024
+# In many dimensions hardly a cell can be left out, so that points go to most cells; then cells hold more rows.
+MANY_DIMENSIONS = 16
+LARGE_CELL_ROWS = 8192
 # Pivots go to every task. Beyond so many, cells grow, but not their blocks.
 MOST_PIVOTS = 2048
 _PROBES_PER_CELL_ROW = 16
@@ -46,29 +50,62 @@ def _blocks(rows: int, width: int, dims: int) -> list[slice]:
     return [slice(i, i + step) for i in range(0, rows, step)]
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by a matrix product, and per row of ``a`` how far off they and exact ones may be."""
+    own, other = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    off = 1e-15 * (16 + 4 * a.shape[1]) * (own + other.max(initial=0.0))
+    return own[:, None] + other[None, :] - 2 * (a @ b.T), off
+
+
+def _kth(squares: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest value of each row, infinite where there are fewer."""
+    if squares.shape[1] < k:
+        return np.full(len(squares), np.inf)
+    kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
+    return np.where(np.isnan(kth), np.inf, kth)
+
+
+def _pair_distances(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at))
+    for rows in _blocks(len(at), 1, a.shape[1]):
+        out[rows] = np.sqrt(((a[at[rows]] - b[to[rows]]) ** 2).sum(axis=1))
+    return out
+
+
 def _nearest(probes: pd.DataFrame, cell: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest cell rows of every probe, ties by id, a row never its own neighbour."""
+    """The k nearest cell rows within every probe's radius, ties by id, a row never its own neighbour.
+
+    A matrix product finds the few rows that can be among them; only their distances are
+    computed one by one.
+    """
     order = cell["id"].argsort(kind="stable").to_numpy()
     ids = cell["id"].to_numpy()[order]
     points = np.stack(cell["x"].to_numpy())[order]
     asked = probes["id"].to_numpy()
     where = np.stack(probes["x"].to_numpy())
+    radius = probes["radius"].to_numpy()
     found: list[pd.DataFrame] = []
-    for rows in _blocks(len(asked), len(ids), points.shape[1]):
-        gaps = _distances(where[rows], points)
-        gaps[asked[rows][:, None] == ids[None, :]] = np.inf
-        best = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-        found.append(
-            pd.DataFrame(
-                {
-                    "id": np.repeat(asked[rows], best.shape[1]),
-                    "neighbour": ids[best].ravel(),
-                    "distance": np.take_along_axis(gaps, best, axis=1).ravel(),
-                }
-            )
-        )
-    out = pd.concat(found, ignore_index=True)
-    return out[np.isfinite(out["distance"])]
+    for rows in _blocks(len(asked), len(ids), 1):
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares, off = _squares(where[rows], points)
+            squares[asked[rows][:, None] == ids[None, :]] = np.inf
+            limit = (radius[rows] * (1 + _SLACK)) ** 2 + off
+            near = squares <= limit[:, None]
+            # Beyond k within the radius, those that are farther than the k-th by more than both can be off.
+            many = np.flatnonzero(near.sum(axis=1) > k)
+            if len(many):
+                near[many] &= squares[many] <= (_kth(squares[many], k) + 2 * off[many])[:, None]
+            # Squares beyond what numbers hold say nothing.
+            near |= np.isnan(squares) | ~np.isfinite(off)[:, None]
+        near &= asked[rows][:, None] != ids[None, :]
+        at, to = np.nonzero(near)
+        gaps = _pair_distances(where[rows], at, points, to)
+        best = np.lexsort((to, gaps, at))
+        at, to, gaps = at[best], to[best], gaps[best]
+        first = np.searchsorted(at, at, side="left")
+        own = (np.arange(len(at)) - first < k) & np.isfinite(gaps)
+        found.append(pd.DataFrame({"id": asked[rows][at[own]], "neighbour": ids[to[own]], "distance": gaps[own]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def _lower_bounds(
@@ -87,7 +124,7 @@ def _lower_bounds(
 
 
 def nearest_neighbours(
-    df: DataFrame, key: str, features: Sequence[str] | str, k: int = 5, cell_rows: int = CELL_ROWS
+    df: DataFrame, key: str, features: Sequence[str] | str, k: int = 5, cell_rows: int | None = None
 ) -> DataFrame:
     """``(key, place, neighbour, distance)`` of the k nearest other rows, ties by key.
 
@@ -103,6 +140,9 @@ def nearest_neighbours(
     points = df.select(col(key).alias("id"), vector.alias("x")).where(finite)
     id_type = df.schema[key].dataType.simpleString()
     near_schema = f"id {id_type}, neighbour {id_type}, distance double"
+    if cell_rows is None:
+        one = points.select(F.size("x").alias("n")).first()
+        cell_rows = LARGE_CELL_ROWS if one is not None and one["n"] >= MANY_DIMENSIONS else CELL_ROWS
     wanted = min(MOST_PIVOTS, math.ceil(points.count() / cell_rows))
     drawn = points.select("x", draw(0, "id").alias("drawn")).orderBy("drawn").limit(wanted).collect()
     if not drawn:
@@ -139,9 +179,12 @@ def nearest_neighbours(
         points = np.stack(cell["x"].to_numpy())
         radius = np.full(len(cell), np.inf)
         if len(cell) > k:
-            for part in _blocks(len(cell), len(cell), points.shape[1]):
+            for part in _blocks(len(cell), len(cell), 1):
                 # The row itself is at distance 0 and takes the first place.
-                radius[part] = np.partition(_distances(points[part], points), k, axis=1)[:, k]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    squares, off = _squares(points[part], points)
+                    reach = np.sqrt(np.maximum(_kth(squares, k + 1) + off, 0.0))
+                radius[part] = np.where(np.isfinite(reach), reach, np.inf)
         return cell[["id", "x", "cell"]].assign(radius=radius)
 
     bounded = durable(
@@ -166,13 +209,14 @@ def nearest_neighbours(
                     {
                         "id": own["id"].to_numpy()[at],
                         "x": own["x"].to_numpy()[at],
+                        "radius": own["radius"].to_numpy()[at],
                         "cell": to,
                         "salt": salt,
                     }
                 )
 
-    probes = bounded.mapInPandas(aim, f"id {id_type}, x array<double>, cell long, salt long")
-    limit = cell_rows * _PROBES_PER_CELL_ROW
+    probes = bounded.mapInPandas(aim, f"id {id_type}, x array<double>, radius double, cell long, salt long")
+    limit = min(cell_rows, CELL_ROWS) * _PROBES_PER_CELL_ROW
     parts = probes.groupBy("cell", "salt").agg(
         F.ceil(F.count("*") / limit).alias("parts")
     )
@@ -190,7 +234,7 @@ def nearest_neighbours(
         return _nearest(probe, cell, k)
 
     near = (
-        asked.select(*group, "id", "x")
+        asked.select(*group, "id", "x", "radius")
         .groupBy(*group)
         .cogroup(offered.select(*group, "id", "x").groupBy(*group))
         .applyInPandas(match, near_schema)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.expressions import draw
 from plumbline.operators import degrade as dg
 from plumbline.operators import folds as fd
+from plumbline.operators import neighbours as nb
 from plumbline.operators import sampling as sp
 from plumbline.operators import transforms as tr
 from plumbline.operators.neighbours import nearest_neighbours, smote
@@ -201,7 +203,6 @@ def unit_vectors(n, dims=8, centres=20, spread=0.05):
 @pytest.mark.parametrize("most", [2048, 10])
 def test_neighbours_of_unit_vectors(spark, monkeypatch, most):
     """All have one norm; still few blocks are asked for each, and block sizes are bounded."""
-    from plumbline.operators import neighbours as nb
 
     monkeypatch.setattr(nb, "MOST_PIVOTS", most)
     kept = []
@@ -241,7 +242,6 @@ def test_neighbours_of_odd_rows(spark):
 @pytest.mark.parametrize("copies", [0, 100])
 def test_neighbours_equal_brute_force_across_cells(spark, monkeypatch, copies):
     """Small cells force many pivots, salts and probe parts; a third of the rows are copies."""
-    from plumbline.operators import neighbours as nb
 
     monkeypatch.setattr(nb, "_PROBES_PER_CELL_ROW", 1)
     rng = np.random.default_rng(3)
@@ -266,3 +266,35 @@ def test_smote(spark, labelled):
     assert rows(made.select(F.round("x", 9))) == rows(again.select(F.round("x", 9)))
     with pytest.raises(ValueError, match="more than"):
         smote(labelled.where("id < 3 or y = 0"), "y", ["id"])
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_few_distances_are_computed_one_by_one(monkeypatch, bounded):
+    draw = np.random.default_rng(3)
+    x = np.round(draw.normal(size=(900, 64)), 1) * 1e3
+    x[500:520] = x[7]
+    ids = draw.permutation(900)
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    radius = np.sort(gaps, axis=1)[:, 4] if bounded else np.full(900, np.inf)
+    rows = pd.DataFrame({"id": ids, "x": list(x)})
+    pairs = []
+    plain = nb._pair_distances
+    monkeypatch.setattr(nb, "_pair_distances", lambda a, at, b, to: pairs.append(len(at)) or plain(a, at, b, to))
+    near = nb._nearest(rows.assign(radius=radius), rows, 5)
+    want = {ids[i]: [(ids[j], gaps[i, j]) for j in np.lexsort((ids, gaps[i]))[:5]] for i in range(900)}
+    got = {i: list(zip(g["neighbour"], g["distance"], strict=True)) for i, g in near.groupby("id")}
+    assert got == want
+    assert sum(pairs) < 900 * 10
+
+
+def test_many_dimensions_and_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(nb, "LARGE_CELL_ROWS", 64)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 20))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    near = nb.nearest_neighbours(df, "id", "v", 3).orderBy("id", "place").collect()
+    assert [(r["id"], r["neighbour"]) for r in near] == [
+        (i, j) for i in range(400) for j in np.argsort(gaps[i], kind="stable")[:3]]
