@@ -175,7 +175,7 @@ def assembled(df: DataFrame, columns: Sequence[str], output: str) -> DataFrame:
         return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)
     parts, start = [], 0
     for c, n in zip(columns, widths, strict=True):
-        parts.append(_entries(df, c, n, start))
+        parts.append(_entries(df, c, start))
         start += n
     entries = F.filter(F.concat(*parts), lambda e: e["value"] != 0)
     at, values = F.col("_entries")["at"], F.col("_entries")["value"]
@@ -183,14 +183,20 @@ def assembled(df: DataFrame, columns: Sequence[str], output: str) -> DataFrame:
     return rows.select(*[col(c) for c in df.columns], _sparse(start, at, values, output))
 
 
-def _entries(df: DataFrame, column: str, width: int, start: int) -> Column:
+def _entries(df: DataFrame, column: str, start: int) -> Column:
     """Position and value of a cell's entries, positions counted from ``start``."""
     message = F.lit(f"Missing value in column {column}, which is to be part of a vector")
     kind = "array<struct<at:int,value:double>>"
     if isinstance(df.schema[column].dataType, VectorUDT):
         cell = F.unwrap_udt(col(column))
-        own = F.coalesce(cell["indices"], F.sequence(F.lit(0), F.lit(width - 1)))
-        found = F.zip_with(own, cell["values"], lambda i, v: F.struct((i + start).alias("at"), v.alias("value")))
+
+        def entry(i: Column, v: Column) -> Column:
+            return F.struct((i + start).alias("at"), v.alias("value"))
+
+        # Positions of a dense vector come from its cell: a list of all would be a constant of the plan, on the driver.
+        dense = F.transform(cell["values"], lambda v, i: entry(i, v))
+        sparse = F.zip_with(cell["indices"], cell["values"], entry)
+        found = F.when(cell["indices"].isNull(), dense).otherwise(sparse)
         bad = col(column).isNull()
     else:
         number = col(column).cast("double")

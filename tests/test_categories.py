@@ -79,6 +79,31 @@ def test_long_vectors_carry_no_names(spark):
     assert sorted(r["indices"][0] for r in v) == list(range(30_000)) and {r["indices"][1] for r in v} == {30_000}
 
 
+def test_plans_of_long_vectors_hold_no_positions(spark):
+    """A list of all positions in the plan would grow with the categories, on the driver and in each task."""
+
+    def plan_bytes(n):
+        df = spark.range(n).select("id", F.col("id").cast("string").alias("c"), F.lit("x").alias("d"))
+        out = ct.assembled(ct.one_hot_sparse(df, ["c", "d"]), ["c", "d"], "v")
+        return len(spark._jvm.org.apache.spark.util.Utils.serialize(out._jdf.queryExecution().executedPlan()))
+
+    assert abs(plan_bytes(40_000) - plan_bytes(20_000)) < 10_000
+
+
+def test_dense_and_sparse_cells_assemble_alike(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(ct, "NAMED", 0)
+    rows = [(Vectors.dense(0.0, 2.5, -1.0), 4.0), (Vectors.sparse(3, [1], [2.5]), 0.0), (Vectors.sparse(3, [], []), 1.0)]
+    df = spark.createDataFrame(rows, ["v", "x"])
+    df = df.withMetadata("v", {"ml_attr": {"num_attrs": 3}})
+    got = [r["out"] for r in ct.assembled(df, ["x", "v"], "out").collect()]
+    assert got == [Vectors.sparse(4, [0, 2, 3], [4.0, 2.5, -1.0]), Vectors.sparse(4, [2], [2.5]), Vectors.sparse(4, [0], [1.0])]
+    empty = df.select(F.when(F.col("x") > 1, F.col("v")).alias("v", metadata={"ml_attr": {"num_attrs": 3}}))
+    with pytest.raises(Exception, match="Missing value in column v"):
+        ct.assembled(empty, ["v"], "out").collect()
+
+
 def test_long_vectors_equal_short_ones(cells, monkeypatch):
     df, _ = cells
     df = df.withColumn("half", F.col("rows") % 3 / 2.0)
