@@ -63,6 +63,44 @@ def test_failed_folds_are_rows(sample):
     assert result.fold_metrics.isEmpty() and result.predictions.isEmpty()
 
 
+def test_complete_metrics_refuse_failed_folds(sample):
+    broken = Plan("bad", "d", 1, (Action("a", "log_transform", ("type",)),))
+    result = benchmark(sample, broken, "isFraud", ["id"], 2, 1, models=["decision_tree"])
+    assert sorted(f.split(":")[0] for f in result.failures) == [f"decision_tree, repeat 1, fold {f}" for f in (1, 2)]
+    with pytest.raises(RuntimeError, match="folds that failed: 2, first:\ndecision_tree, repeat 1, fold"):
+        result.complete_metrics
+    whole = benchmark(sample, fixed_plan("d"), "isFraud", ["id"], 2, 1, models=["decision_tree"], settings=QUICK)
+    assert not whole.failures and whole.complete_metrics.columns == whole.fold_metrics.columns
+    assert whole.complete_metrics.count() == 2
+
+
+def test_ml_benchmark_fails_with_a_fold(spark, sample, monkeypatch):
+    """One lost fit of several is an error of the query, not a row less."""
+    from plumbline.training import benchmark as module
+
+    plain, calls = module.fit_and_score, []
+
+    def lost(*args, **settings):
+        calls.append(1)
+        if len(calls) == 2:
+            raise MemoryError("executor lost")
+        return plain(*args, **settings)
+
+    rows = sample.withColumnRenamed("id", "event_id").drop("amount", "log_amount")
+    monkeypatch.setattr(module, "fit_and_score", lost)
+    monkeypatch.setattr(evaluation, "_model_table", lambda *_: rows)
+    monkeypatch.setattr(evaluation, "case_control_sample", lambda df, *_: df)
+    monkeypatch.setattr(
+        evaluation, "benchmark",
+        lambda sample, plan, target, key, *_: benchmark(
+            sample, plan, target, key, 2, 1, models=["decision_tree"], settings=QUICK, parallelism=1),
+    )
+    with pytest.raises(RuntimeError, match="folds that failed: 1, first:\ndecision_tree, .*MemoryError: executor lost"):
+        QUERIES["ml_benchmark"](spark, "")
+    assert len(calls) == 2
+    assert QUERIES["ml_benchmark"](spark, "").count() == 2
+
+
 def test_a_fold_of_one_class_is_an_error_row(sample):
     # Fold 3 has no positive rows; fold 1 has all others of its class for training.
     fold = F.when(F.col("id") < 6, 3).when(F.col("id") % 2 == 0, 1).otherwise(2)
